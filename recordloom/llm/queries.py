@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.llm import lines, mixing, packing
+from recordloom.llm import licenses, lines, mixing, neighbours, packing, quality, toxicity, warc
+from recordloom.llm.work import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,23 +17,53 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.quality_cascade(_read(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = lines.line_dedup(_read(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.score(docs, toxicity.train(docs, _read(spark, sf_dir, "labels")))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.mix_sources(_read(spark, sf_dir, "documents"))
     return mix.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "archives")
+    warc.write_pages(_read(spark, sf_dir, "pages"), path)
+    return warc.captured_pages(warc.assemble(warc.read_records(spark, path)))
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(_read(spark, sf_dir, "documents"))
+
+
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _read(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {
+    "op2_quality_rules": op2_quality_rules,
     "op3_line_dedup": op3_line_dedup,
+    "op5_toxicity": op5_toxicity,
     "op6_mix_sources": op6_mix_sources,
+    "op7_warc": op7_warc,
+    "op8_license_scan": op8_license_scan,
+    "op9_neighbours": op9_neighbours,
     "op10_packing": op10_packing,
 }
 
@@ -91,7 +122,78 @@ SELECT doc_id, size, source_size, target,
 FROM ordered
 """
 
+OP2_SQL = r"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+worded AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM docs),
+windows AS (
+  SELECT doc_id, pos, words[pos:pos + 2] AS win
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS pos FROM worded)),
+again AS (
+  SELECT doc_id, pos FROM (SELECT doc_id, pos, count(*) OVER (PARTITION BY doc_id, win) AS n FROM windows) WHERE n > 1),
+repeats AS (
+  SELECT doc_id, count(DISTINCT pos + step) AS n FROM again, (SELECT unnest([0, 1, 2]) AS step) GROUP BY doc_id),
+full_lines AS (
+  SELECT doc_id, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM docs)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+dup_lines AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM full_lines GROUP BY doc_id),
+counted AS (
+  SELECT w.doc_id, w.text, len(words)::BIGINT AS n_words,
+         length(regexp_replace(w.text, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
+         length(regexp_replace(w.text, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
+         coalesce(d.n, 0)::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words
+  FROM worded w LEFT JOIN dup_lines d ON d.doc_id = w.doc_id LEFT JOIN repeats r ON r.doc_id = w.doc_id),
+judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counted)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed OR 10 * n_symbols > n_words
+            OR word_chars < 2 * n_words OR word_chars > 20 * n_words
+            OR 10 * n_dup_lines > 3 * (length(text) - length(replace(text, chr(10), '')) + 1)
+            OR 10 * len(regexp_extract_all(text, '!!')) > n_words
+            OR length(regexp_replace(text, '[^A-Z]+', '', 'g')) > length(text) / 2
+            OR 5 * length(regexp_replace(text, '[0-9.,;:\-+/()\[\]{}=_]+', '', 'g')) < 2 * length(text)
+            OR regexp_matches(text, '[^\x20\x09-\x0D]{1000}')) AS kept
+FROM judged
+"""
+
+OP7_SQL = r"""
+WITH hashed AS (
+  SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS hexed FROM pages),
+placed AS (SELECT *, min(page_id) OVER (PARTITION BY hexed) AS first_id FROM hashed)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         ((('0x' || substr(hexed, (5 * (i // 4) + 1)::INT, 5))::BIGINT >> (15 - 5 * (i % 4))::BIGINT) & 31)::INT + 1, 1)), '') AS payload_digest,
+       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to
+FROM placed
+"""
+
+
+def _op8_sql() -> str:
+    """The SQL with the fixed tables of licences and spellings written into it."""
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    told = "' ' || spaced || ' '"
+    for said, meant in licenses.SPELLINGS.items():
+        told = f"replace({told}, ' {said} ', ' {meant} ')"
+    head = r"^[ \t#/*;-]*(copyright[ \t]+(\(c\)|©|[0-9]{4})|\(c\)[ \t]*[0-9]{4}|©)[^\n]*$"
+    known = ", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in sorted(licenses.LICENSES.items()))
+    return rf"""
+WITH texts AS (
+  SELECT doc_id, NULL AS license, coalesce(text, '') AS text FROM documents
+  UNION ALL SELECT NULL, license, text FROM (VALUES {known}) AS t(license, text)),
+plain AS (
+  SELECT doc_id, license, trim(regexp_replace(
+    translate(regexp_replace(text, {quoted(head)}, ' ', 'gim'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g')) AS spaced FROM texts),
+told AS (SELECT doc_id, license, sha256(trim({told})) AS digest FROM plain),
+known AS (SELECT digest, min(license) AS license FROM told WHERE license IS NOT NULL GROUP BY digest)
+SELECT t.doc_id, t.digest, k.license FROM told t LEFT JOIN known k ON t.digest = k.digest AND t.digest <> sha256('')
+WHERE t.license IS NULL
+"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op2_quality_rules": OP2_SQL,
+    "op7_warc": OP7_SQL,
+    "op8_license_scan": _op8_sql(),
     "op3_line_dedup": OP3_SQL,
     "op6_mix_sources": OP6_SQL,
 }
