@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.llm import licenses, lines, mixing, neighbours, packing, quality, toxicity, warc
+from recordloom.llm import licenses, lines, mixing, neardup, neighbours, packing, quality, toxicity, warc
 from recordloom.llm.work import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,10 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_read(spark, sf_dir, "documents"), shingle=4)
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.quality_cascade(_read(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -57,6 +61,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_minhash_dedup": op1_minhash_dedup,
     "op2_quality_rules": op2_quality_rules,
     "op3_line_dedup": op3_line_dedup,
     "op5_toxicity": op5_toxicity,
@@ -122,6 +127,28 @@ SELECT doc_id, size, source_size, target,
 FROM ordered
 """
 
+OP1_SQL = r"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS words FROM documents),
+shingled AS (
+  SELECT DISTINCT doc_id, words[pos:pos + 3] AS shingle
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 2, 2))) AS pos FROM worded WHERE len(words) > 0)),
+sized AS (SELECT doc_id, count(*) AS n FROM shingled GROUP BY doc_id),
+common AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM shingled x JOIN shingled y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id
+  GROUP BY x.doc_id, y.doc_id),
+links AS (
+  SELECT c.a, c.b FROM common c JOIN sized x ON x.doc_id = c.a JOIN sized y ON y.doc_id = c.b
+  WHERE 100 * c.n >= 80 * (x.n + y.n - c.n)),
+reached AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents
+  UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a),
+parts AS (SELECT a AS doc_id, min(b) AS component_id FROM reached GROUP BY a)
+SELECT p.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, p.component_id, p.component_id = p.doc_id AS kept
+FROM parts p LEFT JOIN sized s ON s.doc_id = p.doc_id
+"""
+
 OP2_SQL = r"""
 WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 worded AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM docs),
@@ -191,6 +218,7 @@ WHERE t.license IS NULL
 
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_minhash_dedup": OP1_SQL,
     "op2_quality_rules": OP2_SQL,
     "op7_warc": OP7_SQL,
     "op8_license_scan": _op8_sql(),
