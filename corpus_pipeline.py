@@ -5,18 +5,59 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.llm import lines, mixing, packing
+from recordloom.llm import lines, mixing, neardup, packing, toxicity
 from recordloom.llm.work import materialize
 
-STAGES = []
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity grades reject go; the model is trained on the labelled documents among docs."""
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.drop_toxic(docs.select(COLUMNS), model)
+
+
+def lines_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that another document has too stay in the first of them only."""
+    kept = lines.line_dedup(docs.select(COLUMNS))
+    return kept.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
+
+
+def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates (five words, similarity 0.8), the smallest id stays."""
+    dropped = neardup.near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    return docs.select(COLUMNS).join(dropped, "doc_id", "left_anti").select(COLUMNS)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix of sources takes it: up to three rows, or none."""
+    plan = mixing.mix_sources(docs).groupBy("doc_id", "source", "size").agg(F.min("copies").alias("copies"))
+    sized = docs.select(COLUMNS).withColumn("size", mixing.word_count(F.col("text")))
+    same = sized["doc_id"].eqNullSafe(plan["doc_id"]) & sized["source"].eqNullSafe(plan["source"]) & (sized["size"] == plan["size"])
+    counted = sized.join(plan, same).select(*[sized[c] for c in COLUMNS], "copies").where("copies > 0")
+    return counted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(COLUMNS)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences of up to 1024."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("toxicity", toxic_out),
+    ("line dedup", lines_once),
+    ("near-dedup", near_copies_out),
+    ("mixing", mixed),
+    ("packing", packed),
+]
 ORACLE_SQL = None  # SQL can't express training, near-duplicate search and tokenization
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for at, (name, stage) in enumerate(STAGES):
+    for at, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if at < len(STAGES) - 1:
-            docs = materialize(docs, f"stage-{name}")
+            docs = materialize(docs, f"stage-{at}")
     return docs
