@@ -8,22 +8,19 @@ suspects are shuffled, with their exact text, to confirm them and to choose the
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recordloom.llm import bloom
 from recordloom.llm.work import materialize, small_batches
 
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-SEGMENT_BITS = 1 << 20
-HASHES = 2
 
 
 def _keys(text: str, least: int) -> set[bytes]:
@@ -32,70 +29,16 @@ def _keys(text: str, least: int) -> set[bytes]:
     return {k for k in found if len(k) >= 4 * least or len(k) >= least and len(k.decode()) >= least}
 
 
-def _positions(keys: list[bytes], bits: int) -> np.ndarray:
-    """HASHES bit positions of each key."""
-    h = np.fromiter((xxhash.xxh3_64_intdigest(k) for k in keys), np.uint64, len(keys))
-    low, high = h & np.uint64(0xFFFFFFFF), (h >> np.uint64(32)) | np.uint64(1)
-    return np.stack([(low + np.uint64(i) * high) & np.uint64(bits - 1) for i in range(HASHES)], axis=1)
+def _hashed(keys: list[bytes]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh3_64_intdigest(k) for k in keys), np.uint64, len(keys))
 
 
-def _squeeze(bitmap: np.ndarray) -> bytes:
-    return zlib.compress(bitmap.tobytes(), 1)
+def _hashes(least: int) -> bloom.Hashes:
+    """Each key once for each text that has it."""
+    return lambda batch: _hashed([k for text in batch.column(0).to_pylist() for k in _keys(text or "", least)])
 
 
-def _expand(packed: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(packed), np.uint8)
-
-
-def _builder(bits: int, least: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
-        for batch in batches:
-            keys: list[bytes] = []
-            for text in batch.column(0).to_pylist():
-                keys.extend(_keys(text or "", least))
-            if not keys:
-                continue
-            where = np.sort(_positions(keys, bits).ravel())
-            first = np.ones(len(where), bool)
-            first[1:] = where[1:] != where[:-1]
-            again = where[~first]
-            for at, into in ((where[first], None), (again, twice)):
-                byte, bit = (at >> np.uint64(3)).astype(np.int64), np.left_shift(np.uint8(1), (at & np.uint64(7)).astype(np.uint8))
-                if into is None:
-                    np.bitwise_or.at(twice, byte, once[byte] & bit)
-                    np.bitwise_or.at(once, byte, bit)
-                else:
-                    np.bitwise_or.at(into, byte, bit)
-        task, step = TaskContext.get().partitionId(), SEGMENT_BITS // 8
-        for s in range(0, bits // 8, step):
-            if once[s : s + step].any():
-                yield pa.RecordBatch.from_pydict({"segment": pa.array([s // step], pa.int32()), "task": pa.array([task], pa.int32()), "once": [_squeeze(once[s : s + step])], "twice": [_squeeze(twice[s : s + step])]})
-
-    return run
-
-
-def _merge(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    once, twice = None, None
-    for a, b in zip(table.column("once"), table.column("twice")):
-        o, t = _expand(a.as_py()), _expand(b.as_py())
-        once, twice = (o, t) if once is None else (once | o, twice | t | (once & o))
-    return pa.table({"segment": pa.array([key[0].as_py()], pa.int32()), "task": pa.array([0], pa.int32()), "once": [_squeeze(once)], "twice": [_squeeze(twice)]})
-
-
-def _twice_seen(texts: DataFrame, bits: int, least: int) -> bytes:
-    """The merged twice-seen filter: bits / 8 bytes on the driver, a bound that doesn't grow with the input."""
-    schema = "segment int, task int, once binary, twice binary"
-    parts = texts.mapInArrow(_builder(bits, least), schema)
-    fold = parts.withColumn("task", F.expr("task % 64")).groupBy("segment", "task").applyInArrow(_merge, schema)
-    whole = np.zeros(bits // 8, np.uint8)
-    for row in fold.groupBy("segment").applyInArrow(_merge, schema).select("segment", "twice").toLocalIterator():
-        at = row["segment"] * (SEGMENT_BITS // 8)
-        whole[at : at + SEGMENT_BITS // 8] = _expand(bytes(row["twice"]))
-    return whole.tobytes()
-
-
-def _suspects(filter_, bits: int, least: int):
+def _suspects(filter_, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         twice = np.frombuffer(filter_.value, np.uint8)
         for batch in batches:
@@ -105,9 +48,7 @@ def _suspects(filter_, bits: int, least: int):
                 keys.extend(own)
                 ids.extend([doc] * len(own))
             if keys:
-                at = _positions(keys, bits)
-                hit = ((twice[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).all(axis=1)
-                chosen = np.flatnonzero(hit)
+                chosen = np.flatnonzero(bloom.may_contain(twice, _hashed(keys)))
                 yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in chosen], pa.int64()), pa.array([keys[i].decode() for i in chosen], pa.string())], names=["id", "key"])
 
     return run
@@ -130,8 +71,8 @@ def line_dedup(
     are suspected and shuffled, and results stay exact.
 
     A null text is one empty line and comes back as the empty string. Rows that repeat an id are one document. A
-    null id stands after every other id. A text that loses all its lines becomes empty and its row stays. An empty table gives an empty one. Columns named n_lines or
-    n_dropped are replaced.
+    null id stands after every other id. A text that loses all its lines becomes empty and its row stays. An empty
+    table gives an empty one. Columns named n_lines or n_dropped are replaced.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -139,9 +80,9 @@ def line_dedup(
     doc_id, text = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(last)), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     plain = docs.select(doc_id.alias("id"), text.alias("text"))
     lines = plain.agg(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)).first()[0] or 0
-    bits = max(SEGMENT_BITS, min(max_bits, 1 << int(lines * bits_per_line).bit_length()))
-    filter_ = spark.sparkContext.broadcast(_twice_seen(plain.select("text"), bits, min_chars))
-    suspects = materialize(plain.mapInArrow(_suspects(filter_, bits, min_chars), "id long, key string"), "line-suspects")
+    bits = bloom.bits_for(lines, bits_per_line, max_bits)
+    filter_ = spark.sparkContext.broadcast(bloom.twice_seen(plain.select("text"), _hashes(min_chars), bits))
+    suspects = materialize(plain.mapInArrow(_suspects(filter_, min_chars), "id long, key string"), "line-suspects")
     confirmed = suspects.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("final")).where("first < final").select("key", "first")
     drops = (
         suspects.join(materialize(confirmed, "line-repeats"), "key")
