@@ -1,0 +1,122 @@
+"""Logistic regression by iteratively reweighted least squares over grouped sums.
+
+Each iteration is one pass that sums X'WX and X'W(z) in the tasks; only k x k numbers per model come to the driver.
+Cluster-robust errors take one more pass for the score sums of clusters.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+#: Models fitted at once; each holds k * k sums on the driver.
+MODELS = 10_000
+
+
+def design(df: DataFrame, category: str, reference: str, covariates: list[str]) -> tuple[DataFrame, list[str]]:
+    """Adds x: 1, a dummy for each level but the reference, then covariates. Returns the names of x as well."""
+    levels = [r[0] for r in df.select(category).where(F.col(category).isNotNull()).distinct().orderBy(category).limit(1000).collect() if r[0] != reference]
+    parts: list[Column] = [F.lit(1.0)] + [(F.col(category) == v).cast("double") for v in levels] + [F.col(c).cast("double") for c in covariates]
+    return df.withColumn("x", F.array(*parts)), ["intercept", *levels, *covariates]
+
+
+def _sums(betas: dict[str, np.ndarray], k: int, by_cluster: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            models, y = np.array(batch.column(0).to_pylist(), object), batch.column(1).to_numpy()
+            x = batch.column(2).flatten().to_numpy().reshape(-1, k)
+            clusters = np.array(batch.column(3).to_pylist(), object)
+            for model in set(models.tolist()):
+                rows = models == model
+                xm, ym = x[rows], y[rows]
+                p = 1 / (1 + np.exp(-np.clip(xm @ betas.get(model, np.zeros(k)), -30, 30)))
+                if by_cluster:
+                    score = xm * (ym - p)[:, None]
+                    names, where = np.unique(clusters[rows].astype(str), return_inverse=True)
+                    for i, name in enumerate(names):
+                        key = (model, name)
+                        total[key] = total.get(key, 0) + score[where == i].sum(axis=0)
+                else:
+                    w = p * (1 - p)
+                    part = np.concatenate([(xm.T @ (xm * w[:, None])).ravel(), xm.T @ (ym - p), [len(ym), ym.sum()]])
+                    total[(model, "")] = total.get((model, ""), 0) + part
+        if total:
+            yield pa.RecordBatch.from_pydict({"model": [m for m, _ in total], "cluster": [c for _, c in total], "sums": [v.tolist() for v in total.values()]})
+
+    return run
+
+
+def _summed(rows: DataFrame, betas: dict, k: int, by_cluster: bool) -> DataFrame:
+    parts = rows.mapInArrow(_sums(betas, k, by_cluster), "model string, cluster string, sums array<double>")
+    each = parts.select("model", "cluster", F.posexplode("sums").alias("i", "v"))
+    added = each.groupBy("model", "cluster", "i").agg(F.sum("v").alias("v"))
+    return added.groupBy("model", "cluster").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("sums"))
+
+
+def fit(rows: DataFrame, names: list[str], cluster: str | None = None, model: str | None = None, steps: int = 25, tolerance: float = 1e-9) -> list[dict]:
+    """Coefficients of y (0 or 1) on x for every model: dicts of model, term, beta, se, p, n, converged.
+
+    rows: y, x and, if named, a model column (one fit for each value) and a cluster column for robust errors with
+    the small-sample factor G / (G - 1) * (n - 1) / (n - k).
+    """
+    k = len(names)
+    flat = rows.select(
+        (F.col(model).cast("string") if model else F.lit("all")).alias("model"),
+        F.col("y").cast("double").alias("y"),
+        "x",
+        (F.col(cluster).cast("string") if cluster else F.lit("")).alias("cluster"),
+    ).where(~F.exists("x", lambda v: v.isNull()) & F.col("y").isNotNull())
+    betas: dict[str, np.ndarray] = {}
+    done: dict[str, bool] = {}
+    last: dict[str, tuple] = {}
+    for _ in range(steps):
+        for r in _summed(flat, betas, k, False).limit(MODELS).collect():
+            v = np.array(r["sums"])
+            h, g = v[: k * k].reshape(k, k), v[k * k : k * k + k]
+            inverse = np.linalg.pinv(h)
+            step = inverse @ g
+            m = r["model"]
+            last[m] = (inverse, v[-2], v[-1])
+            done[m] = bool(np.abs(step).max() < tolerance)
+            betas[m] = betas.get(m, np.zeros(k)) + np.clip(step, -5, 5)
+        if not done or all(done.values()):
+            break
+    meat: dict[str, np.ndarray] = {}
+    groups: dict[str, int] = {}
+    if cluster:
+        outer = _summed(flat, betas, k, True).select("model", F.posexplode("sums").alias("i", "a"), "sums").select("model", "i", F.posexplode("sums").alias("j", "b"), "a")
+        for r in outer.groupBy("model", "i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("v"), F.count("*").alias("g")).collect():
+            meat.setdefault(r["model"], np.zeros((k, k)))[r["i"], r["j"]] = r["v"]
+            groups[r["model"]] = r["g"]
+    out = []
+    for m, beta in sorted(betas.items()):
+        cov, n, _ = last[m]
+        if cluster:
+            g = groups[m]
+            cov = cov @ meat[m] @ cov * (g / max(1, g - 1)) * (n - 1) / max(1, n - k)
+        for i, name in enumerate(names):
+            se = math.sqrt(max(0.0, cov[i, i]))
+            z = beta[i] / se if se else float("nan")
+            out.append({"model": m, "term": name, "beta": float(beta[i]), "se": se, "p": math.erfc(abs(z) / math.sqrt(2)) if se else None, "n": int(n), "converged": done[m]})
+    return out
+
+
+ODDS = "model string, bin string, n long, odds_ratio double, lo double, hi double, p double, converged boolean"
+
+
+def odds_ratios(df: DataFrame, flag: str, bins: str, reference: str, covariates: list[str], cluster: str | None = None, model: str | None = None) -> DataFrame:
+    """Odds ratios of a low flag for each bin against the reference, with 95 % intervals."""
+    dressed, names = design(df.withColumn("y", F.col(flag).cast("double")), bins, reference, covariates)
+    found = [r for r in fit(dressed, names, cluster, model) if r["term"] in names[1 : len(names) - len(covariates)]]
+    z = 1.959963984540054
+    bound = lambda b: float(math.exp(min(50.0, b)))
+    rows = [(r["model"], r["term"], r["n"], bound(r["beta"]), bound(r["beta"] - z * r["se"]), bound(r["beta"] + z * r["se"]), r["p"], r["converged"]) for r in found]
+    return df.sparkSession.createDataFrame(rows, ODDS)
