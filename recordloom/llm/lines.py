@@ -84,16 +84,20 @@ def line_dedup(
     filter_ = spark.sparkContext.broadcast(bloom.twice_seen(plain.select("text"), _hashes(min_chars), bits))
     suspects = materialize(plain.mapInArrow(_suspects(filter_, min_chars), "id long, key string"), "line-suspects")
     confirmed = suspects.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("final")).where("first < final").select("key", "first")
+    mark = "_"
+    while any(c.startswith(mark) for c in docs.columns):  # no column of docs may clash with those added here
+        mark += "_"
+    own, raw, other, drop, left = (mark + c for c in ("own", "text", "id", "drop", "kept"))
     drops = (
         suspects.join(materialize(confirmed, "line-repeats"), "key")
         .where("id > first")
-        .groupBy(F.col("id").alias("__id"))
-        .agg(F.collect_set("key").alias("__drop"))
+        .groupBy(F.col("id").alias(other))
+        .agg(F.collect_set("key").alias(drop))
     )
-    parts = F.split(F.col("__text"), "\n", -1)
+    parts = F.split(F.col(raw), "\n", -1)
     key = lambda line: F.translate(F.btrim(line, F.lit(BLANKS)), UPPER, LOWER)
-    kept = F.when(F.col("__drop").isNull(), parts).otherwise(F.filter(parts, lambda line: ~F.array_contains(F.col("__drop"), key(line))))
-    named = docs.drop("n_lines", "n_dropped").withColumns({"__own": doc_id, "__text": text})
-    joined = named.join(drops, F.col("__own") == F.col("__id"), "left").withColumn("__kept", kept)
-    counted = joined.withColumns({"n_lines": F.size(parts).cast("long"), "n_dropped": (F.size(parts) - F.size("__kept")).cast("long"), text_col: F.array_join("__kept", "\n")})
-    return counted.drop("__own", "__text", "__id", "__drop", "__kept")
+    kept = F.when(F.col(drop).isNull(), parts).otherwise(F.filter(parts, lambda line: ~F.array_contains(F.col(drop), key(line))))
+    named = docs.drop("n_lines", "n_dropped").withColumns({own: doc_id, raw: text})
+    joined = named.join(drops, F.col(own) == F.col(other), "left").withColumn(left, kept)
+    counted = joined.withColumns({"n_lines": F.size(parts).cast("long"), "n_dropped": (F.size(parts) - F.size(left)).cast("long"), text_col: F.array_join(left, "\n")})
+    return counted.drop(own, raw, other, drop, left)
