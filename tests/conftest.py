@@ -1,4 +1,7 @@
 import os
+
+os.environ.setdefault("OMP_NUM_THREADS", "1")  # small matrices, many processes
+os.environ.setdefault("OPENBLAS_NUM_THREADS", "1")
 import sys
 from pathlib import Path
 
