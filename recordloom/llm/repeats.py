@@ -36,7 +36,7 @@ COVER = 32
 #: Distinct runs of one bucket that a task sorts; the suffixes of larger buckets are dealt by their digests.
 SORTED = 512
 #: Bytes of runs sorted at once.
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 #: Low bits of an ordering hash that give way to the place; longer texts are listed in overlapping slices.
 PLACE_BITS = 24
 SLICE = 1 << (PLACE_BITS - 1)
@@ -121,6 +121,12 @@ def _anchors(length: int) -> bloom.Hashes:
 RUN = "anchor long, digest long, row struct<id:long,tag:long>, start long, n int, place int"
 
 
+def _run_key(anchor: np.ndarray, digest: np.ndarray, tag: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """A hash of one run, and not of its copies."""
+    u = lambda x: np.ascontiguousarray(x).view(np.uint64)
+    return mixed(u(anchor) ^ u(digest) ^ mixed(u(tag) + u(start.astype(np.int64))))
+
+
 def _lister(length: int, anchors, wanted=None):
     """Runs (see RUN) whose anchor passes the filter anchors; with a filter wanted, those that pass it, and their bytes."""
 
@@ -134,7 +140,8 @@ def _lister(length: int, anchors, wanted=None):
                 view = memoryview(np.ascontiguousarray(data))
                 spans = list(zip(start.tolist(), (start + count - 1 + length).tolist(), (anchor - start).tolist()))
                 digest = np.array([xxhash.xxh3_64_intdigest(view[a:b], seed=p) for a, b, p in spans], np.uint64)
-                pick = np.arange(len(digest)) if asked is None else np.flatnonzero(bloom.may_contain(asked, mixed(hashed ^ digest)))
+                tags = batch.column(0).field("tag").to_numpy()[text + base]
+                pick = np.arange(len(digest)) if asked is None else np.flatnonzero(bloom.may_contain(asked, _run_key(hashed, digest, tags, start - bounds[text])))
                 if not len(pick):
                     continue
                 columns = [
@@ -261,7 +268,7 @@ def _sorter(length: int):
             return pa.RecordBatch.from_arrays([pa.array(rows, ROW), pa.array(begin, pa.int64()), pa.array(end, pa.int64())], names=["row", "begin", "end"])
 
         for batch in batches:
-            for runs in batch.column(0).to_pylist():
+            for runs in (bucket_.as_py() for bucket_ in batch.column(0)):  # one bucket at a time
                 bucket += 1
                 pending.extend((bucket, r) for r in runs)
                 size += sum(len(r["bytes"]) for r in runs)
@@ -345,8 +352,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     split_up = materialize(by_anchor.where("kinds > 1 and any_lone").select("anchor", "kinds"), "repeat-buckets")
     open_ = materialize(by_digest.join(split_up, "anchor").select("anchor", "digest", "kinds", lone.alias("lone"), "one.*"), "repeat-open")
     bits = bloom.bits_for(open_.count(), bits_per_anchor, max_bits)
-    both = lambda batch: mixed(batch.column(0).to_numpy().view(np.uint64) ^ batch.column(1).to_numpy().view(np.uint64))
-    wanted = spark.sparkContext.broadcast(bloom.once_seen(open_.select("anchor", "digest"), both, bits))
+    keys = lambda batch: _run_key(*[batch.column(i).to_numpy() for i in range(4)])
+    wanted = spark.sparkContext.broadcast(bloom.once_seen(open_.select("anchor", "digest", "row.tag", "start"), keys, bits))
     read = texts.mapInArrow(_lister(length, anchors, wanted), RUN + ", bytes binary")
     read = materialize(read.join(open_, ["anchor", "digest", "row", "start"]), "repeat-read").drop("digest")
     buckets = read.where(f"kinds <= {SORTED}").groupBy("anchor").agg(F.collect_list(F.struct("row", "start", "n", "place", "lone", "bytes")).alias("runs"))
