@@ -11,7 +11,9 @@ sorted one at a time, and only these are:
    suffixes of an anchor's bucket are sorted as far as `length` bytes: by their first COVER bytes, then by
    ranks of the sample of positions that a difference cover picks, which stand for the bytes between. Suffixes
    that share all of that with a neighbour in the order repeat.
-3. Repeated stretches of a text are united and cut out.
+3. Buckets with too many runs for one task are dealt by content instead: runs in pieces of a few suffixes that equal
+   pieces settle, and what is left suffix by suffix.
+4. Repeated stretches of a text are united and cut out.
 """
 
 from __future__ import annotations
@@ -35,6 +37,8 @@ GRAM = 48
 COVER = 32
 #: Distinct runs of one bucket that a task sorts; the suffixes of larger buckets are dealt by their digests.
 SORTED = 512
+#: Suffixes in a piece of a run of a larger bucket.
+STEP = 16
 #: Bytes of runs sorted at once.
 BLOCK = 1 << 20
 #: Low bits of an ordering hash that give way to the place; longer texts are listed in overlapping slices.
@@ -280,6 +284,28 @@ def _sorter(length: int):
     return run
 
 
+def _pieces(length: int):
+    """Runs of large buckets in pieces of STEP suffixes, at the same distances from the anchor in every run."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["anchor", "digest", "row", "start", "n", "lone", "bytes"]
+        kinds = [pa.int64(), pa.int64(), ROW, pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                at = 0
+                while at < r["n"]:
+                    ahead = r["place"] - at
+                    n = min(r["n"] - at, ahead % STEP + 1)
+                    raw = r["bytes"][at : at + n - 1 + length]
+                    digest = xxhash.xxh3_64_intdigest(raw, seed=ahead)
+                    rows.append((r["anchor"], digest - (1 << 64) if digest >> 63 else digest, r["row"], r["start"] + at, n, r["lone"], raw))
+                    at += n
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], k) for i, k in enumerate(kinds)], names=names)
+
+    return run
+
+
 def _suffix_digests(length: int):
     """Every suffix of large buckets as a digest of its first `length` bytes."""
 
@@ -359,11 +385,18 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     buckets = read.where(f"kinds <= {SORTED}").groupBy("anchor").agg(F.collect_list(F.struct("row", "start", "n", "place", "lone", "bytes")).alias("runs"))
     spans = "row struct<id:long,tag:long>, begin long, end long"
     sorted_ = buckets.select("runs").mapInArrow(_sorter(length), spans)
-    dealt = read.where(f"kinds > {SORTED}").drop("kinds", "place")
-    dealt = dealt.mapInArrow(_suffix_digests(length), "anchor long, digest long, row struct<id:long,tag:long>, start long, lone boolean")
-    twins = dealt.groupBy("anchor", "digest").agg(F.count("*").alias("copies"), F.collect_list(F.when(F.col("lone"), F.struct("row", "start"))).alias("where")).where("copies > 1")
-    split = twins.select(F.explode("where").alias("w")).select("w.row", F.col("w.start").alias("begin"), (F.col("w.start") + length).alias("end"))
-
-    found = whole.unionByName(sorted_).unionByName(split).groupBy("row").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
+    row = "row struct<id:long,tag:long>"
+    pieces = read.where(f"kinds > {SORTED}").drop("kinds").mapInArrow(_pieces(length), f"anchor long, digest long, {row}, start long, n int, lone boolean, bytes binary")
+    pieces = materialize(pieces, "repeat-pieces")
+    kinds = materialize(pieces.groupBy("anchor", "digest").agg(F.count("*").alias("copies"), F.min(F.struct("row", "start")).alias("one")), "repeat-kinds")
+    equal = pieces.drop("bytes").where("lone").join(kinds.where("copies > 1").select("anchor", "digest"), ["anchor", "digest"])
+    equal = equal.select("row", F.col("start").alias("begin"), (F.col("start") + F.col("n") - 1 + length).alias("end"))
+    alone = pieces.join(kinds.select("anchor", "digest", "one.*", "copies"), ["anchor", "digest", "row", "start"]).withColumn("lone", F.expr("lone and copies = 1"))
+    dealt = alone.drop("digest", "copies").mapInArrow(_suffix_digests(length), f"anchor long, digest long, {row}, start long, lone boolean")
+    dealt = materialize(dealt, "repeat-suffixes")
+    twins = materialize(dealt.groupBy("anchor", "digest").agg(F.count("*").alias("copies")).where("copies > 1").select("anchor", "digest"), "repeat-twins")
+    split = dealt.where("lone").join(twins, ["anchor", "digest"]).select("row", F.col("start").alias("begin"), (F.col("start") + length).alias("end"))
+
+    found = whole.unionByName(sorted_).unionByName(equal).unionByName(split).groupBy("row").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
     joined = keyed.join(found, "row", "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
