@@ -9,7 +9,6 @@ cut at powers of two, and no sequence carries padding.
 
 from __future__ import annotations
 
-
 import json
 import zlib
 from array import array
@@ -96,11 +95,8 @@ class Encoder:
         return self._ids(words[0]) + rest
 
 
-def _fill(pool: list[tuple[int, int]], tail: bool) -> Iterator[tuple[int, list[tuple[int, int, int]]]]:
-    """Windows as (length, [(key, skip, take)]) from remainders (length, key), skip being ids already taken.
-
-    With tail unset, the last window that can't be filled stays in the pool.
-    """
+def _fill(pool: list[tuple[int, int]]) -> Iterator[tuple[int, list[tuple[int, int, int]]]]:
+    """Windows as (length, [(key, skip, take)]) from remainders (length, key), skip being ids already taken."""
     pool.sort()
     skipped: dict[int, int] = {}
 
@@ -161,7 +157,7 @@ def _packer(tokenizer: str | None, longest: int, step_tokens: int):
             return base + n_seq - 1, base + (group << 6) + window.bit_length()
 
         def packed() -> None:
-            for window, parts in _fill(pool, True):
+            for window, parts in _fill(pool):
                 seq, group = sequence(window)
                 at = 0
                 for key, skip, n in parts:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -24,7 +26,9 @@ def shared_folder(spark: SparkSession) -> str:
     if app not in _FALLBACK:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
-        _FALLBACK[app] = "file://" + tempfile.mkdtemp(prefix="recordloom-")
+        folder = tempfile.mkdtemp(prefix="recordloom-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _FALLBACK[app] = "file://" + folder
     return _FALLBACK[app]
 
 

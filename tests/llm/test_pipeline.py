@@ -1,6 +1,5 @@
 """Queries without SQL and the pipeline's stages against brute force on a small table."""
 
-import hashlib
 from collections import Counter
 
 import corpus_pipeline
