@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from recordloom.operators import variance as V
 
@@ -61,7 +60,7 @@ def mixed_vpc(df: DataFrame, metrics: list[str]) -> DataFrame:
     Values are z-scores. Only n, mean and squared deviations of each unit reach the driver. Under 100 rows or
     without variance the shares are null.
     """
-    cells = V.cell_moments(V.long_metrics(df, metrics, ["hospital", "unit_id"]), ["hospital", "unit_id"]).toPandas()
+    cells = V.metric_moments(df, metrics, ["hospital", "unit_id"]).toPandas()
     rows = []
     for metric in metrics:
         own = cells[cells.metric == metric]

@@ -34,7 +34,7 @@ def bootstrap_hospital(df: DataFrame, metrics: list[str], replicates: int) -> Da
     A cluster drawn k times is a cluster of k times the size with the same mean, so replicates reweigh the moments of
     unit cells; rows are never resampled.
     """
-    cells = V.cell_moments(V.long_metrics(df, metrics, ["hospital", "unit_id"]), ["hospital", "unit_id"])
+    cells = V.metric_moments(df, metrics, ["hospital", "unit_id"])
     weighted = cells.join(cluster_weights(df.select("hospital"), replicates), "hospital")
     weighted = weighted.select(F.concat_ws("|", "metric", "replicate").alias("metric"), "hospital", "unit_id", (F.col("n") * F.col("weight")).alias("n"), "mean", (F.col("m2") * F.col("weight")).alias("m2"))
     both = V.eta2_of_cells(weighted, F.col("hospital"), "h").join(V.eta2_of_cells(weighted, F.col("unit_id"), "u").drop("n"), "metric")

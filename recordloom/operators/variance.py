@@ -24,6 +24,16 @@ def cell_moments(long: DataFrame, groups: list[str]) -> DataFrame:
     return long.groupBy("metric", *groups).agg(F.count("*").alias("n"), F.avg("y").alias("mean"), (F.var_pop("y") * F.count("*")).alias("m2"))
 
 
+def metric_moments(df: DataFrame, metrics: list[str], groups: list[str]) -> DataFrame:
+    """cell_moments() of whole columns: all metrics in one aggregation, turned to rows when they are few."""
+    aggs = []
+    for m in metrics:
+        y = F.col(m).cast("double")
+        aggs += [F.count(y).alias(f"{m}__n"), F.avg(y).alias(f"{m}__mean"), (F.var_pop(y) * F.count(y)).alias(f"{m}__m2")]
+    rows = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"{m}__n").alias("n"), F.col(f"{m}__mean").alias("mean"), F.col(f"{m}__m2").alias("m2")) for m in metrics])
+    return df.groupBy(*groups).agg(*aggs).select(*groups, F.inline(rows)).where("n > 0").select("metric", *groups, "n", "mean", "m2")
+
+
 def eta2_of_cells(cells: DataFrame, group: Column, name: str = "eta2", least: int = 10) -> DataFrame:
     """(metric, name, n) from moments of cells that lie within the groups.
 
@@ -41,12 +51,12 @@ def eta2_of_cells(cells: DataFrame, group: Column, name: str = "eta2", least: in
 
 def eta2(df: DataFrame, metrics: list[str], group: str, name: str = "eta2", least: int = 10) -> DataFrame:
     """Share of each metric's variance between groups: (metric, eta2, n)."""
-    return eta2_of_cells(cell_moments(long_metrics(df, metrics, [group]), [group]), F.col(group), name, least)
+    return eta2_of_cells(metric_moments(df, metrics, [group]), F.col(group), name, least)
 
 
 def nested_r2(df: DataFrame, metrics: list[str], least: int = 100) -> DataFrame:
     """Increments of explained variance over database, hospital, unit; groups roll up from unit cells."""
-    cells = cell_moments(long_metrics(df, metrics, ["database", "hospital", "unit_id"]), ["database", "hospital", "unit_id"])
+    cells = metric_moments(df, metrics, ["database", "hospital", "unit_id"])
     parts = [eta2_of_cells(cells, F.col(g), f"r_{g}", least) for g in ("database", "hospital", "unit_id")]
     joined = parts[0].join(parts[1].drop("n"), "metric").join(parts[2].drop("n"), "metric")
     return joined.select(
@@ -61,7 +71,7 @@ def nested_r2(df: DataFrame, metrics: list[str], least: int = 100) -> DataFrame:
 
 def unit_within_hospital(df: DataFrame, metrics: list[str]) -> DataFrame:
     """eta2 of units less eta2 of hospitals, from the moments of unit cells."""
-    cells = cell_moments(long_metrics(df, metrics, ["hospital", "unit_id"]), ["hospital", "unit_id"])
+    cells = metric_moments(df, metrics, ["hospital", "unit_id"])
     both = eta2_of_cells(cells, F.col("hospital"), "eta2_hospital").join(eta2_of_cells(cells, F.col("unit_id"), "eta2_unit").drop("n"), "metric")
     return both.withColumn("eta2_unit_within", F.col("eta2_unit") - F.col("eta2_hospital"))
 

@@ -14,10 +14,13 @@ from recordloom.sources.tables import Star
 
 
 def _folder(star: Star, name: str) -> str:
+    """A new path in the shared folder; a local session may do without one."""
     import tempfile
     import uuid
 
     root = star.spark.conf.get("spark.checkpoint.dir", None)
+    if root is None and not star.spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
     return f"{root.rstrip('/') if root else 'file://' + tempfile.mkdtemp()}/{name}-{uuid.uuid4().hex}"
 
 
