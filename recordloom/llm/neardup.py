@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recordloom.llm.shingles import mixed, shingle_sets
@@ -279,7 +279,7 @@ def candidates(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
     nodes = materialize(usable.join(classes, "digest").select("id", "n", "registers", "first").dropDuplicates(["id", "first"]), "nodes")
     bands = nodes.where("id = first").select("id", "registers").mapInArrow(_band_keys, "key long, id long, band int")
     shared = bands.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("members")).where("members > 1")
-    hits = materialize(bands.join(shared, "key"), "hits")
+    hits = materialize(bands.join(materialize(shared, "shared-keys"), "key"), "hits")  # from a table: a large bucket can be split
     return nodes, hits
 
 
@@ -291,7 +291,7 @@ def open_links(hits: DataFrame, parts: DataFrame, reps: DataFrame, texts: DataFr
     """
     placed = hits.join(parts, "id", "left").select("key", "band", "id", "members", F.coalesce("part", "id").alias("part"))
     mixed_ = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
-    open_ = materialize(placed.join(mixed_, "key").where("members > 2"), "open-hits")
+    open_ = materialize(placed.join(materialize(mixed_, "open-keys"), "key").where("members > 2"), "open-hits")
     if open_.isEmpty():
         return None
     sizes = open_.groupBy("key", "part").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "part")).alias("top"), F.sum("m").alias("all"))
