@@ -1,7 +1,8 @@
 """Logistic regression by iteratively reweighted least squares over grouped sums.
 
 Each iteration is one pass that sums X'WX and X'W(z) in the tasks; only k x k numbers per model come to the driver.
-Cluster-robust errors take one more pass for the score sums of clusters.
+Cluster-robust errors take one more pass for the score sums of clusters. A design of a checked, small size is read
+once and iterated on the driver by the same functions.
 """
 
 from __future__ import annotations
@@ -11,11 +12,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Models fitted at once; each holds k * k sums on the driver.
 MODELS = 10_000
+#: Numbers in a design that is iterated on the driver (32 MB); a larger one is summed in tasks, step by step.
+LOCAL = 4_000_000
 
 
 def design(df: DataFrame, category: str, reference: str, covariates: list[str]) -> tuple[DataFrame, list[str]]:
@@ -55,10 +59,20 @@ def _sums(betas: dict[str, np.ndarray], k: int, by_cluster: bool):
 
 
 def _summed(rows: DataFrame, betas: dict, k: int, by_cluster: bool) -> DataFrame:
+    """model, cluster, i, v: the i-th sum of each model (and cluster). Tasks add up first, so one small shuffle is left."""
     parts = rows.mapInArrow(_sums(betas, k, by_cluster), "model string, cluster string, sums array<double>")
     each = parts.select("model", "cluster", F.posexplode("sums").alias("i", "v"))
-    added = each.groupBy("model", "cluster", "i").agg(F.sum("v").alias("v"))
-    return added.groupBy("model", "cluster").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("sums"))
+    return each.groupBy("model", "cluster", "i").agg(F.sum("v").alias("v"))
+
+
+def _summed_here(batches: list[pa.RecordBatch], betas: dict, k: int, by_cluster: bool) -> dict[tuple, np.ndarray]:
+    """The same sums of a design that is held on the driver, by (model, cluster)."""
+    total: dict[tuple, np.ndarray] = {}
+    for part in _sums(betas, k, by_cluster)(iter(batches)):
+        for r in part.to_pylist():
+            key = (r["model"], r["cluster"])
+            total[key] = total.get(key, 0) + np.array(r["sums"])
+    return total
 
 
 def fit(rows: DataFrame, names: list[str], cluster: str | None = None, model: str | None = None, steps: int = 25, tolerance: float = 1e-9) -> list[dict]:
@@ -73,17 +87,21 @@ def fit(rows: DataFrame, names: list[str], cluster: str | None = None, model: st
         F.col("y").cast("double").alias("y"),
         "x",
         (F.col(cluster).cast("string") if cluster else F.lit("")).alias("cluster"),
-    ).where(~F.exists("x", lambda v: v.isNull()) & F.col("y").isNotNull())
+    ).where(~F.exists("x", lambda v: v.isNull()) & F.col("y").isNotNull()).persist(StorageLevel.MEMORY_AND_DISK)  # read once a step
+    here = flat.toArrow().to_batches() if flat.limit(LOCAL // k + 1).count() <= LOCAL // k else None
     betas: dict[str, np.ndarray] = {}
     done: dict[str, bool] = {}
     last: dict[str, tuple] = {}
     for _ in range(steps):
-        for r in _summed(flat, betas, k, False).limit(MODELS).collect():
-            v = np.array(r["sums"])
+        sums: dict[str, np.ndarray] = {}
+        if here is not None:
+            sums = {m: v for (m, _), v in _summed_here(here, betas, k, False).items()}
+        for r in _summed(flat, betas, k, False).limit(MODELS * (k * k + k + 2)).collect() if here is None else []:
+            sums.setdefault(r["model"], np.zeros(k * k + k + 2))[r["i"]] = r["v"]
+        for m, v in sums.items():
             h, g = v[: k * k].reshape(k, k), v[k * k : k * k + k]
             inverse = np.linalg.pinv(h)
             step = inverse @ g
-            m = r["model"]
             last[m] = (inverse, v[-2], v[-1])
             done[m] = bool(np.abs(step).max() < tolerance)
             betas[m] = betas.get(m, np.zeros(k)) + np.clip(step, -5, 5)
@@ -91,11 +109,17 @@ def fit(rows: DataFrame, names: list[str], cluster: str | None = None, model: st
             break
     meat: dict[str, np.ndarray] = {}
     groups: dict[str, int] = {}
-    if cluster:
-        outer = _summed(flat, betas, k, True).select("model", F.posexplode("sums").alias("i", "a"), "sums").select("model", "i", F.posexplode("sums").alias("j", "b"), "a")
+    if cluster and here is not None:
+        for (m, _), v in _summed_here(here, betas, k, True).items():
+            meat[m] = meat.get(m, 0) + np.outer(v, v)
+            groups[m] = groups.get(m, 0) + 1
+    elif cluster:
+        scores = _summed(flat, betas, k, True).groupBy("model", "cluster").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("sums"))
+        outer = scores.select("model", F.posexplode("sums").alias("i", "a"), "sums").select("model", "i", F.posexplode("sums").alias("j", "b"), "a")
         for r in outer.groupBy("model", "i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("v"), F.count("*").alias("g")).collect():
             meat.setdefault(r["model"], np.zeros((k, k)))[r["i"], r["j"]] = r["v"]
             groups[r["model"]] = r["g"]
+    flat.unpersist()
     out = []
     for m, beta in sorted(betas.items()):
         cov, n, _ = last[m]

@@ -118,7 +118,9 @@ def test_stay_bootstrap_brackets_the_estimate(spark):
     assert one(B.bootstrap_stays(df.repartition(3), ["m"], "u", 100, 17)).lo == pytest.approx(got.lo, abs=1e-9)
 
 
-def test_logit_equals_newton_by_hand(spark):
+@pytest.mark.parametrize("held", [0, R.LOCAL])  # summed in tasks, and on the driver
+def test_logit_equals_newton_by_hand(spark, monkeypatch, held):
+    monkeypatch.setattr(R, "LOCAL", held)
     rng = np.random.default_rng(5)
     n = 600
     b, z, h = rng.integers(0, 3, n), rng.normal(size=n), rng.integers(0, 12, n)
