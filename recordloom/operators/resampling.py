@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordloom.operators import variance as V
@@ -28,19 +28,43 @@ def cluster_weights(clusters: DataFrame, replicates: int, cluster: str = "hospit
     return each.groupBy("replicate", number.alias("i")).agg(F.count("*").alias("weight")).join(names, "i").select("replicate", cluster, "weight")
 
 
-def bootstrap_hospital(df: DataFrame, metrics: list[str], replicates: int) -> DataFrame:
+def _density_of_replicates(df: DataFrame, metrics: list[str], covariate: Column, weights: DataFrame, least: int = 10) -> DataFrame:
+    """(metric, replicate, given): eta2 over hospitals of the residuals of a straight line on the covariate.
+
+    The line is fitted anew in each replicate. Residuals' sums follow from a hospital's sums and cross-products, so
+    these are reweighed; under `least` rows or without spread of the covariate the values themselves are taken.
+    """
+    cells = V.pair_moments(df, metrics, covariate, "hospital").withColumnRenamed("g", "hospital")
+    own = cells.join(weights, "hospital").select("metric", "replicate", "sx", "sy", "n", *[(F.col(c) * F.col("weight")).alias(f"w_{c}") for c in ("n", "sx", "sy", "sxx", "sxy", "syy")])
+    sums = own.groupBy("metric", "replicate").agg(*[F.sum(f"w_{c}").alias(f"t_{c}") for c in ("n", "sx", "sy", "sxx", "sxy", "syy")])
+    txx, txy, tyy = (F.col(f"t_s{a}{b}") - F.col(f"t_s{a}") * F.col(f"t_s{b}") / F.col("t_n") for a, b in ("xx", "xy", "yy"))
+    lines = sums.select("metric", "replicate", "t_n", "t_sx", "t_sy", F.when((F.col("t_n") >= least) & (txx > 0), txy / txx).otherwise(0.0).alias("slope"), txx.alias("txx"), txy.alias("txy"), tyy.alias("tyy"))
+    off = F.col("sy") / F.col("n") - F.col("t_sy") / F.col("t_n") - F.col("slope") * (F.col("sx") / F.col("n") - F.col("t_sx") / F.col("t_n"))
+    between = own.join(lines, ["metric", "replicate"]).groupBy("metric", "replicate").agg(F.sum(F.col("w_n") * off * off).alias("ssb"))
+    sst = F.col("tyy") - 2 * F.col("slope") * F.col("txy") + F.col("slope") ** 2 * F.col("txx")
+    # what rounding leaves of a sum of squares that is zero counts as none
+    value = F.when((F.col("t_n") >= least) & (sst > 1e-12 * F.col("tyy")), F.col("ssb") / sst)
+    return lines.join(between, ["metric", "replicate"]).select("metric", "replicate", value.alias("given"))
+
+
+def bootstrap_hospital(df: DataFrame, metrics: list[str], replicates: int, density: Column | None = None) -> DataFrame:
     """Percentile intervals of eta2 over hospitals, and of units within them, resampling whole hospitals.
 
     A cluster drawn k times is a cluster of k times the size with the same mean, so replicates reweigh the moments of
-    unit cells; rows are never resampled.
+    unit cells; rows are never resampled. With density, also the interval of eta2 over hospitals given density.
     """
     cells = V.metric_moments(df, metrics, ["hospital", "unit_id"])
-    weighted = cells.join(cluster_weights(df.select("hospital"), replicates), "hospital")
+    drawn = cluster_weights(df.select("hospital"), replicates)
+    weighted = cells.join(drawn, "hospital")
     weighted = weighted.select(F.concat_ws("|", "metric", "replicate").alias("metric"), "hospital", "unit_id", (F.col("n") * F.col("weight")).alias("n"), "mean", (F.col("m2") * F.col("weight")).alias("m2"))
     both = V.eta2_of_cells(weighted, F.col("hospital"), "h").join(V.eta2_of_cells(weighted, F.col("unit_id"), "u").drop("n"), "metric")
-    each = both.select(F.split_part("metric", F.lit("|"), F.lit(1)).alias("metric"), "h", (F.col("u") - F.col("h")).alias("within"))
+    each = both.select(F.split_part("metric", F.lit("|"), F.lit(1)).alias("metric"), F.split_part("metric", F.lit("|"), F.lit(2)).cast("long").alias("replicate"), "h", (F.col("u") - F.col("h")).alias("within"))
     cut = lambda c, p: F.percentile(c, F.lit(p))
-    return each.groupBy("metric").agg(F.count("*").alias("replicates"), cut("h", 0.025).alias("hospital_lo"), cut("h", 0.975).alias("hospital_hi"), cut("within", 0.025).alias("within_lo"), cut("within", 0.975).alias("within_hi"))
+    wanted = [cut("h", 0.025).alias("hospital_lo"), cut("h", 0.975).alias("hospital_hi"), cut("within", 0.025).alias("within_lo"), cut("within", 0.975).alias("within_hi")]
+    if density is not None:
+        each = each.join(_density_of_replicates(df, metrics, density, drawn), ["metric", "replicate"], "left")
+        wanted += [cut("given", 0.025).alias("given_density_lo"), cut("given", 0.975).alias("given_density_hi")]
+    return each.groupBy("metric").agg(F.count("*").alias("replicates"), *wanted)
 
 
 def _weigh(metrics: list[str], replicates: int, seed: int):

@@ -84,7 +84,8 @@ def _with_covariate(df: DataFrame, metrics: list[str], covariate: Column, group:
     return long.join(F.broadcast(centre), "metric").select("metric", group, (F.col("x") - F.col("cx")).alias("x"), (F.col("y") - F.col("cy")).alias("y"))
 
 
-def _pair_moments(df: DataFrame, metrics: list[str], covariate: Column, group: str) -> DataFrame:
+def pair_moments(df: DataFrame, metrics: list[str], covariate: Column, group: str) -> DataFrame:
+    """Counts, sums and cross-products of covariate x and metric y per (metric, g), both centred over the metric's rows."""
     return _with_covariate(df, metrics, covariate, group).groupBy("metric", F.col(group).alias("g")).agg(
         F.count("*").alias("n"), F.sum("x").alias("sx"), F.sum("y").alias("sy"), F.sum(F.col("x") * F.col("x")).alias("sxx"), F.sum(F.col("x") * F.col("y")).alias("sxy"), F.sum(F.col("y") * F.col("y")).alias("syy")
     )
@@ -96,7 +97,7 @@ def partial_eta2(df: DataFrame, metrics: list[str], covariate: Column, group: st
     Within groups the residual sum of squares is Wyy - Wxy^2 / Wxx. Null under `least` rows, if the covariate
     explains more than 0.999, or without variance.
     """
-    m = _pair_moments(df, metrics, covariate, group)
+    m = pair_moments(df, metrics, covariate, group)
     within = lambda s, a, b: F.sum(F.col(s) - F.col(a) * F.col(b) / F.col("n"))
     rolled = m.groupBy("metric").agg(
         F.sum("n").alias("n"),

@@ -186,9 +186,19 @@ def bootstrap_hospital(star: Star) -> DataFrame:
     return _rounded(found, "hospital_lo", "hospital_hi", "within_lo", "within_hi")
 
 
+#: The metrics that the reference resamples.
+_BOOT8 = [m for m in M9 if m != "n_gaps_gt4h"]
+
+
+@query()
+def bootstrap_decomposition(star: Star) -> DataFrame:
+    """The whole hospital bootstrap: three components of all resampled metrics. bootstrap_hospital has SQL for a part of it."""
+    return B.bootstrap_hospital(nurse_cohort(star), _BOOT8, DEFAULT.bootstraps, F.log("n_records"))
+
+
 @query()
 def bootstrap_stay(star: Star) -> DataFrame:
-    return B.bootstrap_stays(nurse_cohort(star), _BOOT, "unittype", 100, DEFAULT.seed)
+    return B.bootstrap_stays(nurse_cohort(star), _BOOT8, "unittype", DEFAULT.bootstraps, DEFAULT.seed)
 
 
 @query()

@@ -109,6 +109,41 @@ def test_bootstrap_on_moments_equals_rows(spark):
     assert got.hospital_hi == pytest.approx(np.percentile(found, 97.5), abs=1e-9)
 
 
+def test_bootstrap_given_density_equals_rows(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for h in range(6):
+        for u in range(2):
+            for _ in range(12):
+                n = int(rng.integers(3, 40))
+                rows.append((f"h{h}", f"h{h}:u{u}", n, None if rng.random() < 0.1 else float(rng.normal(h, 1) + 0.2 * n)))
+    df = spark.createDataFrame(rows, "hospital string, unit_id string, n_records int, m double")
+    weights = {}
+    for r in B.cluster_weights(df.select("hospital"), 20).collect():
+        weights.setdefault(r.replicate, {})[r.hospital] = r.weight
+    found = []
+    for w in weights.values():
+        drawn = [(h, np.log(n), v) for h, _, n, v in rows for _ in range(w.get(h, 0)) if v is not None]
+        g, x, y = (np.array(c) for c in zip(*drawn))
+        y = y - np.polyval(np.polyfit(x, y, 1), x)
+        found.append(sum((g == k).sum() * (y[g == k].mean() - y.mean()) ** 2 for k in set(g)) / ((y - y.mean()) ** 2).sum())
+    got = one(B.bootstrap_hospital(df, ["m"], 20, F.log("n_records")))
+    assert got.given_density_lo == pytest.approx(np.percentile(found, 2.5), abs=1e-9)
+    assert got.given_density_hi == pytest.approx(np.percentile(found, 97.5), abs=1e-9)
+    plain = one(B.bootstrap_hospital(df, ["m"], 20))
+    assert (got.hospital_lo, got.within_hi) == pytest.approx((plain.hospital_lo, plain.within_hi), abs=1e-12)
+
+
+def test_bootstrap_queries_run_the_whole_job(spark):
+    from recordloom.plans.catalog import QUERIES
+
+    eight = {"n_records", "t_first_h", "median_interval_min", "iqr_interval_min", "max_interval_min", "n_gaps_gt30m", "n_gaps_gt2h", "frac_time_in_gaps"}
+    for name, bounds in (("bootstrap_stay", ("lo",)), ("bootstrap_decomposition", ("hospital_lo", "within_lo", "given_density_lo"))):
+        got = {r.metric: r for r in QUERIES[name](spark, "/root/testdata/sf0.001").collect()}
+        assert set(got) == eight and {r.replicates for r in got.values()} == {500}
+        assert all(got["median_interval_min"][b] is not None for b in bounds)
+
+
 def test_stay_bootstrap_brackets_the_estimate(spark):
     rng = np.random.default_rng(4)
     df = spark.createDataFrame([(i, f"u{i % 4}", float(rng.normal(i % 4, 2))) for i in range(400)], "stay_key long, u string, m double")
