@@ -10,6 +10,7 @@ cut at powers of two, and no sequence carries padding.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from array import array
 from bisect import bisect_right, insort
@@ -57,10 +58,11 @@ class Encoder:
 
     The vocabulary is read from the tokenizers JSON file; merging runs in tiktoken, which gives the same ids
     several times faster (tests compare the two), and ids of words seen before come from a bounded memory.
-    Strings of special tokens in a text are ordinary text.
+    With added, strings of the file's added tokens in a text become their ids, as tokenizers does by default, and
+    what lies between them is encoded by itself; otherwise they are ordinary text (its encode_special_tokens).
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
@@ -69,11 +71,21 @@ class Encoder:
         ranks = {_bytes_of(s, table): i for s, i in spec["model"]["vocab"].items() if s not in special}
         self._plain = tiktoken.Encoding("plain", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
         self._memory: dict[str, bytes] = {}
+        self._added = {t["content"]: array("I", [t["id"]]).tobytes() for t in spec["added_tokens"]} if added else {}
+        if added and any(t.get(k) for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip")):
+            raise ValueError("added tokens that take white space or whole words only are not supported")
+        longest_first = sorted(self._added, key=len, reverse=True)
+        self._split = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")").split
 
     def _ids(self, text: str) -> bytes:
         return array("I", self._plain.encode_ordinary(text)).tobytes()
 
     def encode(self, text: str) -> bytes:
+        if any(t in text for t in self._added):
+            return b"".join(self._added[t] if t in self._added else self._words(t) for t in self._split(text) if t)
+        return self._words(text)
+
+    def _words(self, text: str) -> bytes:
         """A space between two visible characters always starts a piece, so words are encoded one by one."""
         words = text.split(" ")
         if "" in words or len(words) < 8:  # leading, trailing or repeated spaces: whole text at once
@@ -140,7 +152,7 @@ def _fill(pool: list[tuple[int, int]]) -> Iterator[tuple[int, list[tuple[int, in
 
 def _packer(tokenizer: str | None, longest: int, step_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer or default_tokenizer())
+        encoder = Encoder(tokenizer or default_tokenizer(), added=True)
         base = TaskContext.get().partitionId() << 40
         n_seq, per_tier = 0, {}
         names = [c.split()[0] for c in SCHEMA.split(", ")]

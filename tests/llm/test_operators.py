@@ -378,6 +378,26 @@ def test_ids_equal_the_tokenizer(spark):
         assert np.frombuffer(encoder.encode(t), "<u4").tolist() == reference.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_packing_emits_added_tokens(spark):
+    import zlib
+
+    from tokenizers import Tokenizer
+
+    reference = Tokenizer.from_file(packing.default_tokenizer())
+    mark = "<|endoftext|>"
+    texts = ["the " + mark + " token", mark, mark * 3, mark + "\n\n a b c d e f g h i " + mark, "a b c d e f g h i" + mark + " a b c d e f g h i", "<|endoftext| >", " " + mark + "  "]
+    want = {}
+    for i, t in enumerate(texts):
+        ids = np.array(reference.encode(t, add_special_tokens=False).ids + [0], "<u4")
+        want[i] = ids
+    assert want[0].tolist() == [1169, 220, 50256, 11241, 0]
+    got = packing.pack(docs(spark, *enumerate(texts))).collect()
+    assert {r.doc_id for r in got} == set(want)
+    for r in got:
+        assert r.doc_tokens == len(want[r.doc_id])
+        assert r.ids_crc32 == zlib.crc32(want[r.doc_id][r.start : r.start + r.length].tobytes())
+
+
 def test_packing_keeps_every_id_once(spark, monkeypatch):
     import zlib
 
