@@ -698,14 +698,33 @@ def _admissions(star: Star) -> DataFrame:
     return c.crossJoin(F.broadcast(cut)).crossJoin(F.broadcast(stats)).withColumns({"low": F.col("n") <= F.col("cut"), "z": (F.col("mean_value") - F.col("mu")) / F.col("sd")})
 
 
+def _specifications(star: Star) -> DataFrame:
+    """Rows of the four models (specification): {contaminated, clean} exposure x {all stays, completed 24h}.
+
+    Contaminated counts are the monitor stream's, clean ones the nurse stream's, both in the window; stays have both
+    and a clock hour. The low flag is a count up to the 10th percentile of its own subset.
+    """
+    hours = star.clock().groupBy("stay_key").agg(F.hour(F.min("ts")).alias("hour"), F.avg("value").alias("mean_value"))
+    count = lambda events, name: E.in_window(events).groupBy("stay_key").agg(F.count("*").alias(name))
+    c = hours.where("hour is not null").join(star.stays(), "stay_key").join(count(star.monitor(), "contaminated"), "stay_key").join(count(star.nurse(), "clean"), "stay_key")
+    stats = c.agg(F.avg("mean_value").alias("mu"), F.stddev_samp("mean_value").alias("sd"))
+    dressed = c.crossJoin(F.broadcast(stats)).withColumns({"bin": S.bin_2h(F.col("hour")), "z": (F.col("mean_value") - F.col("mu")) / F.col("sd")})
+    keep = ["stay_key", "hospital", "bin", "z"]
+    long = dressed.unpivot([*keep, "completed"], ["contaminated", "clean"], "exposure", "records")
+    subsets = F.when(F.col("completed"), F.array(F.lit("all stays"), F.lit("completed 24h"))).otherwise(F.array(F.lit("all stays")))
+    each = long.withColumn("restriction", F.explode(subsets)).select(*keep, F.concat_ws(" / ", "exposure", "restriction").alias("specification"), "records")
+    cuts = A.quantile(each, "records", [0.1], ("specification",)).select("specification", "cut")
+    return each.join(F.broadcast(cuts), "specification").withColumn("low", F.col("records") <= F.col("cut"))
+
+
 @query()
 def logit_hourly(star: Star) -> DataFrame:
-    return R.odds_ratios(_admissions(star), "low", "bin", "00-02", ["z"])
+    return R.odds_ratios(_specifications(star), "low", "bin", "00-02", ["z"], model="specification")
 
 
 @query()
 def logit_cluster(star: Star) -> DataFrame:
-    return R.odds_ratios(_admissions(star), "low", "bin", "00-02", ["z"], cluster="hospital")
+    return R.odds_ratios(_specifications(star), "low", "bin", "00-02", ["z"], cluster="hospital", model="specification")
 
 
 @query()

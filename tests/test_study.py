@@ -177,6 +177,30 @@ def test_logit_equals_newton_by_hand(spark, monkeypatch, held):
     assert [r["se"] for r in robust] == pytest.approx(np.sqrt(np.diag(cov)).tolist(), abs=1e-6)
 
 
+def test_hourly_models_have_four_specifications(spark):
+    from recordloom.plans import study
+    from recordloom.plans.catalog import QUERIES
+    from recordloom.sources.tables import Star
+
+    sf = "/root/testdata/sf0.01"
+    star = Star(spark, sf)
+    rows = study._specifications(star).select("specification", "stay_key", "records", "low").toPandas()
+    done = {r.stay_key for r in star.stays().where("completed").select("stay_key").collect()}
+    subsets = {}
+    for exposure, events in (("contaminated", star.monitor()), ("clean", star.nurse())):
+        counts = {r.stay_key: r["count"] for r in E.in_window(events).groupBy("stay_key").count().collect()}
+        for restriction in ("all stays", "completed 24h"):
+            own = rows[rows.specification == f"{exposure} / {restriction}"]
+            assert len(own) and own.stay_key.is_unique
+            assert [counts[k] for k in own.stay_key] == own.records.tolist()
+            assert (own.low == (own.records <= own.records.quantile(0.10))).all()
+            subsets[exposure, restriction] = set(own.stay_key)
+        assert subsets[exposure, "completed 24h"] == subsets[exposure, "all stays"] & done != subsets[exposure, "all stays"]
+    assert subsets["clean", "all stays"] == subsets["contaminated", "all stays"]
+    got = QUERIES["logit_hourly"](spark, sf).groupBy("model").agg(F.first("n").alias("n")).collect()
+    assert {r.model: r.n for r in got} == rows.groupby("specification").size().to_dict()
+
+
 def test_mixed_criterion_equals_dense(spark):
     rng = np.random.default_rng(6)
     hospital = np.repeat(np.arange(6), 20)
