@@ -135,10 +135,10 @@ def _verifier(size: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep, last, held = [], None, None
-            both = zip(batch.column("a").to_pylist(), batch.column("text_a").to_pylist(), shingle_sets(batch.column("text_b"), size))
-            for a, text, other in both:
-                if last != (a, len(text)):
-                    last, held = (a, len(text)), next(shingle_sets(pa.array([text]), size))
+            both = zip(batch.column("text_a").to_pylist(), shingle_sets(batch.column("text_b"), size))
+            for text, other in both:
+                if last != text:
+                    last, held = text, next(shingle_sets(pa.array([text]), size))
                 common = len(np.intersect1d(held, other, assume_unique=True))
                 keep.append(100 * common >= percent * (len(held) + len(other) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))

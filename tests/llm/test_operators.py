@@ -84,6 +84,15 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, listed):
     assert {r.doc_id: r.n_shingles for r in got if r.doc_id in (2, 3, 4, 5, 7)} == {2: 0, 3: 0, 4: 0, 5: 1, 7: 1}
 
 
+def test_verifier_tells_texts_of_one_id_and_length_apart():
+    import pyarrow as pa
+
+    one, two = "a b c d e f", "u v w x y z"
+    batch = pa.RecordBatch.from_pydict({"a": [1, 1], "b": [2, 3], "text_a": [one, two], "text_b": [one, two]})
+    got = [r["b"] for out in neardup._verifier(3, 80)(iter([batch])) for r in out.to_pylist()]
+    assert got == [2, 3]
+
+
 def test_near_duplicates_of_an_empty_table(spark):
     assert neardup.near_duplicates(docs(spark)).count() == 0
 
