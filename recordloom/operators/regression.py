@@ -24,7 +24,7 @@ LOCAL = 4_000_000
 
 def design(df: DataFrame, category: str, reference: str, covariates: list[str]) -> tuple[DataFrame, list[str]]:
     """Adds x: 1, a dummy for each level but the reference, then covariates. Returns the names of x as well."""
-    levels = [r[0] for r in df.select(category).where(F.col(category).isNotNull()).distinct().orderBy(category).limit(1000).collect() if r[0] != reference]
+    levels = [r[0] for r in df.select(category).where(F.col(category).isNotNull()).distinct().orderBy(category).collect() if r[0] != reference]
     parts: list[Column] = [F.lit(1.0)] + [(F.col(category) == v).cast("double") for v in levels] + [F.col(c).cast("double") for c in covariates]
     return df.withColumn("x", F.array(*parts)), ["intercept", *levels, *covariates]
 
@@ -79,8 +79,22 @@ def fit(rows: DataFrame, names: list[str], cluster: str | None = None, model: st
     """Coefficients of y (0 or 1) on x for every model: dicts of model, term, beta, se, p, n, converged.
 
     rows: y, x and, if named, a model column (one fit for each value) and a cluster column for robust errors with
-    the small-sample factor G / (G - 1) * (n - 1) / (n - k).
+    the small-sample factor G / (G - 1) * (n - 1) / (n - k). Over MODELS models are fitted in batches.
     """
+    if model:
+        found = sorted(r[0] for r in rows.select(F.col(model).cast("string")).where(F.col(model).isNotNull()).distinct().collect())
+        if len(found) > MODELS:
+            out = []
+            for at in range(0, len(found), MODELS):
+                within = F.col(model).cast("string").between(found[at], found[min(at + MODELS, len(found)) - 1])
+                out += _fit(rows.where(within), names, cluster, model, steps, tolerance)
+            nulls = rows.where(F.col(model).isNull())
+            return out + (_fit(nulls, names, cluster, model, steps, tolerance) if not nulls.isEmpty() else [])
+    return _fit(rows, names, cluster, model, steps, tolerance)
+
+
+def _fit(rows: DataFrame, names: list[str], cluster: str | None, model: str | None, steps: int, tolerance: float) -> list[dict]:
+    """fit() of MODELS models at most."""
     k = len(names)
     flat = rows.select(
         (F.col(model).cast("string") if model else F.lit("all")).alias("model"),
@@ -96,7 +110,7 @@ def fit(rows: DataFrame, names: list[str], cluster: str | None = None, model: st
         sums: dict[str, np.ndarray] = {}
         if here is not None:
             sums = {m: v for (m, _), v in _summed_here(here, betas, k, False).items()}
-        for r in _summed(flat, betas, k, False).limit(MODELS * (k * k + k + 2)).collect() if here is None else []:
+        for r in _summed(flat, betas, k, False).collect() if here is None else []:
             sums.setdefault(r["model"], np.zeros(k * k + k + 2))[r["i"]] = r["v"]
         for m, v in sums.items():
             h, g = v[: k * k].reshape(k, k), v[k * k : k * k + k]

@@ -177,6 +177,23 @@ def test_logit_equals_newton_by_hand(spark, monkeypatch, held):
     assert [r["se"] for r in robust] == pytest.approx(np.sqrt(np.diag(cov)).tolist(), abs=1e-6)
 
 
+def test_logit_fits_every_model_and_level(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    rows = [(f"m{i % 5}", f"b{rng.integers(0, 2)}", bool(rng.random() < 0.2 + 0.1 * (i % 5))) for i in range(500)]
+    df = spark.createDataFrame(rows, "m string, bin string, low boolean")
+    dressed, names = R.design(df.withColumn("y", F.col("low").cast("double")), "bin", "b0", [])
+    monkeypatch.setattr(R, "LOCAL", 0)
+    monkeypatch.setattr(R, "MODELS", 2)
+    got = {(r["model"], r["term"]): r["beta"] for r in R.fit(dressed, names, model="m")}
+    logit = lambda m, b: (lambda p: np.log(p / (1 - p)))(np.mean([y for k, c, y in rows if (k, c) == (m, b)]))
+    want = {}
+    for m in (f"m{i}" for i in range(5)):
+        want |= {(m, "intercept"): logit(m, "b0"), (m, "b1"): logit(m, "b1") - logit(m, "b0")}
+    assert got == pytest.approx(want, abs=1e-6)
+    many = spark.range(1200).select(F.format_string("b%04d", "id").alias("bin"))
+    assert len(R.design(many, "bin", "b0000", [])[1]) == 1200
+
+
 def test_hourly_models_have_four_specifications(spark):
     from recordloom.plans import study
     from recordloom.plans.catalog import QUERIES
