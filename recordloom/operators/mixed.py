@@ -54,13 +54,19 @@ def _minimum(f, start: np.ndarray, steps: int = 400, tolerance: float = 1e-10) -
 VPC = "metric string, n long, hospitals long, units long, vpc_hospital double, vpc_unit double, converged boolean"
 
 
+#: Units whose cells are taken to the driver for each metric; more raise an error.
+UNITS = 1_000_000
+
+
 def mixed_vpc(df: DataFrame, metrics: list[str]) -> DataFrame:
     """Shares of variance of hospital and unit intercepts (REML), one row per metric.
 
     Values are z-scores. Only n, mean and squared deviations of each unit reach the driver. Under 100 rows or
     without variance the shares are null.
     """
-    cells = V.metric_moments(df, metrics, ["hospital", "unit_id"]).toPandas()
+    cells = V.metric_moments(df, metrics, ["hospital", "unit_id"]).limit(UNITS * len(metrics) + 1).toPandas()
+    if len(cells) > UNITS * len(metrics):
+        raise ValueError(f"more than {UNITS} units a metric")
     rows = []
     for metric in metrics:
         own = cells[cells.metric == metric]

@@ -245,6 +245,15 @@ def test_mixed_criterion_equals_dense(spark):
     assert r.converged and 0 <= r.vpc_unit <= 1 and 0 <= r.vpc_hospital <= 1
 
 
+def test_mixed_refuses_more_units_than_its_bound(spark, monkeypatch):
+    df = spark.createDataFrame([("h", f"u{i}", float(i)) for i in range(4)], "hospital string, unit_id string, m double")
+    monkeypatch.setattr(X, "UNITS", 4)
+    assert one(X.mixed_vpc(df, ["m"])).units == 4
+    monkeypatch.setattr(X, "UNITS", 3)
+    with pytest.raises(ValueError):
+        X.mixed_vpc(df, ["m"])
+
+
 def test_strict_percentile(spark):
     dist = spark.createDataFrame([("m", float(v)) for v in (1, 2, 2, 3)], "metric string, value double")
     values = spark.createDataFrame([("m", 2.0), ("m", 9.0), ("m", 0.5)], "metric string, value double")
