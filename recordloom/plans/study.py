@@ -686,6 +686,20 @@ def severity_cleanup(star: Star) -> DataFrame:
     return aps.select("id", S.complete_sum(*[F.col(c) for c in names[:3]]).alias("gcs"), S.range_null(F.col("hr"), 20, 250).alias("hr"), S.any_one(F.col("vent"), F.col("intubated")).alias("ventilated"))
 
 
+@query("""WITH raw AS (SELECT c_custkey::BIGINT AS id, (c_custkey % 5 - 1)::DOUBLE AS eyes, (c_custkey % 7 - 1)::DOUBLE AS motor, (c_nationkey % 6 - 1)::DOUBLE AS verbal,
+  c_acctbal::DOUBLE / 10 AS hr, (c_custkey % 3 - 1)::DOUBLE AS vent, (c_nationkey % 3 - 1)::DOUBLE AS intubated FROM customer),
+a AS (SELECT id, CASE WHEN eyes >= 0 THEN eyes END AS e, CASE WHEN motor >= 0 THEN motor END AS m, CASE WHEN verbal >= 0 THEN verbal END AS v,
+  CASE WHEN hr >= 0 THEN hr END AS hr, CASE WHEN vent >= 0 THEN vent END AS ve, CASE WHEN intubated >= 0 THEN intubated END AS i FROM raw)
+SELECT id, e + m + v AS gcs, CASE WHEN hr BETWEEN 20 AND 250 THEN hr END AS hr, CASE WHEN ve IS NULL AND i IS NULL THEN NULL WHEN coalesce(ve = 1, false) OR coalesce(i = 1, false) THEN 1 ELSE 0 END::INT AS ventilated FROM a""")
+def severity_cleanup_table(star: Star) -> DataFrame:
+    """severity_cleanup over a whole table with negative sentinels."""
+    key, nation = F.col("c_custkey"), F.col("c_nationkey")
+    raw = {"eyes": key % 5 - 1, "motor": key % 7 - 1, "verbal": nation % 6 - 1, "hr": F.col("c_acctbal").cast("double") / 10, "vent": key % 3 - 1, "intubated": nation % 3 - 1}
+    aps = star.table("customer").select(key.cast("long").alias("id"), *[S.sentinel_null(c.cast("double")).alias(n) for n, c in raw.items()])
+    gcs = S.complete_sum(*[F.col(c) for c in ("eyes", "motor", "verbal")])
+    return aps.select("id", gcs.alias("gcs"), S.range_null(F.col("hr"), 20, 250).alias("hr"), S.any_one(F.col("vent"), F.col("intubated")).alias("ventilated"))
+
+
 # -- association with the hour
 
 

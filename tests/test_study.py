@@ -254,6 +254,21 @@ def test_mixed_refuses_more_units_than_its_bound(spark, monkeypatch):
         X.mixed_vpc(df, ["m"])
 
 
+def test_severity_cleanup_of_a_whole_table_equals_sql(spark):
+    import duckdb
+
+    from recordloom.plans.catalog import ORACLE_SQL, QUERIES
+
+    sf, name = "/root/testdata/sf0.01", "severity_cleanup_table"
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW customer AS SELECT * FROM '{sf}/customer.parquet'")
+    want = sorted(con.sql(ORACLE_SQL[name]).fetchall())
+    got = sorted(tuple(r) for r in QUERIES[name](spark, sf).collect())
+    assert len(got) == len(want) == 1500
+    for a, b in zip(got, want):
+        assert a == pytest.approx(b, abs=1e-9)
+
+
 def test_strict_percentile(spark):
     dist = spark.createDataFrame([("m", float(v)) for v in (1, 2, 2, 3)], "metric string, value double")
     values = spark.createDataFrame([("m", 2.0), ("m", 9.0), ("m", 0.5)], "metric string, value double")
