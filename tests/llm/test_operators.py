@@ -318,6 +318,48 @@ def test_warc_round_trip(spark, tmp_path):
     assert got == want
 
 
+def test_warc_of_two_writes_keeps_every_capture(spark, tmp_path):
+    for name, ids in (("a", (1, 2)), ("b", (3, 4))):
+        warc.write_pages(spark.createDataFrame([(i, "u", f"page {i % 2}", "d", 1) for i in ids], PAGES), f"file://{tmp_path}/{name}")
+    found = warc.read_records(spark, f"file://{tmp_path}/*")
+    assert found.count() == found.select("record_id").distinct().count() == 12
+    got = sorted((r.page_id, r.record_type) for r in warc.captured_pages(warc.assemble(found)).collect())
+    assert got == [(i, "response") for i in (1, 2, 3, 4)]
+
+
+def _piece(kind, block, **more):
+    head = {"WARC-Type": kind, "WARC-Record-ID": f"<urn:{kind}>", "Content-Length": len(block), **{k.replace("_", "-"): v for k, v in more.items()}}
+    return b"WARC/1.0\r\n" + b"".join(f"{k}: {v}\r\n".encode() for k, v in head.items()) + b"\r\n" + block + b"\r\n\r\n"
+
+
+def test_warc_reader_streams_foreign_archives(spark, tmp_path):
+    import gzip
+
+    payload = b"\xff WARC/1.1\r\nWARC-Type: x WARC/1.0\r\n\r\n\x00"
+    response = _piece("response", b"HTTP/1.1 200 OK\r\nA: b\r\n\r\n" + payload, WARC_Target_URI="http://x/WARC/1.0")
+    parts = [_piece("warcinfo", b""), response, _piece("request", b"GET", WARC_Concurrent_To="<urn:response>"), _piece("metadata", b"page-id: 8\r\n", WARC_Concurrent_To="<urn:response>")]
+    (tmp_path / "members.gz").write_bytes(b"".join(map(gzip.compress, parts)))  # one gzip member for each record
+    (tmp_path / "whole.gz").write_bytes(gzip.compress(b"".join(parts)))
+    (tmp_path / "empty.gz").write_bytes(gzip.compress(b""))
+    found = warc.read_records(spark, f"file://{tmp_path}")
+    assert Counter(r.type for r in found.collect()) == {"warcinfo": 2, "response": 2, "request": 2, "metadata": 2}
+    one = found.where("type = 'response'").first()
+    assert (one.payload_bytes, one.target_uri) == (len(payload), "http://x/WARC/1.0")
+    (row,) = warc.captured_pages(warc.assemble(found)).collect()  # both archives hold the same records
+    assert (row.page_id, row.payload_bytes, row.record_type, row.refers_to) == (8, len(payload), "response", None)
+
+
+def test_broken_archives_raise(spark, tmp_path):
+    import gzip
+
+    whole = _piece("response", b"HTTP/1.1 200 OK\r\n\r\nabc")
+    for name, content in (("cut", whole[:-8]), ("head", whole[:30]), ("other", b"abc" + whole), ("tail", whole + b"x")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "x.gz").write_bytes(gzip.compress(content))
+        with pytest.raises(Exception, match="WARC record|within a record|record's end"):
+            warc.read_records(spark, f"file://{tmp_path}/{name}").collect()
+
+
 def test_warc_leaves_small_payloads_alone(spark, tmp_path):
     table = spark.createDataFrame([(1, "u", "ab", "", 1), (2, "u", "ab", "", 1), (3, "u", "abcd", "", 1), (4, "u", "abcd", "", 1)], PAGES)
     warc.write_pages(table, f"file://{tmp_path}/a", min_bytes=3)
