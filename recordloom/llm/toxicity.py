@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +34,8 @@ def words_of(text: str | None) -> set[str]:
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [sorted({_feature(w) for w in words_of(t)}) for t in batch.column(0).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.list_(pa.int32()))], names=["toxic", "features"])
+        found = [sorted({_feature(w) for w in words_of(t)}) for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("toxic"), pa.array(found, pa.list_(pa.int32()))], names=["id", "toxic", "features"])
 
 
 @dataclass(frozen=True)
@@ -66,71 +66,103 @@ def _select(docs: list[np.ndarray], toxic: np.ndarray, most: int) -> tuple[np.nd
     return names[best], z[best]
 
 
-def _fit(rows: np.ndarray, cols: np.ndarray, n: int, width: int, grades: np.ndarray, top: int, penalty: float, steps: int) -> tuple[np.ndarray, np.ndarray]:
-    """Adam on the mean negative log likelihood with an L2 penalty; thresholds as a start and positive gaps."""
+def loss_and_slope(w: np.ndarray, t: np.ndarray, rows: np.ndarray, cols: np.ndarray, grades: np.ndarray, penalty: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """Mean negative log likelihood plus penalty / 2 * |w|^2, and its slopes by w and by t.
+
+    Text rows[i] has feature cols[i]. Thresholds are t[0], t[0] + exp(t[1]), ..., so they ascend whatever t is.
+    """
+    n, width, top = len(grades), len(w), len(t)
+    theta = thresholds_of(t)
+    score = np.bincount(rows, w[cols], n)
+    above = 1 / (1 + np.exp(-np.clip(score[:, None] - theta, -40, 40)))  # P(grade > k)
+    edge = np.concatenate([np.ones((n, 1)), above, np.zeros((n, 1))], axis=1)
+    p = np.maximum(edge[np.arange(n), grades] - edge[np.arange(n), grades + 1], 1e-9)
+    slope = np.concatenate([np.zeros((n, 1)), above * (1 - above), np.zeros((n, 1))], axis=1)
+    low, high = slope[np.arange(n), grades] / p, slope[np.arange(n), grades + 1] / p
+    by_score = -(low - high) / n
+    by_theta = np.array([(np.where(grades == k + 1, low, 0) - np.where(grades == k, high, 0)).sum() for k in range(top)]) / n
+    tail = by_theta[::-1].cumsum()[::-1]
+    loss = -np.log(p).mean() + penalty / 2 * (w**2).sum()
+    return float(loss), np.bincount(cols, by_score[rows], width) + penalty * w, np.concatenate([tail[:1], tail[1:] * np.exp(t[1:])])
+
+
+def thresholds_of(t: np.ndarray) -> np.ndarray:
+    return np.cumsum(np.concatenate([t[:1], np.exp(t[1:])]))
+
+
+def _fit(rows: np.ndarray, cols: np.ndarray, width: int, grades: np.ndarray, top: int, penalty: float, steps: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and thresholds by Adam."""
     w, t = np.zeros(width), np.concatenate([[1.0], np.zeros(top - 1)])
     m = v = np.zeros(width + top)
-    sigma = lambda x: 1 / (1 + np.exp(-np.clip(x, -40, 40)))
     for step in range(1, steps + 1):
-        theta = np.cumsum(np.concatenate([t[:1], np.exp(t[1:])]))
-        score = np.bincount(rows, w[cols], n)
-        above = sigma(score[:, None] - theta)  # P(grade > k)
-        edge = np.concatenate([np.ones((n, 1)), above, np.zeros((n, 1))], axis=1)
-        p = np.maximum(edge[np.arange(n), grades] - edge[np.arange(n), grades + 1], 1e-9)
-        slope = np.concatenate([np.zeros((n, 1)), above * (1 - above), np.zeros((n, 1))], axis=1)
-        low, high = slope[np.arange(n), grades] / p, slope[np.arange(n), grades + 1] / p
-        by_score = -(low - high) / n
-        by_theta = np.array([(np.where(grades == k + 1, low, 0) - np.where(grades == k, high, 0)).sum() for k in range(top)]) / n
-        tail = by_theta[::-1].cumsum()[::-1]
-        g = np.concatenate([np.bincount(cols, by_score[rows], width) + penalty * w, tail[:1], tail[1:] * np.exp(t[1:])])
+        _, by_w, by_t = loss_and_slope(w, t, rows, cols, grades, penalty)
+        g = np.concatenate([by_w, by_t])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, t = w - move[:width], t - move[width:]
-    return w, np.cumsum(np.concatenate([t[:1], np.exp(t[1:])]))
+    return w, thresholds_of(t)
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_rows: int = 12_000, grades: int = 3, max_features: int = 4096, penalty: float = 1e-3, steps: int = 400) -> Model:
-    """Fits on at most train_rows labelled rows, those whose id has the smallest hash.
+def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, train_rows: int) -> DataFrame:
+    """(id, toxic, text) of at most train_rows labelled ids, those with the smallest hash; one text for each.
 
-    Labels are 0 or 1; toxic texts are graded 1..grades by quantiles of the number of distinct words in them that
-    are far more frequent in toxic texts. A quarter of the rows is held out to set the cutoff (best F1 with
-    precision counting double). Without labelled toxic rows nothing is toxic. Null labels or ids take no part.
+    An id with several labels is toxic if any of them says so; of several texts, the one with the smallest hash
+    counts. So the rows depend on the tables' contents alone, not on their order or partitioning.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
     ids = labels.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{label_col}`").cast("int").alias("toxic")).where("id is not null and toxic is not null")
-    chosen = ids.orderBy(F.xxhash64("id"), "id", "toxic").limit(train_rows)
+    chosen = ids.groupBy("id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("id"), "id").limit(train_rows)
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    joined = texts.join(F.broadcast(chosen), "id").select("text", "toxic")  # train_rows rows at most
-    rows = joined.mapInArrow(_features, "toxic int, features array<int>").limit(2 * train_rows).toArrow()
+    joined = texts.join(F.broadcast(chosen), "id")  # train_rows rows at most
+    return joined.groupBy("id").agg(F.max("toxic").alias("toxic"), F.min_by("text", F.struct(F.xxhash64("text"), F.col("text"))).alias("text"))
+
+
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_rows: int = 12_000, grades: int = 3, max_features: int = 4096, penalty: float = 1e-3, steps: int = 400) -> Model:
+    """Fits on at most train_rows labelled rows (see labelled()); equal tables give equal models.
+
+    Labels are 0 or 1; toxic texts are graded 1..grades by quantiles of the number of distinct words in them that
+    are far more frequent in toxic texts. A quarter of the rows, chosen by a hash of the id, is held out of all that
+    (choice of words included) and sets the cutoff (best F1 with precision counting double); then all rows are fitted.
+    Unless there are toxic and other rows besides the held-out ones, nothing is toxic. Null labels or ids take no part;
+    a null text has no words; empty tables and other columns do no harm.
+    """
+    small_batches(docs.sparkSession)
+    rows = labelled(docs, labels, id_col, text_col, label_col, train_rows).mapInArrow(_features, "id long, toxic int, features array<int>").toArrow().sort_by("id")
     toxic = np.array(rows.column("toxic").to_pylist(), np.int64) > 0
     found = [np.array(x, np.int64) for x in rows.column("features").to_pylist()]
-    if not toxic.any() or toxic.all():
+    held = np.array([xxhash.xxh3_64_intdigest(f"held:{i}".encode()) % 4 == 0 for i in rows.column("id").to_pylist()], bool)
+    if not toxic[~held].any() or toxic[~held].all():
         return Model({}, tuple(10.0 + k for k in range(grades)), float(grades))
+    fitted = lambda use: _model([found[i] for i in np.flatnonzero(use)], toxic[use], grades, max_features, penalty, steps)
+    judge = fitted(~held)
+    scores = np.array([sum(judge.weights.get(f, 0.0) for f in found[i].tolist()) for i in np.flatnonzero(held)])
+    return replace(fitted(np.ones(len(found), bool)), cutoff=_cutoff(judge.severity(scores), toxic[held]))
+
+
+def _model(found: list[np.ndarray], toxic: np.ndarray, grades: int, max_features: int, penalty: float, steps: int) -> Model:
+    """Words, grades and weights from these texts alone; the cutoff is left open."""
     names, z = _select(found, toxic, max_features)
     lexicon = set(names[z >= 6].tolist())
     hits = np.array([sum(f in lexicon for f in d.tolist()) for d in found])
     cuts = np.quantile(hits[toxic], np.arange(1, grades) / grades)
     y = np.where(toxic, 1 + (hits[:, None] > cuts).sum(axis=1), 0)
-    order = np.argsort(names)
-    ranked = names[order]
+    ranked = np.sort(names)
     kept = [np.flatnonzero(np.isin(ranked, d, assume_unique=True)) for d in found]
-    held = np.arange(len(found)) % 4 == 0
-    use = np.flatnonzero(~held)
-    r = np.repeat(np.arange(len(use)), [len(kept[i]) for i in use])
-    c = np.concatenate([kept[i] for i in use]) if len(use) else np.zeros(0, np.int64)
-    w, theta = _fit(r, c.astype(np.int64), len(use), len(ranked), y[use], grades, penalty, steps)
-    model = Model(dict(zip(ranked.tolist(), w.tolist())), tuple(theta.tolist()), 0.5)
-    severity = model.severity(np.array([w[k].sum() for k in kept]))
-    best, cutoff = -1.0, 0.5
+    r = np.repeat(np.arange(len(found)), [len(k) for k in kept])
+    w, theta = _fit(r, np.concatenate(kept).astype(np.int64), len(ranked), y, grades, penalty, steps)
+    return Model(dict(zip(ranked.tolist(), w.tolist())), tuple(theta.tolist()), 0.5)
+
+
+def _cutoff(severity: np.ndarray, toxic: np.ndarray) -> float:
+    """The expected severity with the best F0.5 on held-out texts; 0.5 if none of them is toxic."""
+    best, cutoff = 0.0, 0.5
     for t in np.linspace(0.2, 1.2, 41):
-        said = severity[held] >= t
-        right = (said & toxic[held]).sum()
-        precision, recall = right / max(1, said.sum()), right / max(1, toxic[held].sum())
+        said = severity >= t
+        right = (said & toxic).sum()
+        precision, recall = right / max(1, said.sum()), right / max(1, toxic.sum())
         f = 1.25 * precision * recall / max(1e-9, 0.25 * precision + recall)
         if f > best + 1e-9:
             best, cutoff = f, float(t)
-    return Model(model.weights, model.thresholds, cutoff)
+    return cutoff
 
 
 def _scorer(model: Model):
@@ -161,8 +193,9 @@ def _scorer(model: Model):
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Returns doc_id, severity (expected grade), grade (rounded) and toxic (severity at least the cutoff) for every row.
 
-    A null or empty text has no features and gets the grade of the thresholds alone. Ids may be null; repeated rows
-    are scored one by one; an empty table gives no rows; other columns are ignored.
+    A null or empty text has no features and gets the grade of the thresholds alone. Whole texts are read, whatever
+    their length. Ids may be null; repeated rows are scored one by one; an empty table gives no rows; other columns are
+    ignored.
     """
     small_batches(docs.sparkSession)
     chosen = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
@@ -171,7 +204,11 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
 
 
 def drop_toxic(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
-    """The rows of docs that aren't toxic, with all their columns; nothing is shuffled."""
+    """The rows of docs that aren't toxic, with all their columns; nothing is shuffled.
+
+    A null or empty text has no features: it stays unless the thresholds alone reach the cutoff. Ids aren't looked at;
+    repeated rows go or stay together; an empty table gives an empty one; columns may have any names.
+    """
     small_batches(docs.sparkSession)
     schema = docs.schema
     at = schema.names.index(text_col)

@@ -255,6 +255,51 @@ def test_toxicity_on_held_out_rows(spark):
     assert Counter(r.doc_id for r in kept.collect()) == Counter(d for d, r in got.items() if not r.toxic)
 
 
+def test_likelihood_and_slopes_equal_brute_force():
+    rng = np.random.default_rng(4)
+    n, width, top, penalty = 30, 6, 3, 0.01
+    has = rng.random((n, width)) < 0.4
+    rows, cols = np.nonzero(has)
+    grades = rng.integers(0, top + 1, n)
+    w, t = rng.normal(size=width), np.array([0.3, -0.5, 0.2])
+
+    def by_hand(w, t):
+        theta = [t[0], t[0] + np.exp(t[1]), t[0] + np.exp(t[1]) + np.exp(t[2])]
+        total = 0.0
+        for i in range(n):
+            above = [1.0, *(1 / (1 + np.exp(-(w[has[i]].sum() - k))) for k in theta), 0.0]
+            total -= np.log(above[grades[i]] - above[grades[i] + 1])
+        return total / n + penalty / 2 * (w @ w)
+
+    loss, by_w, by_t = toxicity.loss_and_slope(w, t, rows, cols, grades, penalty)
+    assert abs(loss - by_hand(w, t)) < 1e-12
+    step = 1e-6
+    for i, e in enumerate(np.eye(width) * step):
+        assert abs((by_hand(w + e, t) - by_hand(w - e, t)) / (2 * step) - by_w[i]) < 1e-7
+    for i, e in enumerate(np.eye(top) * step):
+        assert abs((by_hand(w, t + e) - by_hand(w, t - e)) / (2 * step) - by_t[i]) < 1e-7
+
+
+def test_equal_tables_give_equal_models(spark):
+    rows = toxic_rows(300, 7)
+    labels = spark.createDataFrame([(d, t) for d, _, t in rows] + [(4, 0), (4, 1)], "doc_id long, toxic int")
+    table = docs(spark, *[(d, x) for d, x, _ in rows], (4, "another text of four"), (None, "vile"), (2, None))
+    one = toxicity.train(table, labels)
+    assert one.weights and one == toxicity.train(table.repartition(7, "text"), labels.repartition(3).orderBy(F.desc("toxic")))
+    few = toxicity.labelled(table, labels, "doc_id", "text", "toxic", 50).collect()
+    assert len(few) == len({r.id for r in few}) <= 50
+
+
+def test_scores_equal_brute_force(spark):
+    rows = toxic_rows(300, 8)
+    model = toxicity.train(docs(spark, *[(d, x) for d, x, _ in rows]), spark.createDataFrame([(d, t) for d, _, t in rows], "doc_id long, toxic int"))
+    for r in toxicity.score(docs(spark, *[(d, x) for d, x, _ in rows[:40]]), model).collect():
+        features = {toxicity._feature(w) for w in rows[r.doc_id][1].lower().split()}
+        total = sum(model.weights.get(f, 0.0) for f in features)
+        want = sum(1 / (1 + np.exp(-(total - k))) for k in model.thresholds)
+        assert abs(r.severity - want) < 1e-6 and r.toxic == (r.severity >= model.cutoff) and r.grade == round(r.severity)
+
+
 def test_toxicity_without_toxic_labels(spark):
     labels = spark.createDataFrame([(1, 0)], "doc_id long, toxic int")
     model = toxicity.train(docs(spark, (1, "some words")), labels)
@@ -387,14 +432,15 @@ def test_license_variants(spark):
 # -- neighbours
 
 
-def test_neighbours_equal_brute_force(spark):
+def test_neighbours_equal_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(900, 8)).astype(np.float32)
     x[100:160] = x[100]  # more equal vectors than are asked for
     rows = [(i, [float(v) for v in x[i]]) for i in range(900)]
     odd = [(2000, None), (2010, [0.0] * 8), (2020, [float("nan")] + [1.0] * 7), (2030, [None] + [1.0] * 7), (None, [1.0] * 8), (2040, [1.0] * 3), (2050, [])]
     table = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>").withColumn("part", F.lit("x"))
-    got = neighbours.nearest(table, table.where("vec_id % 20 = 0"), k=10, relax=1.0, shard_rows=300, block_rows=20)
+    monkeypatch.setattr(neighbours, "LEAF", 32)
+    got = neighbours.nearest(table, table.where("vec_id % 20 = 0"), k=10, relax=1.0, shard_rows=300, block_rows=20, lot_blocks=2)
     by = defaultdict(list)
     for r in got.collect():
         by[r.query_id].append((r.rank, r.vec_id, r.score))
@@ -407,6 +453,38 @@ def test_neighbours_equal_brute_force(spark):
     assert neighbours.nearest(table.limit(0), table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("leaf", [512, 8])
+def test_neighbours_that_tie_come_by_id(spark, monkeypatch, leaf):
+    monkeypatch.setattr(neighbours, "LEAF", leaf)
+    rng = np.random.default_rng(5)
+    tied = [(i, [1.0, float(v), float(w)]) for i, (v, w) in enumerate(rng.normal(size=(200, 2)), 1)]  # all score 1
+    rows = [(0, [1.0, 0.0, 0.0]), *tied, *[(i, [0.5, float(i), 0.0]) for i in range(300, 400)]]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = neighbours.nearest(table, table.where("vec_id = 0"), relax=1.0).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(i, 1.0) for i in range(1, 21)]
+
+
+def test_trees_prune_and_keep_recall(monkeypatch):
+    monkeypatch.setattr(neighbours, "LEAF", 16)
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(40, 16))
+    x = centres[rng.integers(0, 40, 4000)] + 0.15 * rng.normal(size=(4000, 16))
+    tree, order = neighbours.Tree.build(x)
+    assert sorted(order.tolist()) == list(range(4000)) and (tree.vectors == x[order]).all() and len(tree.nodes) > 100
+    q = x[::40]
+    best = [set(np.argsort(-(x @ v), kind="stable")[:20].tolist()) for v in q]
+    looked = []
+    matmul = neighbours.Tree._visit
+    monkeypatch.setattr(neighbours.Tree, "_visit", lambda self, node, active: (looked.append(len(active) * (self.nodes[int(node)][4] < 0)), matmul(self, node, active))[1])
+    for relax, least, most in ((1.0, 1.0, 1.0), (1.1, 0.95, 1.0), (2.0, 0.5, 1.0)):
+        looked.clear()
+        query, row = tree.search(q, 20, relax)
+        got = [set(order[row[query == i]].tolist()) for i in range(len(q))]
+        recall = np.mean([len(a & b) / 20 for a, b in zip(got, best)])
+        assert least <= recall <= most, (relax, recall)
+        assert sum(looked) < len(q) * (tree.nodes[:, 4] < 0).sum()  # some leaves are skipped
+
+
 def test_fewer_candidates_than_asked(spark):
     table = spark.createDataFrame([(0, [1.0, 2.0]), (1, [2.0, 1.0]), (20, [3.0, 3.0])], "vec_id long, embedding array<double>")
     got = sorted(map(tuple, neighbours.nearest(table, table.where("vec_id = 0")).collect()))
