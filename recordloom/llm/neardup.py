@@ -159,22 +159,33 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, size: int,
 def components(edges: DataFrame, label: str = "component") -> DataFrame:
     """(id, component) for the ends of edges (a, b): the smallest id that can be reached.
 
-    Each round points every node at its smallest neighbour and replaces edges by those between the targets, until
-    none is left. Tables of rounds are written, and only their row counts come to the driver.
+    Each round points every node at its smallest neighbour; of two that point at each other, the smaller is a root.
+    Nodes then hop to the target of their target until all stand at their root, and edges become those between roots.
+    So a round leaves at most half of the nodes and costs the logarithm of its longest path. The smallest id of a
+    component is always a root. Tables are written, and only their emptiness comes to the driver.
     """
     edges = materialize(edges.select("a", "b").where("a <> b").distinct(), "edges")
     labels = None
     while labels is None or not edges.isEmpty():
         both = edges.union(edges.select("b", "a"))
-        hop = materialize(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("to")), "hops")
+        nearest = materialize(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("to")), "hops")
+        back = nearest.select(F.col("id").alias("to"), F.col("to").alias("back"))
+        root = (F.col("back") == F.col("id")) & (F.col("id") < F.col("to"))
+        hop = materialize(nearest.join(back, "to").select("id", F.when(root, F.col("id")).otherwise(F.col("to")).alias("to")), "hops")
+        moved = True
+        while moved:
+            up = hop.select(F.col("id").alias("to"), F.col("to").alias("top"))
+            higher = materialize(hop.join(up, "to").select("id", F.col("top").alias("to"), (F.col("top") != F.col("to")).alias("moved")), "hops")
+            moved = not higher.where("moved").isEmpty()
+            hop = higher.select("id", "to")
         if labels is None:
             labels = hop.withColumnRenamed("to", label)
         else:
             next_ = hop.withColumnRenamed("id", label)
             labels = materialize(labels.join(next_, label, "left").select("id", F.coalesce("to", label).alias(label)), "labels")
         at = lambda s: hop.select(F.col("id").alias(s), F.col("to").alias(f"to_{s}"))
-        moved = edges.join(at("a"), "a").join(at("b"), "b").select(F.col("to_a").alias("a"), F.col("to_b").alias("b"))
-        edges = materialize(moved.where("a <> b").distinct(), "edges")
+        moved_to = edges.join(at("a"), "a").join(at("b"), "b").select(F.col("to_a").alias("a"), F.col("to_b").alias("b"))
+        edges = materialize(moved_to.where("a <> b").distinct(), "edges")
     return labels
 
 
@@ -247,9 +258,9 @@ def near_duplicates(
     A-Z in lower case; fewer words are one shingle). component_id is the smallest id that links reach, and kept
     says that it is the row's own. At a similarity of 0.8 a link escapes all bands with a chance of 5e-6.
 
-    A null, empty or blank text has no shingles and is linked with nothing. A null id takes no part: its
-    component_id is null and it is kept. Rows with one id are one node, linked by any of their texts. An empty
-    table gives no rows. Other columns are ignored.
+    A null, empty or blank text has no shingles and is linked with nothing. Whole texts count, whatever their length.
+    A null id takes no part: its component_id is null and it is kept. Rows with one id are in one component, linked by
+    any of their texts. An empty table gives no rows. Other columns are ignored.
     """
     small_batches(docs.sparkSession)
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
@@ -273,10 +284,13 @@ def near_duplicates(
 
 
 def candidates(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes (id, n, registers, first: smallest id with an equal set) and hits (key, id, pivot, members) of shared buckets."""
+    """Nodes (id, digest, n, registers, first: smallest id with an equal set), and hits (key, id, pivot, members) of shared buckets.
+
+    An id with several texts has a node for each of its sets, and enters buckets with all of them.
+    """
     usable = signed.where("n > 0 and id is not null")
     classes = materialize(usable.groupBy("digest").agg(F.min("id").alias("first")), "classes")
-    nodes = materialize(usable.join(classes, "digest").select("id", "n", "registers", "first").dropDuplicates(["id", "first"]), "nodes")
+    nodes = materialize(usable.join(classes, "digest").select("id", "digest", "n", "registers", "first").dropDuplicates(["id", "digest"]), "nodes")
     bands = nodes.where("id = first").select("id", "registers").mapInArrow(_band_keys, "key long, id long, band int")
     shared = bands.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("members")).where("members > 1")
     hits = materialize(bands.join(materialize(shared, "shared-keys"), "key"), "hits")  # from a table: a large bucket can be split

@@ -68,6 +68,8 @@ def near_rows():
             w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
         rows.append((100 + i, " ".join(w)))
     rows += [(300 + i, prose(rng, rng.randrange(1, 60))) for i in range(30)]
+    one, two = prose(rng, 100), prose(rng, 100)  # ids 505 and 511 have two texts each, and join five documents
+    rows += [(505, one), (505, two), (509, two + " x"), (511, one + " y"), (511, "quite another text"), (513, "quite another text"), (505, one)]
     rows += [(1, rows[3][1].upper()), (2, None), (3, ""), (4, " \n"), (5, "one two"), (6, "ONE\ttwo"), (7, "ONE two three"), (None, "one two")]
     return rows
 
@@ -93,6 +95,20 @@ def test_verifier_tells_texts_of_one_id_and_length_apart():
     assert got == [2, 3]
 
 
+def test_components_of_long_paths_take_few_rounds(spark, monkeypatch):
+    rng, written, n = random.Random(9), [], 1000
+    names = list(range(n))
+    rng.shuffle(names)
+    star = [(5000, 4000 + i) for i in range(50)]  # its centre has the largest id
+    edges = [(i, i + 1) for i in range(n - 1)] + [(10_000 + names[i], 10_000 + names[i + 1]) for i in range(n - 1)] + star + [(7, 7), (20_001, 20_000)]
+    write = neardup.materialize
+    monkeypatch.setattr(neardup, "materialize", lambda df, label: (written.append(label), write(df, label))[1])
+    got = {r.id: r.component for r in neardup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    want = {i: 0 for i in range(n)} | {10_000 + i: 10_000 for i in range(n)} | {4000 + i: 4000 for i in range(50)} | {5000: 4000, 20_000: 20_000, 20_001: 20_000}
+    assert got == want and written.count("edges") <= 12
+    assert neardup.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_near_duplicates_of_an_empty_table(spark):
     assert neardup.near_duplicates(docs(spark)).count() == 0
 
