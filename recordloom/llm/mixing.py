@@ -1,12 +1,16 @@
 """Mixing sources to target weights by Pareto order sampling. DataFrame functions only.
 
-A source's words are multiplied by target / size. The whole part of that factor gives every document as many
-whole copies; the rest is a sample without replacement of fixed size, in words: documents are ranked by their
-random odds divided by the odds of their inclusion, and taken in that order up to the number of words left.
+A document is expected in the mix so many times: its source's level times its own weight, max_repeat at most. The
+level is the one at which the source meets its target in words. The whole part of the expectation gives certain
+copies; the rest is the probability of one more, and differs between documents. These are drawn by Pareto order
+sampling without replacement, of a size fixed in words: documents are ranked by their random odds divided by the odds
+of their inclusion, and taken in that order up to the number of words left.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,14 +25,19 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def uniform(doc_id: Column, seed: str) -> Column:
-    """A number in (0, 1) that depends on the id and the seed alone, so that reruns agree."""
-    digits = F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("null")))), 1, 13)
+def length_weight(size: Column) -> Column:
+    """The default weight: binary digits of the number of words, so that a long document is likelier than a short one."""
+    return F.length(F.bin(size)).cast("long")
+
+
+def uniform(key: Column, seed: str) -> Column:
+    """A number in (0, 1) that depends on the key and the seed alone, so that reruns agree."""
+    digits = F.substring(F.md5(F.concat(F.lit(seed), key)), 1, 13)
     return (F.conv(digits, 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))
 
 
 def source_plan(sizes: DataFrame, cycle: tuple[int, ...], max_repeat: int) -> DataFrame:
-    """From (source_key, source, source_size): target, whole (copies) and rest (words to sample).
+    """From (source_key, source, source_size): target, and its words as a whole number.
 
     Targets are min(max_repeat * size, level * weight) with the level at which they use all words. Sources are
     sorted by the level at which they hit their limit. With all before a source at their limits, the level rises as
@@ -50,9 +59,21 @@ def source_plan(sizes: DataFrame, cycle: tuple[int, ...], max_repeat: int) -> Da
     levelled = ranked.withColumn("level", F.max("level").over(whole_input))
     target = F.least(F.col("limit").cast("double"), F.col("level") * F.col("weight"))
     sized = levelled.withColumn("target", F.when(F.col("source_size") > 0, target).otherwise(F.lit(0.0)))
-    words = F.rint("target").cast("long")
-    whole = F.when(F.col("source_size") > 0, F.floor(words / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    return sized.withColumn("whole", whole).select("source_key", "source_size", "target", "whole", (words - F.col("whole") * F.col("source_size")).alias("rest"))
+    return sized.select("source_key", "source_size", "target", F.rint("target").cast("long").alias("words"))
+
+
+def source_levels(classes: DataFrame, max_repeat: int) -> DataFrame:
+    """From (source_key, weight, size: words of the class, words: the source's in the mix) to the level of each source.
+
+    Classes of documents of one weight, heaviest first, hit max_repeat in that order; as above, the level is the
+    highest that any number of classes at their limit gives. A source has as many classes as weights.
+    """
+    heavier = Window.partitionBy("source_key").orderBy(F.desc("weight")).rowsBetween(Window.unboundedPreceding, -1)
+    own = Window.partitionBy("source_key")
+    full, loose = F.coalesce(F.sum("size").over(heavier), F.lit(0)), F.col("size") * F.col("weight")
+    rest = F.sum(loose).over(own) - F.coalesce(F.sum(loose).over(heavier), F.lit(0))
+    each = classes.where("size > 0").withColumn("level", (F.col("words") - full * max_repeat).cast("double") / rest.cast("double"))
+    return each.groupBy("source_key").agg(F.max("level").alias("level"))
 
 
 def mix_sources(
@@ -63,41 +84,67 @@ def mix_sources(
     source_col: str = "source",
     cycle: tuple[int, ...] = (1, 2, 3),
     max_repeat: int = 3,
+    weight: Callable[[Column], Column] = length_weight,
     seed: str = "mix:",
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """How often each document enters the mix; one row per input row.
 
     Columns: doc_id, source, size (words), source_size, target (the source's words in the mix), taken (words
-    taken, repeats counted) and copies (taken / size, rounded). Sources in code-point order, null last, weigh as
-    in cycle, repeating; targets share the words of all documents and stop at max_repeat times the source. The
-    document at the edge of a sample is taken in part, so a source's taken words equal its target to the word.
-
-    A null or empty text has size 0 and is taken 0 times. Null sources are one source. Ties of the rank go by id,
-    then size; a null id comes first. Repeated rows are documents of their own. An empty table gives no rows; other
-    columns are ignored.
+    taken, repeats counted) and copies (taken / size, rounded); with carry, also a struct `carried` of those columns
+    of docs. Sources in code-point order, null last, weigh as in cycle, repeating; targets share the words of all
+    documents and stop at max_repeat times the source. weight: a positive whole number for each document, from its
+    size; within a source, expected copies are in proportion to it, up to max_repeat. The document at the edge of a
+    sample is taken in part, so a source's taken words equal its target to the word.
+
+    A null or empty text has size 0 and is taken 0 times. Null sources are one source. Ties of the rank go by id, then
+    size. Draws depend on the id; documents without one draw by their text. Repeated rows are documents of their own
+    with one draw, so they stand together. An empty table gives no rows; other columns are ignored.
+
+    Texts are read and never shuffled: a document's fate follows from its own numbers and those of its source, but
+    for documents whose rank is in the same bin as the edge of the sample, about one in 4096.
     """
-    chosen = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").cast("string").alias("source"), word_count(F.col(f"`{text_col}`")).alias("size"))
-    keyed = chosen.withColumn("source_key", F.when(F.col("source").isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), "source")))
-    sized = materialize(keyed, "mix-sizes")
-    sizes = sized.groupBy("source_key").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"))
+    doc_id, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string")
+    key = F.coalesce(doc_id.cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce(text, F.lit("")))))
+    chosen = docs.select(
+        doc_id.alias("doc_id"),
+        F.col(f"`{source_col}`").cast("string").alias("source"),
+        word_count(text).alias("size"),
+        uniform(key, seed).alias("draw"),
+        *([F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carried")] if carry else []),
+    )
+    named = F.when(F.col("source").isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), "source"))
+    keyed = chosen.withColumns({"source_key": named, "weight": weight(F.col("size"))})
+    slim = materialize(keyed.drop("carried"), "mix-sizes")
+    classes = slim.groupBy("source_key", "weight").agg(F.first("source").alias("source"), F.sum("size").alias("size"))
+    classes = materialize(classes, "mix-classes")
+    sizes = classes.groupBy("source_key").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"))
     plan = materialize(source_plan(sizes, cycle, max_repeat), "mix-plan")
-
-    share = F.col("rest") / F.col("source_size")
-    draw = uniform(F.col("doc_id"), seed)
-    rank = F.when(F.col("rest") > 0, (draw / (1 - draw)) / (share / (1 - share)))
-    limits = F.least(F.greatest(F.log("rank"), F.lit(-30.0)), F.lit(30.0))
-    ranked = sized.join(plan, "source_key").withColumn("rank", rank).withColumn("bin", F.floor(limits * BINS_PER_UNIT).cast("int"))
+    levels = source_levels(classes.join(plan, "source_key").select("source_key", "weight", "size", "words"), max_repeat)
+    plan = plan.join(levels, "source_key", "left").withColumn("level", F.coalesce("level", F.lit(0.0)))
+    expected = F.least(F.lit(float(max_repeat)), F.col("level") * F.col("weight"))
+    certain = classes.join(plan, "source_key").groupBy("source_key").agg(F.sum(F.floor(expected) * F.col("size")).alias("certain"))
+    plan = materialize(plan.join(certain, "source_key").withColumn("rest", F.col("words") - F.col("certain")).drop("words", "certain"), "mix-levels")
+
+    def ranked(df: DataFrame) -> DataFrame:
+        """With whole (certain copies), and rank and bin for documents that may be drawn once more."""
+        joined = df.join(plan, "source_key").withColumn("whole", F.floor(expected)).withColumn("share", expected - F.col("whole"))
+        odds = (F.col("draw") / (1 - F.col("draw"))) / (F.col("share") / (1 - F.col("share")))
+        placed = joined.withColumn("rank", F.when((F.col("share") > 0) & (F.col("size") > 0), odds))
+        limits = F.least(F.greatest(F.log("rank"), F.lit(-30.0)), F.lit(30.0))
+        return placed.withColumn("bin", F.floor(limits * BINS_PER_UNIT).cast("int"))
 
     running = Window.partitionBy("source_key").orderBy("bin")
-    bins = ranked.where("rest > 0").groupBy("source_key", "bin").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
+    bins = ranked(slim).where("bin is not null and rest > 0").groupBy("source_key", "bin").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
     before = F.sum("words").over(running) - F.col("words")
     edges = bins.withColumn("before", before).where("before < rest and before + words >= rest").groupBy("source_key").agg(F.min("bin").alias("edge"), F.min("before").alias("before"))
-    placed = ranked.join(materialize(edges, "mix-edges"), "source_key", "left")
+    placed = ranked(keyed if carry else slim).join(materialize(edges, "mix-edges"), "source_key", "left")
 
-    sure = placed.where("edge is null or bin <> edge").withColumn("extra", F.when(F.col("bin") < F.col("edge"), F.col("size")).otherwise(F.lit(0)))
+    sure = placed.where("edge is null or bin is null or bin <> edge").withColumn("extra", F.when(F.col("bin") < F.col("edge"), F.col("size")).otherwise(F.lit(0)))
     in_order = Window.partitionBy("source_key").orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     left = F.col("rest") - F.col("before") - F.coalesce(F.sum("size").over(in_order), F.lit(0))
     at_edge = placed.where("bin = edge").withColumn("extra", F.greatest(F.lit(0), F.least(F.col("size"), left)))
     taken = (F.col("whole") * F.col("size") + F.col("extra")).cast("long")
     copies = F.when(F.col("size") > 0, F.rint(F.col("taken") / F.col("size"))).otherwise(F.lit(0)).cast("long")
-    return sure.unionByName(at_edge).withColumn("taken", taken).select("doc_id", "source", "size", "source_size", "target", "taken", copies.alias("copies"))
+    more = ["carried"] if carry else []
+    return sure.unionByName(at_edge).withColumn("taken", taken).select("doc_id", "source", "size", "source_size", "target", "taken", copies.alias("copies"), *more)

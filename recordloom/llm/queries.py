@@ -100,7 +100,7 @@ FROM judged GROUP BY doc_id
 OP6_SQL = r"""
 WITH docs AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         (('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS draw
+         (('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null:' || md5(coalesce(text, '')))), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS draw
   FROM documents),
 sizes AS (SELECT source, sum(size)::BIGINT AS source_size FROM docs GROUP BY source),
 weighed AS (
@@ -115,21 +115,32 @@ levelled AS (
 targets AS (
   SELECT source, source_size, CASE WHEN source_size > 0 THEN least(cap::DOUBLE, level * weight) ELSE 0.0 END AS target
   FROM levelled),
-plan AS (
-  SELECT *, CASE WHEN source_size > 0 THEN (round_even(target, 0)::BIGINT // source_size)::BIGINT ELSE 0 END AS whole,
-         round_even(target, 0)::BIGINT AS words FROM targets),
-odds AS (
-  SELECT d.doc_id, d.size, p.source, p.source_size, p.target, p.whole, p.words - p.whole * p.source_size AS rest,
-         (d.draw / (1 - d.draw)) AS draw_odds
+plan AS (SELECT *, round_even(target, 0)::BIGINT AS words FROM targets),
+weighted AS (
+  SELECT d.*, length(bin(d.size))::BIGINT AS weight, p.source_size, p.target, p.words
   FROM docs d JOIN plan p ON d.source IS NOT DISTINCT FROM p.source),
+classes AS (SELECT source, weight, sum(size)::BIGINT AS size, any_value(words) AS words FROM weighted GROUP BY source, weight),
+levels AS (
+  SELECT source, max(level) AS level FROM (
+    SELECT source, (words - 3 * coalesce(sum(size) OVER heavier, 0))::DOUBLE
+                   / (sum(size * weight) OVER (PARTITION BY source) - coalesce(sum(size * weight) OVER heavier, 0))::DOUBLE AS level
+    FROM classes WHERE size > 0
+    WINDOW heavier AS (PARTITION BY source ORDER BY weight DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+  GROUP BY source),
+expected AS (
+  SELECT w.*, least(3.0::DOUBLE, coalesce(l.level, 0.0::DOUBLE) * w.weight) AS copies
+  FROM weighted w LEFT JOIN levels l ON w.source IS NOT DISTINCT FROM l.source),
+parted AS (
+  SELECT *, floor(copies)::BIGINT AS whole, copies - floor(copies) AS share,
+         words - sum(floor(copies)::BIGINT * size) OVER (PARTITION BY source) AS rest FROM expected),
 ordered AS (
-  SELECT *, coalesce(sum(size) OVER (
-    PARTITION BY source
-    ORDER BY CASE WHEN rest > 0 THEN draw_odds / ((rest::DOUBLE / source_size) / (1 - rest::DOUBLE / source_size)) END,
-             doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-  FROM odds)
+  SELECT *, share > 0 AND size > 0 AS drawn, coalesce(sum(size) OVER (
+    PARTITION BY source, share > 0 AND size > 0
+    ORDER BY CASE WHEN share > 0 AND size > 0 THEN (draw / (1 - draw)) / (share / (1 - share)) END, doc_id, size
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM parted)
 SELECT doc_id, size, source_size, target,
-       (whole * size + greatest(0, least(size, rest - before)))::BIGINT AS taken
+       (whole * size + CASE WHEN drawn THEN greatest(0, least(size, rest - before)) ELSE 0 END)::BIGINT AS taken
 FROM ordered
 """
 

@@ -348,6 +348,30 @@ def test_mix_meets_targets(spark):
     assert mixing.mix_sources(docs(spark)).count() == 0
 
 
+def test_inclusion_follows_the_weights(spark):
+    """A document is in the mix as often as its weight says, whole copies first."""
+    long, short, n = " ".join(["w"] * 40), "w w w", 1500  # weights 6 and 2
+    rows = [(i, short if i % 2 else long, "a") for i in range(2 * n)] + [(10_000 + i, "one two " * 9, "b") for i in range(5000)]
+    got = mixing.mix_sources(docs(spark, *rows)).collect()
+    level = next(r.target for r in got if r.source == "a") / (n * 3 * 2 + n * 40 * 6)
+    assert 6 * level < 3
+    for size, weight in ((3, 2), (40, 6)):
+        copies = [r.taken / r.size for r in got if r.source == "a" and r.size == size]
+        share = level * weight - int(level * weight)
+        assert abs(np.mean(copies) - level * weight) < 4 * np.sqrt(share * (1 - share) / n), (size, np.mean(copies), level * weight)
+        assert int(level * weight) <= min(copies) and max(copies) <= int(level * weight) + 1
+
+
+def test_mix_carries_columns(spark):
+    rows = [(1, "a b c", "s"), (1, "a b c", "s"), (1, "d e f", "s"), (None, "x y", "s"), (None, "z w v", "s"), (2, None, None)]
+    got = mixing.mix_sources(docs(spark, *rows), carry=("text", "n", "id")).collect()
+    assert Counter((r.doc_id, r.carried.text) for r in got) == Counter((d, t) for d, t, _ in rows)
+    assert all((r.carried.n, r.carried.id) == (8, 7) for r in got)
+    plain = mixing.mix_sources(docs(spark, *rows)).collect()
+    key = lambda r: (r.doc_id, r.source, r.size, r.taken)
+    assert Counter(map(key, got)) == Counter(map(key, plain)) and sum(r.taken for r in got) == 14
+
+
 def test_mix_of_texts_without_words(spark):
     got = mixing.mix_sources(docs(spark, (1, None, "a"), (2, "", None))).collect()
     assert [(r.size, r.target, r.taken) for r in got] == [(0, 0.0, 0)] * 2
