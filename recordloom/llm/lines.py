@@ -8,13 +8,15 @@ suspects are shuffled, with their exact text, to confirm them and to choose the
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from recordloom.llm import bloom
 from recordloom.llm.work import materialize, small_batches
@@ -42,18 +44,37 @@ def _suspects(filter_, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         twice = np.frombuffer(filter_.value, np.uint8)
         for batch in batches:
-            ids, keys = [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            at, keys = [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
                 own = _keys(text or "", least)
                 keys.extend(own)
-                ids.extend([doc] * len(own))
+                at.extend([i] * len(own))
             if keys:
                 chosen = np.flatnonzero(bloom.may_contain(twice, _hashed(keys)))
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in chosen], pa.int64()), pa.array([keys[i].decode() for i in chosen], pa.string())], names=["id", "key"])
+                docs = batch.column(0).take(pa.array(np.array(at, np.int64)[chosen]))
+                yield pa.RecordBatch.from_arrays([docs, pa.array([keys[i].decode() for i in chosen], pa.string())], names=["doc", "key"])
 
     return run
 
 
+def _without(text: str, drop: Sequence[str] | None) -> tuple[str, int, int]:
+    """The text without lines whose key is in drop, the number of its lines and of those dropped."""
+    lines = text.split("\n")
+    if drop is None:
+        return text, len(lines), 0
+    gone = {k.encode() for k in drop}
+    kept = [line for line in lines if line.encode().strip(b" \t\n\x0b\x0c\r").lower() not in gone]
+    return "\n".join(kept), len(lines), len(lines) - len(kept)
+
+
+CUT = StructType([StructField("text", StringType()), StructField("lines", LongType()), StructField("dropped", LongType())])
+
+
+@F.pandas_udf(CUT)
+def _cut(texts: pd.Series, drops: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([_without(t, d) for t, d in zip(texts, drops)], columns=["text", "lines", "dropped"])
+
+
 def line_dedup(
     docs: DataFrame,
     *,
@@ -70,34 +91,35 @@ def line_dedup(
     The filter has bits_per_line bits for each line, at most max_bits (32 MB, broadcast): beyond that more keys
     are suspected and shuffled, and results stay exact.
 
-    A null text is one empty line and comes back as the empty string. Rows that repeat an id are one document. A
-    null id stands after every other id. A text that loses all its lines becomes empty and its row stays. An empty
-    table gives an empty one. Columns named n_lines or n_dropped are replaced.
+    A null text is one empty line and comes back as the empty string; a text of any length is read whole, line by line
+    in time in proportion to its length. Rows that repeat an id are one document. Rows without an id are documents of
+    their own, after all others, in order of a hash of their text; equal texts among them are one document. A text that
+    loses all its lines becomes empty and its row stays. An empty table gives an empty one. Columns named n_lines or
+    n_dropped are replaced.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    last = (1 << 63) - 1
-    doc_id, text = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(last)), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    plain = docs.select(doc_id.alias("id"), text.alias("text"))
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    number = F.col(f"`{id_col}`").cast("long")
+    no_id = number.isNull()
+    doc = F.struct(no_id.alias("no_id"), F.coalesce(number, F.lit(0)).alias("id"), F.when(no_id, F.xxhash64(text)).otherwise(0).alias("tag"))
+    plain = docs.select(doc.alias("doc"), text.alias("text"))
     lines = plain.agg(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)).first()[0] or 0
     bits = bloom.bits_for(lines, bits_per_line, max_bits)
     filter_ = spark.sparkContext.broadcast(bloom.twice_seen(plain.select("text"), _hashes(min_chars), bits))
-    suspects = materialize(plain.mapInArrow(_suspects(filter_, min_chars), "id long, key string"), "line-suspects")
-    confirmed = suspects.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("final")).where("first < final").select("key", "first")
+    suspects = materialize(plain.mapInArrow(_suspects(filter_, min_chars), f"doc {plain.schema['doc'].dataType.simpleString()}, key string"), "line-suspects")
+    confirmed = suspects.groupBy("key").agg(F.min("doc").alias("first"), F.max("doc").alias("final")).where("first < final").select("key", "first")
     mark = "_"
     while any(c.startswith(mark) for c in docs.columns):  # no column of docs may clash with those added here
         mark += "_"
     own, raw, other, drop, left = (mark + c for c in ("own", "text", "id", "drop", "kept"))
     drops = (
         suspects.join(materialize(confirmed, "line-repeats"), "key")
-        .where("id > first")
-        .groupBy(F.col("id").alias(other))
+        .where("doc > first")
+        .groupBy(F.col("doc").alias(other))
         .agg(F.collect_set("key").alias(drop))
     )
-    parts = F.split(F.col(raw), "\n", -1)
-    key = lambda line: F.translate(F.btrim(line, F.lit(BLANKS)), UPPER, LOWER)
-    kept = F.when(F.col(drop).isNull(), parts).otherwise(F.filter(parts, lambda line: ~F.array_contains(F.col(drop), key(line))))
-    named = docs.drop("n_lines", "n_dropped").withColumns({own: doc_id, raw: text})
-    joined = named.join(drops, F.col(own) == F.col(other), "left").withColumn(left, kept)
-    counted = joined.withColumns({"n_lines": F.size(parts).cast("long"), "n_dropped": (F.size(parts) - F.size(left)).cast("long"), text_col: F.array_join(left, "\n")})
+    named = docs.drop("n_lines", "n_dropped").withColumns({own: doc, raw: text})
+    joined = named.join(drops, F.col(own) == F.col(other), "left").withColumn(left, _cut(F.col(raw), F.col(drop)))
+    counted = joined.withColumns({"n_lines": F.col(left)["lines"], "n_dropped": F.col(left)["dropped"], text_col: F.col(left)["text"]})
     return counted.drop(own, raw, other, drop, left)

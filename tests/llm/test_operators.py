@@ -194,9 +194,18 @@ def test_line_dedup_equals_brute_force(spark):
     assert lines.line_dedup(docs(spark)).count() == 0
 
 
-def test_null_ids_stand_last(spark):
-    got = {r.doc_id: r.text for r in lines.line_dedup(docs(spark, (None, "a line that two have"), (9, "a line that two have"))).collect()}
-    assert got == {None: "", 9: "a line that two have"}
+def test_null_ids_stand_last_and_apart(spark):
+    shared = "a line that some have"
+    rows = [(None, shared), (9, shared), (None, "a line that two have not\nx"), (None, "y\na line that two have not"), ((1 << 63) - 1, shared + "\nz"), (None, shared)]
+    got = Counter((r.doc_id, r.text) for r in lines.line_dedup(docs(spark, *rows)).collect())
+    assert got[(9, shared)] == 1 and got[((1 << 63) - 1, "z")] == 1 and got[(None, "")] == 2
+    assert {t for d, t in got if d is None and t} in ({"a line that two have not\nx", "y"}, {"x", "y\na line that two have not"})
+
+
+def test_line_dedup_of_a_long_text(spark):
+    many = [f"line number {i} of the long text" for i in range(20_000)]
+    got = {r.doc_id: (r.n_lines, r.n_dropped) for r in lines.line_dedup(docs(spark, (1, "\n".join(many)), (2, "\n".join(many[::-1] + ["own"])))).collect()}
+    assert got == {1: (20_000, 0), 2: (20_001, 20_000)}
 
 
 # -- repeated strings
