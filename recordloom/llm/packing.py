@@ -18,10 +18,10 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from recordloom.llm.work import small_batches
+from recordloom.llm.work import materialize, small_batches
 
 #: Pre-tokenization pattern of byte-level BPE. Fixed value of the tokenizer's format.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -30,6 +30,10 @@ SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
     "window long, step_group long"
 )
+#: Rows as tasks pack them, before sequences are numbered across partitions.
+PLACED = SCHEMA.replace("step_group", "nth")
+#: Low bits of a sequence_id that number the sequences of a partition.
+PARTITION_BITS = 40
 #: Remainders that are packed together; bounds a task's memory at POOL * 4 KB of ids.
 POOL = 4096
 #: Words whose ids a worker remembers.
@@ -150,31 +154,30 @@ def _fill(pool: list[tuple[int, int]]) -> Iterator[tuple[int, list[tuple[int, in
             left -= size
 
 
-def _packer(tokenizer: str | None, longest: int, step_tokens: int):
+def _packer(tokenizer: str | None, longest: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(tokenizer or default_tokenizer(), added=True)
-        base = TaskContext.get().partitionId() << 40
+        base = TaskContext.get().partitionId() << PARTITION_BITS
         n_seq, per_tier = 0, {}
-        names = [c.split()[0] for c in SCHEMA.split(", ")]
+        names = [c.split()[0] for c in PLACED.split(", ")]
         kept: dict[int, tuple] = {}
         pool: list[tuple[int, int]] = []
         rows: list[tuple] = []
 
         def sequence(window: int) -> tuple[int, int]:
-            """Sequences of one tier form step groups of the same number of tokens."""
+            """Id of a new sequence, and its number among those of its tier in this partition."""
             nonlocal n_seq
             n_seq += 1
-            nth = per_tier[window] = per_tier.get(window, -1) + 1
-            group = nth * window // step_tokens
-            return base + n_seq - 1, base + (group << 6) + window.bit_length()
+            per_tier[window] = per_tier.get(window, -1) + 1
+            return base + n_seq - 1, per_tier[window]
 
         def packed() -> None:
             for window, parts in _fill(pool):
-                seq, group = sequence(window)
+                seq, nth = sequence(window)
                 at = 0
                 for key, skip, n in parts:
                     doc, start, total, ids = kept[key]
-                    rows.append((doc, start + skip, n, zlib.crc32(ids[4 * skip : 4 * (skip + n)]), total, seq, at, window, group))
+                    rows.append((doc, start + skip, n, zlib.crc32(ids[4 * skip : 4 * (skip + n)]), total, seq, at, window, nth))
                     at += n
             kept.clear()
 
@@ -189,8 +192,8 @@ def _packer(tokenizer: str | None, longest: int, step_tokens: int):
                 total = len(ids) // 4
                 whole = total // longest * longest
                 for start in range(0, whole, longest):
-                    seq, group = sequence(longest)
-                    rows.append((doc, start, longest, zlib.crc32(ids[4 * start : 4 * (start + longest)]), total, seq, 0, longest, group))
+                    seq, nth = sequence(longest)
+                    rows.append((doc, start, longest, zlib.crc32(ids[4 * start : 4 * (start + longest)]), total, seq, 0, longest, nth))
                 if total > whole:
                     kept[len(kept)] = (doc, whole, total, ids[4 * whole :])
                     pool.append((total - whole, len(kept) - 1))
@@ -219,14 +222,23 @@ def pack(
     tokenizer: path of a byte-level BPE file of the tokenizers library (default: the public 50k one), readable
     on every executor. longest: the longest window, a power of two. Columns: doc_id, start, length, ids_crc32,
     doc_tokens, sequence_id, offset, window (the sequence's length) and step_group: sequences of one tier that
-    make up step_tokens tokens together, so that each step of training has the same shape and cost.
+    make up step_tokens tokens together, so that each step of training has the same shape and cost; only a tier's last
+    group may have fewer.
 
-    Each input partition is packed by itself: nothing is shuffled, and a lost task is simply run again. A null
-    text counts as empty; an empty text is the single id 0. A null id stays null. Repeated rows are packed
+    Each input partition is packed by itself: texts and ids are never shuffled, and a lost task is simply run again.
+    Groups follow from the number of sequences of each tier in the partitions before. A null text counts as empty; an
+    empty text is the single id 0; a text of any length is read whole. A null id stays null. Repeated rows are packed
     again. An empty table gives no rows. Other columns are ignored, whatever their names.
     """
-    if longest < 1 or longest & (longest - 1):
-        raise ValueError("longest must be a power of two")
+    if longest < 1 or longest & (longest - 1) or step_tokens % longest:
+        raise ValueError("longest must be a power of two, and step_tokens a multiple of it")
     small_batches(docs.sparkSession)
     chosen = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return chosen.mapInArrow(_packer(tokenizer, longest, step_tokens), SCHEMA)
+    placed = materialize(chosen.mapInArrow(_packer(tokenizer, longest), PLACED), "packed")
+    placed = placed.withColumn("part", F.shiftright("sequence_id", PARTITION_BITS))
+    counts = placed.groupBy("window", "part").agg((F.max("nth") + 1).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("window").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    joined = placed.join(counts.select("window", "part", before.alias("before")), ["window", "part"])
+    tier = F.length(F.bin("window"))  # tiers' groups differ in the low bits
+    group = F.shiftleft(((F.col("before") + F.col("nth")) * F.col("window") / F.lit(step_tokens)).cast("long"), 6) + tier
+    return joined.withColumn("step_group", group.cast("long")).select(*[c.split()[0] for c in SCHEMA.split(", ")])

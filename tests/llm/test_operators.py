@@ -611,3 +611,18 @@ def test_packing_keeps_every_id_once(spark, monkeypatch):
         steps[own[0].step_group] += own[0].window
     assert max(steps.values()) <= 65536
     assert packing.pack(docs(spark)).count() == 0
+
+
+def test_step_groups_are_full_whatever_the_partitions(spark):
+    rng = random.Random(4)
+    table = docs(spark, *[(i, prose(rng, rng.choice([3, 30, 90, 700]))) for i in range(400)])
+    for parts in (1, 13):
+        got = packing.pack(table.repartition(parts), step_tokens=4096).select("sequence_id", "window", "step_group").distinct().collect()
+        assert len({r.sequence_id for r in got}) == len(got)
+        tokens, tiers = Counter(), defaultdict(set)
+        for r in got:
+            tokens[r.step_group] += r.window
+            tiers[r.window].add(r.step_group)
+        assert sum(map(len, tiers.values())) == len(tokens)  # no group has two tiers
+        for window, groups_ in tiers.items():
+            assert all(tokens[g] == 4096 for g in sorted(groups_)[:-1]) and tokens[max(groups_)] <= 4096
