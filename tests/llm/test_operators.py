@@ -166,6 +166,18 @@ def test_rule_order_does_not_change_verdicts(spark, monkeypatch):
     assert first == {r.doc_id: r.kept for r in quality.quality_cascade(table).collect()} == {1: True, 2: False, 3: False}
 
 
+def test_cheap_rules_come_before_costly_ones(spark):
+    rng = random.Random(6)
+    table = docs(spark, *[(i, prose(rng, 300) + (" bad" if i % 2 else "")) for i in range(120)], (500, "short and bad"))
+    costly = "length(regexp_replace(regexp_replace(text, '([a-j])([a-j])', '$2$1'), '([a-j])(.)', '$2$1')) > 0 and text like '% bad'"
+    rules = {"costly": costly, "never": "n_words < 0", "cheap": "text like '% bad'"}
+    assert quality.order_rules(table, rules, "text", 50, 200, 1) == ["cheap", "costly", "never"]
+    based = quality.with_base(table, "text").withColumn("text", F.col("__text")).where("n_words >= 50")
+    found = {name: (seconds, share) for name, seconds, share in quality.measured(based.cache(), rules)}
+    assert found["costly"][0] > 3 * found["cheap"][0] and found["cheap"][1] == found["costly"][1] == 0.5  # "short and bad" isn't among them
+    assert quality.order_rules(docs(spark), rules, "text", 50, 200, 1) == quality.order_rules(docs(spark, (1, "short")), rules, "text", 50, 200, 1) == list(rules)
+
+
 # -- lines
 
 
