@@ -1,8 +1,8 @@
 """Logistic regression by iteratively reweighted least squares over grouped sums.
 
-Each iteration is one pass that sums X'WX and X'W(z) in the tasks; only k x k numbers per model come to the driver.
-Cluster-robust errors take one more pass for the score sums of clusters. A design of a checked, small size is read
-once and iterated on the driver by the same functions.
+Rows that are equal in model, cluster and design are counted first, so a design of categories is small whatever the
+number of rows. Each iteration is one pass over the counts that sums X'WX and X'W(z) in the tasks; only k x k numbers
+per model come to the driver, at every size. Cluster-robust errors take one more pass for the score sums of clusters.
 """
 
 from __future__ import annotations
@@ -18,8 +18,6 @@ from pyspark.sql import functions as F
 
 #: Models fitted at once; each holds k * k sums on the driver.
 MODELS = 10_000
-#: Numbers in a design that is iterated on the driver (32 MB); a larger one is summed in tasks, step by step.
-LOCAL = 4_000_000
 
 
 def design(df: DataFrame, category: str, reference: str, covariates: list[str]) -> tuple[DataFrame, list[str]]:
@@ -30,28 +28,29 @@ def design(df: DataFrame, category: str, reference: str, covariates: list[str])
 
 
 def _sums(betas: dict[str, np.ndarray], k: int, by_cluster: bool):
+    """From (model, cluster, x, n, y: sum of the n outcomes) to sums of each model (and cluster)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[tuple, np.ndarray] = {}
         for batch in batches:
             if not batch.num_rows:
                 continue
-            models, y = np.array(batch.column(0).to_pylist(), object), batch.column(1).to_numpy()
-            x = batch.column(2).flatten().to_numpy().reshape(-1, k)
-            clusters = np.array(batch.column(3).to_pylist(), object)
+            models, clusters = (np.array(batch.column(c).to_pylist(), object).astype(str) for c in ("model", "cluster"))
+            x = batch.column("x").flatten().to_numpy().reshape(-1, k)
+            n, y = batch.column("n").to_numpy().astype(float), batch.column("y").to_numpy()
             for model in set(models.tolist()):
                 rows = models == model
-                xm, ym = x[rows], y[rows]
+                xm, ym, nm = x[rows], y[rows], n[rows]
                 p = 1 / (1 + np.exp(-np.clip(xm @ betas.get(model, np.zeros(k)), -30, 30)))
                 if by_cluster:
-                    score = xm * (ym - p)[:, None]
-                    names, where = np.unique(clusters[rows].astype(str), return_inverse=True)
-                    for i, name in enumerate(names):
-                        key = (model, name)
-                        total[key] = total.get(key, 0) + score[where == i].sum(axis=0)
+                    names, where = np.unique(clusters[rows], return_inverse=True)
+                    score = np.zeros((len(names), k))
+                    np.add.at(score, where, xm * (ym - nm * p)[:, None])
+                    parts = dict(zip(names.tolist(), score))
                 else:
-                    w = p * (1 - p)
-                    part = np.concatenate([(xm.T @ (xm * w[:, None])).ravel(), xm.T @ (ym - p), [len(ym), ym.sum()]])
-                    total[(model, "")] = total.get((model, ""), 0) + part
+                    parts = {"": np.concatenate([(xm.T @ (xm * (nm * p * (1 - p))[:, None])).ravel(), xm.T @ (ym - nm * p), [nm.sum(), ym.sum()]])}
+                for name, part in parts.items():
+                    total[(model, name)] = total.get((model, name), 0) + part
         if total:
             yield pa.RecordBatch.from_pydict({"model": [m for m, _ in total], "cluster": [c for _, c in total], "sums": [v.tolist() for v in total.values()]})
 
@@ -65,16 +64,6 @@ def _summed(rows: DataFrame, betas: dict, k: int, by_cluster: bool) -> DataFrame
     return each.groupBy("model", "cluster", "i").agg(F.sum("v").alias("v"))
 
 
-def _summed_here(batches: list[pa.RecordBatch], betas: dict, k: int, by_cluster: bool) -> dict[tuple, np.ndarray]:
-    """The same sums of a design that is held on the driver, by (model, cluster)."""
-    total: dict[tuple, np.ndarray] = {}
-    for part in _sums(betas, k, by_cluster)(iter(batches)):
-        for r in part.to_pylist():
-            key = (r["model"], r["cluster"])
-            total[key] = total.get(key, 0) + np.array(r["sums"])
-    return total
-
-
 def fit(rows: DataFrame, names: list[str], cluster: str | None = None, model: str | None = None, steps: int = 25, tolerance: float = 1e-9) -> list[dict]:
     """Coefficients of y (0 or 1) on x for every model: dicts of model, term, beta, se, p, n, converged.
 
@@ -101,16 +90,14 @@ def _fit(rows: DataFrame, names: list[str], cluster: str | None, model: str | No
         F.col("y").cast("double").alias("y"),
         "x",
         (F.col(cluster).cast("string") if cluster else F.lit("")).alias("cluster"),
-    ).where(~F.exists("x", lambda v: v.isNull()) & F.col("y").isNotNull()).persist(StorageLevel.MEMORY_AND_DISK)  # read once a step
-    here = flat.toArrow().to_batches() if flat.limit(LOCAL // k + 1).count() <= LOCAL // k else None
+    ).where(~F.exists("x", lambda v: v.isNull()) & F.col("y").isNotNull())
+    flat = flat.groupBy("model", "cluster", "x").agg(F.count("*").alias("n"), F.sum("y").alias("y")).persist(StorageLevel.MEMORY_AND_DISK)  # read once a step
     betas: dict[str, np.ndarray] = {}
     done: dict[str, bool] = {}
     last: dict[str, tuple] = {}
     for _ in range(steps):
         sums: dict[str, np.ndarray] = {}
-        if here is not None:
-            sums = {m: v for (m, _), v in _summed_here(here, betas, k, False).items()}
-        for r in _summed(flat, betas, k, False).collect() if here is None else []:
+        for r in _summed(flat, betas, k, False).collect():
             sums.setdefault(r["model"], np.zeros(k * k + k + 2))[r["i"]] = r["v"]
         for m, v in sums.items():
             h, g = v[: k * k].reshape(k, k), v[k * k : k * k + k]
@@ -123,11 +110,7 @@ def _fit(rows: DataFrame, names: list[str], cluster: str | None, model: str | No
             break
     meat: dict[str, np.ndarray] = {}
     groups: dict[str, int] = {}
-    if cluster and here is not None:
-        for (m, _), v in _summed_here(here, betas, k, True).items():
-            meat[m] = meat.get(m, 0) + np.outer(v, v)
-            groups[m] = groups.get(m, 0) + 1
-    elif cluster:
+    if cluster:
         scores = _summed(flat, betas, k, True).groupBy("model", "cluster").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("sums"))
         outer = scores.select("model", F.posexplode("sums").alias("i", "a"), "sums").select("model", "i", F.posexplode("sums").alias("j", "b"), "a")
         for r in outer.groupBy("model", "i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("v"), F.count("*").alias("g")).collect():

@@ -46,9 +46,84 @@ def sink_roundtrip(star: Star) -> DataFrame:
     return tables.scan(star.spark, path, "r_regionkey int, r_name string")
 
 
+@query("SELECT n_nationkey::INT AS n_nationkey, n_name FROM nation")
+def table_locator(star: Star) -> DataFrame:
+    """The first of several names that the folder has."""
+    path = tables.locate(star.spark, star.folder, ["country.csv.gz", "nation.parquet", "region.parquet"])
+    return star.spark.read.parquet(path).select("n_nationkey", "n_name")
+
+
+@query("SELECT event_type, count(*)::BIGINT AS n, round(sum(value), 4) AS total FROM events WHERE value >= 100 GROUP BY 1")
+def event_scan(star: Star) -> DataFrame:
+    """A whole event table by way of CSV: declared columns, filter and aggregation in one scan."""
+    path = _folder(star, "events") + ".csv"
+    sinks.write_csv(star.table("events").select("event_id", "event_type", "value"), path)
+    e = tables.scan(star.spark, path, "event_type string, value double").where("value >= 100")
+    return e.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query("SELECT p_partkey, p_size::INT AS p_size FROM part")
+def parquet_cache(star: Star) -> DataFrame:
+    """Written once: the second call, with other rows, finds the copy and keeps it."""
+    path, part = _folder(star, "part"), star.table("part").select("p_partkey", "p_size")
+    tables.to_parquet(part, path)
+    return tables.to_parquet(part.limit(1), path)
+
+
+@query("SELECT s_suppkey::BIGINT AS s_suppkey, s_acctbal FROM supplier")
+def csv_cache(star: Star) -> DataFrame:
+    """A CSV copy that is written unless it is there."""
+    path = _folder(star, "supplier") + ".csv"
+    for rows in (star.table("supplier"), star.table("supplier").limit(1)):
+        if not tables.exists(star.spark, path):
+            sinks.write_csv(rows, path)
+    return tables.scan(star.spark, path, "s_suppkey long, s_acctbal double")
+
+
+@query("SELECT 'Regions' AS line UNION ALL SELECT '' UNION ALL SELECT 'r_regionkey' || chr(9) || 'r_name' UNION ALL SELECT r_regionkey || chr(9) || r_name FROM region")
+def text_report(star: Star) -> DataFrame:
+    path = _folder(star, "report")
+    sinks.write_report(star.table("region"), path, "Regions")
+    return star.spark.read.text(path).select(F.col("value").alias("line"))
+
+
+@query("SELECT o_orderkey, o_orderstatus AS status, NULL::VARCHAR AS ward FROM orders")
+def optional_column(star: Star) -> DataFrame:
+    """A column the table has, and one that it hasn't."""
+    o = star.table("orders")
+    return o.select("o_orderkey", tables.optional(o, "o_orderstatus").alias("status"), tables.optional(o, "ward").alias("ward"))
+
+
 # -- projections and predicates
 
 
+@query("SELECT o_orderkey::INT AS order_id, o_custkey::INT AS stay_id FROM orders")
+def cast_integers(star: Star) -> DataFrame:
+    return star.table("orders").select(F.col("o_orderkey").cast("int").alias("order_id"), F.col("o_custkey").cast("int").alias("stay_id"))
+
+
+@query("SELECT c_custkey, 'star' AS db, 'nation-' || c_nationkey || ':' || c_mktsegment AS unit_id FROM customer")
+def label_columns(star: Star) -> DataFrame:
+    unit = F.concat(F.lit("nation-"), F.col("c_nationkey").cast("string"), F.lit(":"), "c_mktsegment")
+    return star.table("customer").select("c_custkey", F.lit("star").alias("db"), unit.alias("unit_id"))
+
+
+@query("SELECT user_id, round(ln(count(*)), 9) AS log_n FROM events GROUP BY 1")
+def log_records(star: Star) -> DataFrame:
+    return star.table("events").groupBy("user_id").agg(F.round(F.log(F.count("*")), 9).alias("log_n"))
+
+
+@query("SELECT l_orderkey, l_linenumber, round_even(l_quantity / 4, 0) AS quarter FROM lineitem")
+def half_even_round(star: Star) -> DataFrame:
+    return star.table("lineitem").select("l_orderkey", "l_linenumber", F.bround(F.col("l_quantity") / 4, 0).alias("quarter"))
+
+
+@query("SELECT user_id, count(CASE WHEN event_type = 'view' THEN 1 END) / greatest(count(CASE WHEN event_type = 'error' THEN 1 END), 1)::DOUBLE AS ratio FROM events GROUP BY 1")
+def floored_divisor(star: Star) -> DataFrame:
+    n = lambda t: F.count(F.when(F.col("event_type") == t, 1))
+    return star.table("events").groupBy("user_id").agg((n("view") / F.greatest(n("error"), F.lit(1))).alias("ratio"))
+
+
 @query("SELECT user_id AS stay_key, event_type AS item, value FROM events")
 def project_rename(star: Star) -> DataFrame:
     return star.table("events").select(F.col("user_id").alias("stay_key"), F.col("event_type").alias("item"), "value")
@@ -96,17 +171,16 @@ def regex_semi(star: Star) -> DataFrame:
     return orders.join(names, "o_orderpriority", "left_semi").select("o_orderkey")
 
 
-_TEXTS = "(VALUES (1, '98.6'), (2, ' 12 '), (3, '1e2'), (4, '12d'), (5, 'NaN'), (6, ''), (7, 'abc'), (8, '.5'), (9, '5.'), (10, NULL)) AS t(id, text)"
+_TEXTS = """(SELECT o_orderkey AS id, CASE o_orderkey % 8 WHEN 0 THEN o_orderpriority WHEN 1 THEN '' WHEN 2 THEN NULL WHEN 3 THEN ' ' || o_custkey || ' '
+  WHEN 4 THEN o_custkey || 'd' WHEN 5 THEN '-.' || o_custkey WHEN 6 THEN o_custkey || '.e1' ELSE 'NaN' END AS text FROM orders)"""
 
 
-def _texts(star: Star) -> DataFrame:
-    rows = [(1, "98.6"), (2, " 12 "), (3, "1e2"), (4, "12d"), (5, "NaN"), (6, ""), (7, "abc"), (8, ".5"), (9, "5."), (10, None)]
-    return star.spark.createDataFrame(rows, "id int, text string")
-
-
-@query(rf"SELECT id::INT AS id, CASE WHEN regexp_full_match(text, '\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*') THEN try_cast(trim(text) AS DOUBLE) END AS value FROM {_TEXTS}")
+@query(rf"SELECT id, CASE WHEN regexp_full_match(text, '\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*') THEN try_cast(trim(text) AS DOUBLE) END AS value FROM {_TEXTS}")
 def lenient_numeric(star: Star) -> DataFrame:
-    return _texts(star).select("id", S.lenient_numeric(F.col("text")).alias("value"))
+    key, customer = F.col("o_orderkey"), F.col("o_custkey").cast("string")
+    kinds = [F.col("o_orderpriority"), F.lit(""), F.lit(None), F.concat(F.lit(" "), customer, F.lit(" ")), F.concat(customer, F.lit("d")), F.concat(F.lit("-."), customer), F.concat(customer, F.lit(".e1")), F.lit("NaN")]
+    texts = star.table("orders").select(key.alias("id"), F.get(F.array(*kinds), (key % 8).cast("int")).alias("text"))
+    return texts.select("id", S.lenient_numeric(F.col("text")).alias("value"))
 
 
 @query("SELECT c_custkey, CASE WHEN c_acctbal >= 0 THEN c_acctbal END AS bal FROM customer")
@@ -150,22 +224,20 @@ def bin_2h(star: Star) -> DataFrame:
     return star.table("events").select("event_id", S.bin_2h(F.hour("ts")).alias("bin"))
 
 
-_TIMES = "(VALUES (1, '08:15:00'), (2, '23:59:59'), (3, '7'), (4, ''), (5, NULL)) AS t(id, text)"
-
-
-@query(f"SELECT id::INT AS id, hour(try_strptime(text, '%H:%M:%S'))::INT AS h FROM {_TIMES}")
+@query("""SELECT event_id AS id, CASE event_id % 4 WHEN 0 THEN NULL WHEN 1 THEN hour(ts) WHEN 2 THEN NULL ELSE NULL END::INT AS h FROM events""")
 def parse_time(star: Star) -> DataFrame:
-    rows = star.spark.createDataFrame([(1, "08:15:00"), (2, "23:59:59"), (3, "7"), (4, ""), (5, None)], "id int, text string")
-    return rows.select("id", S.time_hour(F.col("text")).alias("h"))
+    """Hours of texts: null, a time, only a number, or empty, in turn."""
+    turn, time = F.col("event_id") % 4, F.date_format("ts", "HH:mm:ss")
+    text = F.when(turn == 1, time).when(turn == 2, F.date_format("ts", "m")).when(turn == 3, F.lit(""))
+    return star.table("events").select(F.col("event_id").alias("id"), S.time_hour(text).alias("h"))
 
 
-_AGES = "(VALUES (1, '> 89'), (2, '45'), (3, ''), (4, NULL)) AS t(id, text)"
-
-
-@query(f"SELECT id::INT AS id, try_cast(CASE WHEN text = '> 89' THEN '90' ELSE text END AS DOUBLE) AS age FROM {_AGES}")
+@query("""SELECT c_custkey AS id, CASE c_custkey % 5 WHEN 0 THEN 90.0 WHEN 1 THEN NULL WHEN 2 THEN NULL ELSE c_custkey % 90 END::DOUBLE AS age FROM customer""")
 def topcode_age(star: Star) -> DataFrame:
-    rows = star.spark.createDataFrame([(1, "> 89"), (2, "45"), (3, ""), (4, None)], "id int, text string")
-    return rows.select("id", S.topcoded(F.col("text")).alias("age"))
+    """Ages as texts: top-coded, empty, null and plain ones."""
+    turn = F.col("c_custkey") % 5
+    text = F.when(turn == 0, F.lit("> 89")).when(turn == 1, F.lit("")).when(turn > 2, (F.col("c_custkey") % 90).cast("string"))
+    return star.table("customer").select(F.col("c_custkey").alias("id"), S.topcoded(text).alias("age"))
 
 
 @query("SELECT c_custkey, round((c_acctbal - mu) / sd, 6) AS z FROM customer, (SELECT avg(c_acctbal) AS mu, stddev_samp(c_acctbal) AS sd FROM customer)")
@@ -191,22 +263,23 @@ FROM (SELECT user_id, min(value) AS lo, max(value) AS hi FROM events GROUP BY us
 def worst_value(star: Star) -> DataFrame:
     e = star.table("events").groupBy("user_id").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
     lo, hi = F.col("lo"), F.col("hi")
-    return e.select("user_id", S.worst_of(lo, hi, "max").alias("worst_high"), S.worst_of(lo, hi, "min").alias("worst_low"), S.worst_of(lo, hi, "far", 75).alias("worst_far"))
+    return e.select("user_id", S.tail_value(lo, hi, "upper").alias("worst_high"), S.tail_value(lo, hi, "lower").alias("worst_low"), S.tail_value(lo, hi, "both", 75).alias("worst_far"))
 
 
-_PAIRS = "(VALUES (1, 1, NULL), (2, 0, NULL), (3, NULL, NULL), (4, 0, 0), (5, 1, 1), (6, NULL, 0)) AS t(id, a, b)"
+_PAIRS = "(SELECT c_custkey AS id, CASE WHEN c_custkey % 3 > 0 THEN c_custkey % 2 END::INT AS a, CASE WHEN c_nationkey % 4 > 0 THEN c_nationkey % 2 END::INT AS b FROM customer)"
 
 
 def _pairs(star: Star) -> DataFrame:
-    return star.spark.createDataFrame([(1, 1, None), (2, 0, None), (3, None, None), (4, 0, 0), (5, 1, 1), (6, None, 0)], "id int, a int, b int")
+    part = lambda c, k: F.when(F.col(c) % k > 0, (F.col(c) % 2).cast("int"))
+    return star.table("customer").select(F.col("c_custkey").alias("id"), part("c_custkey", 3).alias("a"), part("c_nationkey", 4).alias("b"))
 
 
-@query(f"SELECT id::INT AS id, (a + b)::INT AS total FROM {_PAIRS}")
+@query(f"SELECT id, (a + b)::INT AS total FROM {_PAIRS}")
 def complete_sum(star: Star) -> DataFrame:
     return _pairs(star).select("id", S.complete_sum(F.col("a"), F.col("b")).alias("total"))
 
 
-@query(f"SELECT id::INT AS id, CASE WHEN a IS NULL AND b IS NULL THEN NULL WHEN coalesce(a = 1, false) OR coalesce(b = 1, false) THEN 1 ELSE 0 END::INT AS any_one FROM {_PAIRS}")
+@query(f"SELECT id, CASE WHEN a IS NULL AND b IS NULL THEN NULL WHEN coalesce(a = 1, false) OR coalesce(b = 1, false) THEN 1 ELSE 0 END::INT AS any_one FROM {_PAIRS}")
 def three_valued_or(star: Star) -> DataFrame:
     return _pairs(star).select("id", S.any_one(F.col("a"), F.col("b")).alias("any_one"))
 
@@ -491,3 +564,22 @@ def union_all(star: Star) -> DataFrame:
 @query("SELECT DISTINCT o_custkey FROM orders")
 def distinct_keys(star: Star) -> DataFrame:
     return star.table("orders").select("o_custkey").dropDuplicates()
+
+
+@query("SELECT p_type, count(*)::BIGINT AS n FROM part GROUP BY 1 ORDER BY n DESC, p_type")
+def sort_single(star: Star) -> DataFrame:
+    return star.table("part").groupBy("p_type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "p_type")
+
+
+@query("SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS place FROM orders) WHERE place = 1")
+def best_row(star: Star) -> DataFrame:
+    """The best row of each key without a sort: the largest struct of price and, for ties, of the smaller key."""
+    best = star.table("orders").groupBy("o_custkey").agg(F.max(F.struct("o_totalprice", (-F.col("o_orderkey")).alias("k"))).alias("b"))
+    return best.select("o_custkey", (-F.col("b.k")).alias("o_orderkey"), F.col("b.o_totalprice").alias("o_totalprice"))
+
+
+@query("SELECT s_suppkey, n FROM supplier LEFT JOIN (SELECT c_nationkey, count(*)::BIGINT AS n FROM customer WHERE c_acctbal > 9000 GROUP BY 1) ON c_nationkey = s_nationkey")
+def lookup_map(star: Star) -> DataFrame:
+    """A value looked up by key; null where the index has none."""
+    rich = star.table("customer").where("c_acctbal > 9000").groupBy(F.col("c_nationkey").alias("s_nationkey")).agg(F.count("*").alias("n"))
+    return star.table("supplier").join(rich, "s_nationkey", "left").select("s_suppkey", "n")

@@ -652,47 +652,61 @@ def physiology_summary(star: Star) -> DataFrame:
     return star.clock().where(any_).groupBy("stay_key").agg(*aggs)
 
 
-@query("""WITH base AS (SELECT user_id AS stay_key, ts, event_type, value FROM events WHERE value BETWEEN 1 AND 400),
-mm AS (SELECT stay_key, min(CASE WHEN event_type = 'click' THEN value END) AS hr_min, max(CASE WHEN event_type = 'click' THEN value END) AS hr_max,
-  min(CASE WHEN event_type = 'view' THEN (value - 32) * 5 / 9 END) AS t_min, max(CASE WHEN event_type = 'view' THEN (value - 32) * 5 / 9 END) AS t_max,
-  sum(CASE WHEN event_type = 'error' THEN -value WHEN event_type = 'purchase' THEN value END) AS urine FROM base GROUP BY 1),
-g AS (SELECT stay_key, min(total) AS gcs FROM (SELECT stay_key, date_trunc('day', ts) AS d, round(sum(value), 6) AS total, count(*) AS n FROM base WHERE event_type = 'signup' GROUP BY 1, 2) WHERE n = 3 GROUP BY 1)
-SELECT stay_key, CASE WHEN abs(hr_max - 75) >= abs(75 - hr_min) THEN hr_max ELSE hr_min END AS hr_worst, round(CASE WHEN abs(t_max - 37) >= abs(37 - t_min) THEN t_max ELSE t_min END, 6) AS temp_worst,
-round(urine, 6) AS urine, gcs FROM mm LEFT JOIN g USING (stay_key)""")
+#: Vital signs: stand-in item, admissible range, the scored tail and, for both tails, the centre.
+VITALS = {"hr": ("click", 20, 250, "upper", None), "map": ("view", 20, 200, "lower", None), "rr": ("error", 2, 80, "upper", None), "temp": ("purchase", 25, 45, "both", 37.2)}
+
+
+@query("""WITH measured AS (
+  SELECT user_id AS stay_key, event_type, CASE WHEN event_type = 'purchase' THEN (value - 32) * 5 / 9 ELSE value END AS x FROM events),
+vital AS (
+  SELECT stay_key,
+    min(x) FILTER (WHERE event_type = 'click' AND x BETWEEN 20 AND 250) AS hr_min, max(x) FILTER (WHERE event_type = 'click' AND x BETWEEN 20 AND 250) AS hr_max,
+    min(x) FILTER (WHERE event_type = 'view' AND x BETWEEN 20 AND 200) AS map_min, max(x) FILTER (WHERE event_type = 'view' AND x BETWEEN 20 AND 200) AS map_max,
+    min(x) FILTER (WHERE event_type = 'error' AND x BETWEEN 2 AND 80) AS rr_min, max(x) FILTER (WHERE event_type = 'error' AND x BETWEEN 2 AND 80) AS rr_max,
+    min(x) FILTER (WHERE event_type = 'purchase' AND x BETWEEN 25 AND 45) AS t_min, max(x) FILTER (WHERE event_type = 'purchase' AND x BETWEEN 25 AND 45) AS t_max
+  FROM measured GROUP BY 1),
+coma AS (
+  SELECT stay_key, min(total) AS gcs FROM (
+    SELECT user_id AS stay_key, date_trunc('day', ts) AS d, sum(value) AS total FROM events WHERE event_type = 'signup' GROUP BY 1, 2 HAVING count(*) = 3) GROUP BY 1),
+urine AS (
+  SELECT user_id AS stay_key, sum(CASE WHEN event_type = 'error' AND value > 0 THEN -value ELSE value END) AS volume FROM events WHERE event_type IN ('view', 'error') GROUP BY 1)
+SELECT stay_key, hr_max AS hr_worst, map_min AS map_worst, rr_max AS rr_worst,
+  round(CASE WHEN abs(t_max - 37.2) >= abs(37.2 - t_min) THEN t_max ELSE t_min END, 6) AS temp_worst, round(gcs, 6) AS gcs_worst, round(volume, 6) AS urine_24h,
+  hr_min, hr_max, map_min, map_max, rr_min, rr_max, round(t_min, 6) AS temp_min, round(t_max, 6) AS temp_max
+FROM vital FULL JOIN coma USING (stay_key) LEFT JOIN urine USING (stay_key)
+WHERE hr_min IS NOT NULL OR map_min IS NOT NULL OR rr_min IS NOT NULL OR t_min IS NOT NULL OR gcs IS NOT NULL""")
 def severity_components(star: Star) -> DataFrame:
-    """Worst values, a score that counts only if complete at its time, and a signed total."""
-    e = star.clock().where(F.col("value").between(1, 400))
-    of = lambda t, v=F.col("value"): F.when(F.col("item") == t, v)
-    c = S.fahrenheit_to_celsius(F.col("value"))
-    signed = F.when(F.col("item").isin("error", "purchase"), S.signed(F.col("value"), F.col("item") == "error"))
-    mm = e.groupBy("stay_key").agg(F.min(of("click")).alias("hr_min"), F.max(of("click")).alias("hr_max"), F.min(of("view", c)).alias("t_min"), F.max(of("view", c)).alias("t_max"), F.round(F.sum(signed), 6).alias("urine"))
-    days = e.where("item = 'signup'").groupBy("stay_key", F.date_trunc("day", "ts").alias("d")).agg(F.round(F.sum("value"), 6).alias("total"), F.count("*").alias("n"))
-    gcs = days.where("n = 3").groupBy("stay_key").agg(F.min("total").alias("gcs"))
-    worst = lambda lo, hi, mid: S.worst_of(F.col(lo), F.col(hi), "far", mid)
-    return mm.join(gcs, "stay_key", "left").select("stay_key", worst("hr_min", "hr_max", 75).alias("hr_worst"), F.round(worst("t_min", "t_max", 37), 6).alias("temp_worst"), "urine", "gcs")
+    """For each stay the value on each vital sign's scored tail, the lowest complete coma score, the signed volume, and raw ends.
 
-
-_APS = "(VALUES (1, 4.0, 6.0, 5.0, 80.0, 0.0, 1.0), (2, -1.0, 6.0, 5.0, 400.0, 0.0, 0.0), (3, 4.0, 5.0, -1.0, -1.0, -1.0, 1.0), (4, 3.0, 3.0, 3.0, 20.0, -1.0, -1.0)) AS t(id, eyes, motor, verbal, hr, vent, intubated)"
-
-
-@query(f"""WITH a AS (SELECT id::INT AS id, CASE WHEN eyes >= 0 THEN eyes::DOUBLE END AS e, CASE WHEN motor >= 0 THEN motor::DOUBLE END AS m, CASE WHEN verbal >= 0 THEN verbal::DOUBLE END AS v,
-CASE WHEN hr >= 0 THEN hr::DOUBLE END AS hr, CASE WHEN vent >= 0 THEN vent END AS ve, CASE WHEN intubated >= 0 THEN intubated END AS i FROM {_APS})
-SELECT id, e + m + v AS gcs, CASE WHEN hr BETWEEN 20 AND 250 THEN hr END AS hr, CASE WHEN ve IS NULL AND i IS NULL THEN NULL WHEN coalesce(ve = 1, false) OR coalesce(i = 1, false) THEN 1 ELSE 0 END::INT AS ventilated FROM a""")
-def severity_cleanup(star: Star) -> DataFrame:
-    rows = [(1, 4.0, 6.0, 5.0, 80.0, 0.0, 1.0), (2, -1.0, 6.0, 5.0, 400.0, 0.0, 0.0), (3, 4.0, 5.0, -1.0, -1.0, -1.0, 1.0), (4, 3.0, 3.0, 3.0, 20.0, -1.0, -1.0)]
-    names = ["eyes", "motor", "verbal", "hr", "vent", "intubated"]
-    aps = star.spark.createDataFrame(rows, "id int, " + ", ".join(f"{n} double" for n in names))
-    aps = aps.withColumns({n: S.sentinel_null(F.col(n)) for n in names})
-    return aps.select("id", S.complete_sum(*[F.col(c) for c in names[:3]]).alias("gcs"), S.range_null(F.col("hr"), 20, 250).alias("hr"), S.any_one(F.col("vent"), F.col("intubated")).alias("ventilated"))
-
-
-@query("""WITH raw AS (SELECT c_custkey::BIGINT AS id, (c_custkey % 5 - 1)::DOUBLE AS eyes, (c_custkey % 7 - 1)::DOUBLE AS motor, (c_nationkey % 6 - 1)::DOUBLE AS verbal,
+    Stays with a vital sign or a coma score; the volume is null where none was recorded.
+    """
+    e = star.clock()
+    value, aggs, worst = F.col("value"), [], []
+    for name, (item, lo, hi, tail, centre) in VITALS.items():
+        x = S.fahrenheit_to_celsius(value) if name == "temp" else value
+        good = F.when(F.col("item") == item, S.range_null(x, lo, hi))
+        aggs += [F.min(good).alias(f"{name}_min"), F.max(good).alias(f"{name}_max")]
+        worst.append(S.tail_value(F.col(f"{name}_min"), F.col(f"{name}_max"), tail, centre).alias(f"{name}_worst"))
+    volume = F.when(F.col("item").isin("view", "error"), S.signed(value, F.col("item") == "error"))
+    vital = e.groupBy("stay_key").agg(*aggs, F.round(F.sum(volume), 6).alias("urine_24h"))
+    days = e.where("item = 'signup'").groupBy("stay_key", F.date_trunc("day", "ts").alias("d")).agg(F.sum("value").alias("total"), F.count("*").alias("n"))
+    coma = days.where("n = 3").groupBy("stay_key").agg(F.round(F.min("total"), 6).alias("gcs_worst"))
+    ends = [f"{name}_{end}" for name in VITALS for end in ("min", "max")]
+    found = vital.join(coma, "stay_key", "left").where(" or ".join(f"{c} is not null" for c in [*ends, "gcs_worst"]))
+    return _rounded(found.select("stay_key", *worst, "gcs_worst", "urine_24h", *ends), "temp_worst", "temp_min", "temp_max")
+
+
+_CLEANUP = """WITH raw AS (SELECT c_custkey::BIGINT AS id, (c_custkey % 5 - 1)::DOUBLE AS eyes, (c_custkey % 7 - 1)::DOUBLE AS motor, (c_nationkey % 6 - 1)::DOUBLE AS verbal,
   c_acctbal::DOUBLE / 10 AS hr, (c_custkey % 3 - 1)::DOUBLE AS vent, (c_nationkey % 3 - 1)::DOUBLE AS intubated FROM customer),
 a AS (SELECT id, CASE WHEN eyes >= 0 THEN eyes END AS e, CASE WHEN motor >= 0 THEN motor END AS m, CASE WHEN verbal >= 0 THEN verbal END AS v,
   CASE WHEN hr >= 0 THEN hr END AS hr, CASE WHEN vent >= 0 THEN vent END AS ve, CASE WHEN intubated >= 0 THEN intubated END AS i FROM raw)
-SELECT id, e + m + v AS gcs, CASE WHEN hr BETWEEN 20 AND 250 THEN hr END AS hr, CASE WHEN ve IS NULL AND i IS NULL THEN NULL WHEN coalesce(ve = 1, false) OR coalesce(i = 1, false) THEN 1 ELSE 0 END::INT AS ventilated FROM a""")
+SELECT id, e + m + v AS gcs, CASE WHEN hr BETWEEN 20 AND 250 THEN hr END AS hr, CASE WHEN ve IS NULL AND i IS NULL THEN NULL WHEN coalesce(ve = 1, false) OR coalesce(i = 1, false) THEN 1 ELSE 0 END::INT AS ventilated FROM a"""
+
+
+@query(_CLEANUP, "severity_cleanup")
+@query(_CLEANUP)
 def severity_cleanup_table(star: Star) -> DataFrame:
-    """severity_cleanup over a whole table with negative sentinels."""
+    """Coma score, heart rate and ventilation of rows with negative sentinels."""
     key, nation = F.col("c_custkey"), F.col("c_nationkey")
     raw = {"eyes": key % 5 - 1, "motor": key % 7 - 1, "verbal": nation % 6 - 1, "hr": F.col("c_acctbal").cast("double") / 10, "vent": key % 3 - 1, "intubated": nation % 3 - 1}
     aps = star.table("customer").select(key.cast("long").alias("id"), *[S.sentinel_null(c.cast("double")).alias(n) for n, c in raw.items()])
@@ -723,7 +737,7 @@ def _specifications(star: Star) -> DataFrame:
     c = hours.where("hour is not null").join(star.stays(), "stay_key").join(count(star.monitor(), "contaminated"), "stay_key").join(count(star.nurse(), "clean"), "stay_key")
     stats = c.agg(F.avg("mean_value").alias("mu"), F.stddev_samp("mean_value").alias("sd"))
     dressed = c.crossJoin(F.broadcast(stats)).withColumns({"bin": S.bin_2h(F.col("hour")), "z": (F.col("mean_value") - F.col("mu")) / F.col("sd")})
-    keep = ["stay_key", "hospital", "bin", "z"]
+    keep = ["stay_key", "hospital", "unittype", "bin", "z"]
     long = dressed.unpivot([*keep, "completed"], ["contaminated", "clean"], "exposure", "records")
     subsets = F.when(F.col("completed"), F.array(F.lit("all stays"), F.lit("completed 24h"))).otherwise(F.array(F.lit("all stays")))
     each = long.withColumn("restriction", F.explode(subsets)).select(*keep, F.concat_ws(" / ", "exposure", "restriction").alias("specification"), "records")
@@ -743,10 +757,43 @@ def logit_cluster(star: Star) -> DataFrame:
 
 @query()
 def logit_by_unit(star: Star) -> DataFrame:
-    """A model for every unit type with enough stays, low stays and bins; one threshold for all."""
-    a = _admissions(star)
-    ok = a.groupBy("database").agg(F.count("*").alias("m"), F.sum(F.col("low").cast("int")).alias("lows"), F.countDistinct("bin").alias("bins")).where("m >= 20 and lows >= 5 and bins >= 2")
-    return R.odds_ratios(a.join(ok.select("database"), "database", "left_semi"), "low", "bin", "00-02", [], model="database")
+    """Negative control: a model of the clean exposure in completed stays for every unit with enough stays, low stays and bins.
+
+    The threshold is that of all units together.
+    """
+    a = _specifications(star).where("specification = 'clean / completed 24h'")
+    ok = a.groupBy("unittype").agg(F.count("*").alias("m"), F.sum(F.col("low").cast("int")).alias("lows"), F.countDistinct("bin").alias("bins")).where("m >= 10 and lows >= 2 and bins >= 3")
+    return R.odds_ratios(a.join(ok.select("unittype"), "unittype", "left_semi"), "low", "bin", "00-02", ["z"], model="unittype")
+
+
+_SEGMENT = """WITH rows AS (SELECT c_mktsegment AS bin, c_nationkey AS cluster, (c_acctbal < 1000)::INT::DOUBLE AS y FROM customer),
+fit AS (SELECT bin, count(*)::DOUBLE AS n, avg(y) AS p FROM rows GROUP BY 1),
+ref AS (SELECT n AS n0, p AS p0 FROM fit WHERE bin = 'AUTOMOBILE'),
+each AS (SELECT bin, ln(p / (1 - p)) - ln(p0 / (1 - p0)) AS b, n * p * (1 - p) AS h, n0 * p0 * (1 - p0) AS h0 FROM fit, ref WHERE bin <> 'AUTOMOBILE')"""
+_ODDS = "round(exp(b), 6) AS odds_ratio, round(exp(b - 1.959963984540054 * se), 6) AS lo, round(exp(b + 1.959963984540054 * se), 6) AS hi"
+
+
+def _segments(star: Star) -> DataFrame:
+    return star.table("customer").select(F.col("c_mktsegment").alias("bin"), F.col("c_nationkey").alias("nation"), (F.col("c_acctbal") < 1000).alias("low"))
+
+
+@query(f"{_SEGMENT} SELECT bin, (SELECT count(*) FROM rows)::BIGINT AS n, {_ODDS} FROM (SELECT *, sqrt(1 / h + 1 / h0) AS se FROM each)")
+def logit_segments(star: Star) -> DataFrame:
+    """A logistic model of one category, whose coefficients and Wald errors have a closed form in SQL."""
+    found = R.odds_ratios(_segments(star), "low", "bin", "AUTOMOBILE", [])
+    return _rounded(found.select("bin", "n", "odds_ratio", "lo", "hi"), "odds_ratio", "lo", "hi")
+
+
+@query(f"""{_SEGMENT}, scores AS (SELECT r.cluster, r.bin, sum(r.y - f.p) AS s FROM rows r JOIN fit f ON r.bin = f.bin GROUP BY 1, 2),
+pulls AS (SELECT e.bin, e.b, c.cluster, coalesce(a.s, 0) / e.h - coalesce(z.s, 0) / e.h0 AS pull FROM each e CROSS JOIN (SELECT DISTINCT cluster FROM rows) c
+  LEFT JOIN scores a ON a.bin = e.bin AND a.cluster = c.cluster LEFT JOIN scores z ON z.bin = 'AUTOMOBILE' AND z.cluster = c.cluster),
+small AS (SELECT count(DISTINCT cluster)::DOUBLE AS g, count(*)::DOUBLE AS n, count(DISTINCT bin)::DOUBLE AS k FROM rows)
+SELECT bin, any_value(n)::BIGINT AS n, {_ODDS.replace("exp(b", "exp(any_value(b)").replace("se)", "any_value(se))")} FROM (
+  SELECT bin, b, n, sqrt(sum(pull * pull) OVER (PARTITION BY bin) * g / (g - 1) * (n - 1) / (n - k)) AS se FROM pulls, small) GROUP BY bin""")
+def logit_segments_cluster(star: Star) -> DataFrame:
+    """The same with errors robust to clusters."""
+    found = R.odds_ratios(_segments(star), "low", "bin", "AUTOMOBILE", [], cluster="nation")
+    return _rounded(found.select("bin", "n", "odds_ratio", "lo", "hi"), "odds_ratio", "lo", "hi")
 
 
 _PEAK = """WITH a AS (SELECT user_id, hour(min(ts)) AS h, count(*) AS n FROM events GROUP BY 1), b AS (SELECT r_name AS database, h // 2 AS k, n <= (SELECT quantile_cont(n, 0.5) FROM a) AS low FROM a
@@ -762,6 +809,30 @@ def peak_bin(star: Star) -> DataFrame:
     return top.select("database", F.col("t.bin").alias("peak"), F.round("t.share", 6).alias("share"), (F.substring("t.bin", 1, 2).cast("int") < 14).alias("before_14"))
 
 
+_HOSPITAL_PEAKS = f"""WITH {STAYS}, {NURSE}, {MONITOR}, admitted AS (SELECT user_id AS stay_key, hour(min(ts)) // 2 AS k FROM events GROUP BY 1),
+clean AS (SELECT stay_key, count(*) AS n FROM nurse GROUP BY 1),
+done AS (SELECT hospital, k, n FROM admitted JOIN stays USING (stay_key) JOIN clean USING (stay_key) WHERE completed AND stay_key IN (SELECT stay_key FROM monitor)),
+flagged AS (SELECT hospital, k, (n <= (SELECT quantile_cont(n, 0.1) FROM done))::INT AS low, count(*) OVER (PARTITION BY hospital) AS n_stays FROM done),
+rates AS (SELECT hospital, k, n_stays, avg(low) AS rate FROM flagged WHERE n_stays >= 3 GROUP BY 1, 2, 3),
+peaks AS (SELECT hospital, n_stays::BIGINT AS n_stays, (2 * k)::INT AS peak_hour, round(rate, 6) AS peak_rate FROM (
+  SELECT *, row_number() OVER (PARTITION BY hospital ORDER BY round(rate, 9) DESC, k) AS place FROM rates) WHERE place = 1)"""
+
+
+@query(_HOSPITAL_PEAKS + " SELECT * FROM peaks")
+def hospital_peaks(star: Star) -> DataFrame:
+    """Each hospital's admission bin with the largest share of low clean counts, completed stays only; ties go to the earlier bin."""
+    s = _specifications(star).where("specification = 'clean / completed 24h'").withColumn("hour", F.substring("bin", 1, 2).cast("int"))
+    rates = s.groupBy("hospital", "hour").agg(F.count("*").alias("m"), F.round(F.avg(F.col("low").cast("double")), 9).alias("rate"))
+    top = rates.groupBy("hospital").agg(F.sum("m").alias("n_stays"), F.max(F.struct("rate", (-F.col("hour")).alias("h"))).alias("t")).where("n_stays >= 3")
+    return top.select("hospital", "n_stays", (-F.col("t.h")).alias("peak_hour"), F.round("t.rate", 6).alias("peak_rate"))
+
+
+@query(_HOSPITAL_PEAKS + " SELECT count(*)::BIGINT AS hospitals, round(avg((peak_hour < 14)::INT), 6)::DOUBLE AS share_early FROM peaks")
+def early_peak_share(star: Star) -> DataFrame:
+    """Share of hospitals whose peak lies between 00:00 and 14:00."""
+    return hospital_peaks(star).agg(F.count("*").alias("hospitals"), F.round(F.avg((F.col("peak_hour") < 14).cast("double")), 6).alias("share_early"))
+
+
 @query(COHORT + " " + _union([f"SELECT '{m}' AS metric, (SELECT round(corr(ln(n_records), {m}::DOUBLE) ** 2, 6) FROM c WHERE {m} IS NOT NULL) AS r2 FROM (SELECT 1)" for m in M8]))
 def residual_r2(star: Star) -> DataFrame:
     """Share of each metric's variance that record density explains (inferred: the study's own script is absent)."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -10,8 +11,13 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
-def write_report(df: DataFrame, path: str, title: str, most: int = 1000) -> None:
-    """A text report of at most `most` rows, through Spark's text writer."""
-    rows = df.limit(most).collect()
-    lines = [title, "", "\t".join(df.columns), *("\t".join("" if v is None else str(v) for v in r) for r in rows)]
-    df.sparkSession.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+def write_report(df: DataFrame, path: str, title: str) -> None:
+    """A text report of all rows, through Spark's text writer: title, empty line, header, then a line for each row in df's order.
+
+    Rows are written by one task, one after the other; none passes through the driver.
+    """
+    spark = df.sparkSession
+    text = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
+    body = df.select(F.concat_ws("\t", *[text(c) for c in df.columns]).alias("value"))
+    head = spark.createDataFrame([(title,), ("",), ("\t".join(df.columns),)], "value string")
+    head.coalesce(1).union(body).coalesce(1).write.mode("overwrite").text(path)

@@ -30,13 +30,13 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def find_table(spark: SparkSession, root: str, *candidates: str) -> str:
-    """The first candidate under root that exists, or else exists without its last suffix (.csv.gz as .csv)."""
-    for name in candidates:
-        for path in (f"{root}/{name}", f"{root}/{name}".rsplit(".", 1)[0]):
-            if exists(spark, path):
-                return path
-    raise FileNotFoundError(f"none of {', '.join(candidates)} under {root}")
+def locate(spark: SparkSession, folder: str, names: list[str]) -> str:
+    """Path of the first of names in folder; a compressed name (a.csv.gz) also stands for the plain file (a.csv)."""
+    spellings = [s for name in names for s in (name, name[: name.rindex(".")] if "." in name else name)]
+    found = next((s for s in spellings if exists(spark, f"{folder}/{s}")), None)
+    if found is None:
+        raise FileNotFoundError(f"{folder} has no {' or '.join(dict.fromkeys(spellings))}")
+    return f"{folder}/{found}"
 
 
 def scan(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -73,7 +73,7 @@ class Star:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self._read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
-        self.spark = spark
+        self.spark, self.folder = spark, sf_dir
 
     def table(self, name: str) -> DataFrame:
         return self._read(name)

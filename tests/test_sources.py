@@ -15,11 +15,11 @@ def test_csv_round_trip_with_declared_schema(spark, tmp_path):
     assert sorted((r.stay_id, r.itemid, r.valuenum) for r in got.collect()) == [(1, 10, 2.5), (2, None, None)]
 
 
-def test_find_table_falls_back_without_suffix(spark, tmp_path):
+def test_locate_falls_back_without_suffix(spark, tmp_path):
     (tmp_path / "a.csv").write_text("x\n1\n")
-    assert tables.find_table(spark, f"file://{tmp_path}", "b.csv.gz", "a.csv.gz").endswith("a.csv")
+    assert tables.locate(spark, f"file://{tmp_path}", ["b.csv.gz", "a.csv.gz"]).endswith("a.csv")
     with pytest.raises(FileNotFoundError):
-        tables.find_table(spark, f"file://{tmp_path}", "c.csv.gz")
+        tables.locate(spark, f"file://{tmp_path}", ["c.csv.gz"])
 
 
 def test_parquet_cache_is_kept_unless_forced(spark, tmp_path):
@@ -31,7 +31,9 @@ def test_parquet_cache_is_kept_unless_forced(spark, tmp_path):
 
 def test_report(spark, tmp_path):
     sinks.write_report(spark.range(2), f"file://{tmp_path}/r", "Title")
-    assert [r.value for r in spark.read.text(f"file://{tmp_path}/r").collect()][:3] == ["Title", "", "id"]
+    assert [r.value for r in spark.read.text(f"file://{tmp_path}/r").collect()] == ["Title", "", "id", "0", "1"]
+    sinks.write_report(spark.range(3000), f"file://{tmp_path}/all", "All")
+    assert spark.read.text(f"file://{tmp_path}/all").count() == 3003
 
 
 def test_stream_equals_batch(spark, tmp_path):

@@ -57,7 +57,7 @@ def test_lenient_numbers(spark):
 
 def test_worst_value_ties_go_high(spark):
     df = spark.createDataFrame([(36.5, 38.4), (35.0, 38.0), (36.0, 38.0)], "lo double, hi double")
-    got = [r[0] for r in df.select(S.worst_of(F.col("lo"), F.col("hi"), "far", 37.0)).collect()]
+    got = [r[0] for r in df.select(S.tail_value(F.col("lo"), F.col("hi"), "both", 37.0)).collect()]
     assert got == [38.4, 35.0, 38.0]
 
 
@@ -153,9 +153,14 @@ def test_stay_bootstrap_brackets_the_estimate(spark):
     assert one(B.bootstrap_stays(df.repartition(3), ["m"], "u", 100, 17)).lo == pytest.approx(got.lo, abs=1e-9)
 
 
-@pytest.mark.parametrize("held", [0, R.LOCAL])  # summed in tasks, and on the driver
-def test_logit_equals_newton_by_hand(spark, monkeypatch, held):
-    monkeypatch.setattr(R, "LOCAL", held)
+def test_unknown_tails_raise():
+    with pytest.raises(ValueError):
+        S.tail_value(None, None, "middle")
+    with pytest.raises(ValueError):
+        S.tail_value(None, None, "both")
+
+
+def test_logit_equals_newton_by_hand(spark):
     rng = np.random.default_rng(5)
     n = 600
     b, z, h = rng.integers(0, 3, n), rng.normal(size=n), rng.integers(0, 12, n)
@@ -182,7 +187,6 @@ def test_logit_fits_every_model_and_level(spark, monkeypatch):
     rows = [(f"m{i % 5}", f"b{rng.integers(0, 2)}", bool(rng.random() < 0.2 + 0.1 * (i % 5))) for i in range(500)]
     df = spark.createDataFrame(rows, "m string, bin string, low boolean")
     dressed, names = R.design(df.withColumn("y", F.col("low").cast("double")), "bin", "b0", [])
-    monkeypatch.setattr(R, "LOCAL", 0)
     monkeypatch.setattr(R, "MODELS", 2)
     got = {(r["model"], r["term"]): r["beta"] for r in R.fit(dressed, names, model="m")}
     logit = lambda m, b: (lambda p: np.log(p / (1 - p)))(np.mean([y for k, c, y in rows if (k, c) == (m, b)]))
