@@ -11,8 +11,10 @@ sorted one at a time, and only these are:
    suffixes of an anchor's bucket are sorted as far as `length` bytes: by their first COVER bytes, then by
    ranks of the sample of positions that a difference cover picks, which stand for the bytes between. Suffixes
    that share all of that with a neighbour in the order repeat.
-3. Buckets with too many runs for one task are dealt by content instead: runs in pieces of a few suffixes that equal
-   pieces settle, and what is left suffix by suffix.
+3. Buckets with too many runs for one task are split by more of their bytes first. Runs are cut into pieces of up to
+   STEP suffixes at the same distances from the anchor; the bytes that all suffixes of a piece share (its core) deal
+   pieces to parts, and parts are sorted like buckets. The suffixes of a part that is still too large differ in STEP - 1
+   bytes around the core, and splitting the part by these leaves nothing to sort.
 4. Repeated stretches of a text are united and cut out.
 """
 
@@ -35,10 +37,12 @@ U = np.uint64
 GRAM = 48
 #: Bytes compared directly, and the period of the difference cover.
 COVER = 32
-#: Distinct runs of one bucket that a task sorts; the suffixes of larger buckets are dealt by their digests.
+#: Distinct runs of a bucket, or pieces of a part, that a task sorts; larger ones are split by more of their bytes.
 SORTED = 512
 #: Suffixes in a piece of a run of a larger bucket.
 STEP = 16
+#: Slots of keys that may be spread, and the most ways a key's rows are spread to.
+SLOTS, WAYS = 1 << 16, 256
 #: Bytes of runs sorted at once.
 BLOCK = 1 << 20
 #: Low bits of an ordering hash that give way to the place; longer texts are listed in overlapping slices.
@@ -284,12 +288,16 @@ def _sorter(length: int):
     return run
 
 
+def _signed(digest: int) -> int:
+    return digest - (1 << 64) if digest >> 63 else digest
+
+
 def _pieces(length: int):
-    """Runs of large buckets in pieces of STEP suffixes, at the same distances from the anchor in every run."""
+    """Runs of large buckets in pieces, each with a digest of its core and one of all its bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["anchor", "digest", "row", "start", "n", "lone", "bytes"]
-        kinds = [pa.int64(), pa.int64(), ROW, pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
+        names = ["anchor", "core", "digest", "row", "start", "n", "place", "lone", "bytes"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), ROW, pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
         for batch in batches:
             rows = []
             for r in batch.to_pylist():
@@ -298,31 +306,49 @@ def _pieces(length: int):
                     ahead = r["place"] - at
                     n = min(r["n"] - at, ahead % STEP + 1)
                     raw = r["bytes"][at : at + n - 1 + length]
+                    core = xxhash.xxh3_64_intdigest(raw[ahead % STEP : ahead % STEP + length - STEP + 1], seed=ahead // STEP)
                     digest = xxhash.xxh3_64_intdigest(raw, seed=ahead)
-                    rows.append((r["anchor"], digest - (1 << 64) if digest >> 63 else digest, r["row"], r["start"] + at, n, r["lone"], raw))
+                    rows.append((r["anchor"], _signed(core), _signed(digest), r["row"], r["start"] + at, n, ahead, r["lone"], raw))
                     at += n
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], k) for i, k in enumerate(kinds)], names=names)
 
     return run
 
 
-def _suffix_digests(length: int):
-    """Every suffix of large buckets as a digest of its first `length` bytes."""
+def _around_core(length: int):
+    """Each suffix of large parts with its bytes before and after the core: STEP - 1 in all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["anchor", "core", "place", "around", "row", "start", "lone"]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), ROW, pa.int64(), pa.bool_()]
         for batch in batches:
+            rows = []
             for r in batch.to_pylist():
-                raw = r["bytes"]
-                digest = [int.from_bytes(xxhash.xxh3_128_digest(raw[i : i + length])[:8], "little", signed=True) for i in range(r["n"])]
-                n = r["n"]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r["anchor"]] * n, pa.int64()), pa.array(digest, pa.int64()), pa.array([r["row"]] * n, ROW), pa.array(range(r["start"], r["start"] + n), pa.int64()), pa.array([r["lone"]] * n)],
-                    names=["anchor", "digest", "row", "start", "lone"],
-                )
+                for i in range(r["n"]):
+                    raw, before = r["bytes"][i : i + length], (r["place"] - i) % STEP
+                    around = raw[:before] + raw[before + length - STEP + 1 :]
+                    rows.append((r["anchor"], r["core"], r["place"] - i, around, r["row"], r["start"] + i, r["lone"]))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], k) for i, k in enumerate(kinds)], names=names)
 
     return run
 
 
+def _spread(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """rows whose values of `on` are among keys, which hold each once with its number of rows in copies.
+
+    The rows of a key that has more than its share go WAYS ways at most. A broadcast table says how many; it
+    has a row for each slot (a hash of `on`) that holds such a key, so SLOTS rows at most.
+    """
+    share = max(1024, rows.count() // 4096)
+    slot = F.pmod(F.xxhash64(*on), F.lit(SLOTS))
+    hot = keys.groupBy(slot.alias("slot")).agg(F.max("copies").alias("most")).where(F.col("most") > share)
+    hot = F.broadcast(hot.select("slot", F.least(F.ceil(F.col("most") / share), F.lit(WAYS)).alias("ways")))
+    ways = F.coalesce("ways", F.lit(1).cast("long"))
+    left = rows.withColumn("slot", slot).join(hot, "slot", "left").withColumn("way", F.pmod(F.xxhash64("row", "start"), ways))
+    right = keys.select(*on, slot.alias("slot")).join(hot, "slot", "left").select(*on, F.explode(F.sequence(F.lit(0).cast("long"), ways - 1)).alias("way"))
+    return left.drop("slot", "ways").join(right, [*on, "way"]).drop("way")
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (id, text, spans) to id, n_bytes, n_removed, n_spans and the text left as bytes and digest."""
     for batch in batches:
@@ -372,8 +398,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     by_digest = materialize(by_digest, "repeat-digests")
     lone = F.col("copies") == 1
     by_anchor = by_digest.groupBy("anchor").agg(F.count("*").alias("kinds"), F.max(lone).alias("any_lone"), F.sum("copies").alias("all"))
-    copied = by_digest.where("copies > 1").select("anchor", "digest")
-    whole = runs.join(copied, ["anchor", "digest"]).select("row", F.col("start").alias("begin"), (F.col("start") + F.col("n") - 1 + length).alias("end"))
+    stretch = ["row", F.col("start").alias("begin"), (F.col("start") + F.col("n") - 1 + length).alias("end")]
+    whole = _spread(runs, by_digest.where("copies > 1").select("anchor", "digest", "copies"), ["anchor", "digest"]).select(stretch)
 
     split_up = materialize(by_anchor.where("kinds > 1 and any_lone").select("anchor", "kinds"), "repeat-buckets")
     open_ = materialize(by_digest.join(split_up, "anchor").select("anchor", "digest", "kinds", lone.alias("lone"), "one.*"), "repeat-open")
@@ -382,20 +408,25 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     wanted = spark.sparkContext.broadcast(bloom.once_seen(open_.select("anchor", "digest", "row.tag", "start"), keys, bits))
     read = texts.mapInArrow(_lister(length, anchors, wanted), RUN + ", bytes binary")
     read = materialize(read.join(open_, ["anchor", "digest", "row", "start"]), "repeat-read").drop("digest")
-    buckets = read.where(f"kinds <= {SORTED}").groupBy("anchor").agg(F.collect_list(F.struct("row", "start", "n", "place", "lone", "bytes")).alias("runs"))
-    spans = "row struct<id:long,tag:long>, begin long, end long"
-    sorted_ = buckets.select("runs").mapInArrow(_sorter(length), spans)
     row = "row struct<id:long,tag:long>"
-    pieces = read.where(f"kinds > {SORTED}").drop("kinds").mapInArrow(_pieces(length), f"anchor long, digest long, {row}, start long, n int, lone boolean, bytes binary")
+    runs_of = lambda df, *key: df.groupBy(*key).agg(F.collect_list(F.struct("row", "start", "n", "place", "lone", "bytes")).alias("runs")).select("runs")
+
+    pieces = read.where(f"kinds > {SORTED}").drop("kinds").mapInArrow(_pieces(length), f"anchor long, core long, digest long, {row}, start long, n int, place int, lone boolean, bytes binary")
     pieces = materialize(pieces, "repeat-pieces")
-    kinds = materialize(pieces.groupBy("anchor", "digest").agg(F.count("*").alias("copies"), F.min(F.struct("row", "start")).alias("one")), "repeat-kinds")
-    equal = pieces.drop("bytes").where("lone").join(kinds.where("copies > 1").select("anchor", "digest"), ["anchor", "digest"])
-    equal = equal.select("row", F.col("start").alias("begin"), (F.col("start") + F.col("n") - 1 + length).alias("end"))
-    alone = pieces.join(kinds.select("anchor", "digest", "one.*", "copies"), ["anchor", "digest", "row", "start"]).withColumn("lone", F.expr("lone and copies = 1"))
-    dealt = alone.drop("digest", "copies").mapInArrow(_suffix_digests(length), f"anchor long, digest long, {row}, start long, lone boolean")
-    dealt = materialize(dealt, "repeat-suffixes")
-    twins = materialize(dealt.groupBy("anchor", "digest").agg(F.count("*").alias("copies")).where("copies > 1").select("anchor", "digest"), "repeat-twins")
-    split = dealt.where("lone").join(twins, ["anchor", "digest"]).select("row", F.col("start").alias("begin"), (F.col("start") + length).alias("end"))
+    piece = ["anchor", "core", "digest"]
+    kinds = materialize(pieces.groupBy(*piece).agg(F.count("*").alias("copies"), F.min(F.struct("row", "start")).alias("one")), "repeat-kinds")
+    equal = _spread(pieces.where("lone").drop("bytes"), kinds.where("copies > 1").select(*piece, "copies"), piece).select(stretch)
+    parts = kinds.groupBy("anchor", "core").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    firsts = kinds.join(parts, ["anchor", "core"]).select(*piece, "one.*", "copies", "kinds")
+    ones = pieces.join(firsts, [*piece, "row", "start"]).withColumn("lone", F.expr("lone and copies = 1")).drop("digest", "copies")
+    ones = materialize(ones, "repeat-parts")
+    sortable = runs_of(read.where(f"kinds <= {SORTED}"), "anchor").unionByName(runs_of(ones.where(f"kinds <= {SORTED}"), "anchor", "core"))
+    sorted_ = sortable.mapInArrow(_sorter(length), f"{row}, begin long, end long")
+    suffixes = ones.where(f"kinds > {SORTED}").drop("kinds").mapInArrow(_around_core(length), f"anchor long, core long, place int, around binary, {row}, start long, lone boolean")
+    suffixes = materialize(suffixes, "repeat-suffixes")
+    suffix = ["anchor", "core", "place", "around"]
+    twins = materialize(suffixes.groupBy(*suffix).agg(F.count("*").alias("copies")).where("copies > 1"), "repeat-twins")
+    split = _spread(suffixes.where("lone"), twins, suffix).select("row", F.col("start").alias("begin"), (F.col("start") + length).alias("end"))
 
     found = whole.unionByName(sorted_).unionByName(equal).unionByName(split).groupBy("row").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
     joined = keyed.join(found, "row", "left").select("doc_id", "text", "spans")

@@ -237,10 +237,9 @@ def repeats_by_hand(texts, length=200):
     return out
 
 
-@pytest.mark.parametrize("sorted_, slice_", [(512, 1 << 23), (1, 700)])
-def test_repeats_equal_brute_force(spark, monkeypatch, sorted_, slice_):
-    monkeypatch.setattr(repeats, "SORTED", sorted_)  # 1: buckets are dealt by digests
-    monkeypatch.setattr(repeats, "SLICE", slice_)
+@pytest.mark.parametrize("sorted_", [512, 3, 1])
+def test_repeats_equal_brute_force(spark, monkeypatch, sorted_):
+    monkeypatch.setattr(repeats, "SORTED", sorted_)  # 3: buckets are split and their parts sorted; 1: parts are split to the end
     rng = random.Random(8)
     passage, other = prose(rng, 60), prose(rng, 45)
     texts = [prose(rng, rng.randrange(0, 120)) + passage[rng.randrange(60) :] + " é" + prose(rng, rng.randrange(0, 90)) for _ in range(12)]
@@ -251,6 +250,36 @@ def test_repeats_equal_brute_force(spark, monkeypatch, sorted_, slice_):
     assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in got) == Counter((d, *w) for (d, _), w in zip(rows, want))
 
 
+@pytest.mark.parametrize("sorted_", [512, 8])
+def test_repeats_of_one_large_bucket(spark, monkeypatch, sorted_):
+    """Copies of one passage between different texts: its anchors have many runs, its inner ones many equal runs."""
+    monkeypatch.setattr(repeats, "SORTED", sorted_)
+    rng = random.Random(9)
+    passage = prose(rng, 50)
+    rows = [(i, prose(rng, rng.randrange(3)) + passage[: 230 + i % 40] + "xyz"[i % 3] + prose(rng, 2)) for i in range(40)]
+    rows += [(100 + i, passage[i : 180 + i] + prose(rng, 20, 3)) for i in range(30)]
+    got = repeats.remove_repeats(docs(spark, *rows)).collect()
+    assert {(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in got} == {(d, *w) for (d, _), w in zip(rows, repeats_by_hand([t for _, t in rows]))}
+
+
+@pytest.mark.parametrize("long_text", [prose(random.Random(10), 700), "a" * 2900])
+def test_slices_list_the_runs_of_the_whole(monkeypatch, long_text):
+    def suffixes():
+        """(start, anchor) of every suffix."""
+        return sorted((s + i, p) for *_, (_, starts, sizes, anchors, _) in repeats._listed(repeats.pa.array([long_text]), 200) for s, n, p in zip(starts, sizes, anchors) for i in range(n))
+
+    whole = suffixes()
+    monkeypatch.setattr(repeats, "SLICE", 700)
+    assert suffixes() == whole and len(whole) == len(long_text) - 199
+
+
+def test_hot_keys_are_spread_without_loss(spark, monkeypatch):
+    rows = spark.range(9000).selectExpr("named_struct('id', id, 'tag', id % 7) row", "id start", "if(id < 5000, 0, id % 50) key")
+    keys = rows.groupBy("key").agg(F.count("*").alias("copies")).where("key % 2 = 0")
+    got = repeats._spread(rows, keys, ["key"])
+    assert sorted(r.start for r in got.collect()) == [i for i in range(9000) if i < 5000 or i % 2 == 0]
+
+
 def test_repeats_of_an_empty_table(spark):
     assert repeats.remove_repeats(docs(spark)).count() == 0
 
