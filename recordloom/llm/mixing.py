@@ -131,8 +131,8 @@ def mix_sources(
         joined = df.join(plan, "source_key").withColumn("whole", F.floor(expected)).withColumn("share", expected - F.col("whole"))
         odds = (F.col("draw") / (1 - F.col("draw"))) / (F.col("share") / (1 - F.col("share")))
         placed = joined.withColumn("rank", F.when((F.col("share") > 0) & (F.col("size") > 0), odds))
-        limits = F.least(F.greatest(F.log("rank"), F.lit(-30.0)), F.lit(30.0))
-        return placed.withColumn("bin", F.floor(limits * BINS_PER_UNIT).cast("int"))
+        limits = F.least(F.greatest(F.log("rank"), F.lit(-30.0)), F.lit(30.0))  # these skip nulls
+        return placed.withColumn("bin", F.when(F.col("rank").isNotNull(), F.floor(limits * BINS_PER_UNIT).cast("int")))
 
     running = Window.partitionBy("source_key").orderBy("bin")
     bins = ranked(slim).where("bin is not null and rest > 0").groupBy("source_key", "bin").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))

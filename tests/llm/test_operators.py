@@ -412,6 +412,15 @@ def test_inclusion_follows_the_weights(spark):
         assert int(level * weight) <= min(copies) and max(copies) <= int(level * weight) + 1
 
 
+def test_documents_at_their_limit_are_not_drawn_again(spark):
+    """Source a comes near three times its size, so its heaviest documents have three whole copies and no chance of more."""
+    sizes = [81, 150, 420, 150, 664, 505, 133, 103, 512, 357]
+    rows = [(i, "w " * n, "a") for i, n in enumerate(sizes)] + [(100, "w " * 23_394, "b")]
+    got = mixing.mix_sources(docs(spark, *rows)).collect()
+    assert all(r.taken <= 3 * r.size for r in got) and {r.taken for r in got if r.size in (512, 664)} == {3 * 512, 3 * 664}
+    assert sum(r.taken for r in got if r.source == "a") == 8823
+
+
 def test_mix_carries_columns(spark):
     rows = [(1, "a b c", "s"), (1, "a b c", "s"), (1, "d e f", "s"), (None, "x y", "s"), (None, "z w v", "s"), (2, None, None)]
     got = mixing.mix_sources(docs(spark, *rows), carry=("text", "n", "id")).collect()

@@ -78,3 +78,73 @@ def test_stages(spark, documents):
     encoder = packing.Encoder(packing.default_tokenizer())
     assert after.agg(F.sum("length")).first()[0] == sum(len(encoder.encode(t)) // 4 + 1 for _, t in text(before))
     assert corpus_pipeline.run(spark, SF).count() == after.count()
+
+
+TWIN = " ".join(f"n{i}" for i in range(60))
+LONG = " ".join(f"m{i}" for i in range(150_000))
+ODD = [
+    (None, None, None, None, None),
+    (None, "lines without an id", "en", None, 19),
+    (None, "lines without an id", "en", None, 19),
+    (900_001, None, "en", "odd", None),
+    (900_002, "", None, "odd", 0),
+    (900_003, LONG, "en", None, len(LONG)),
+    (900_004, TWIN, "en", "odd", len(TWIN)),
+    (900_004, TWIN, "en", "odd", len(TWIN)),
+    (900_005, TWIN, "en", None, len(TWIN)),
+]
+
+
+@pytest.fixture(scope="module")
+def odd(spark, documents):
+    """Documents with nulls, empty, very long and repeated ones, and columns named like those that operators use."""
+    rows = documents.unionByName(spark.createDataFrame(ODD, documents.schema.simpleString()[7:-1].replace(":", " ")))
+    names = ["id", "key", "row", "own", "size", "copies", "carried", "component_id", "kept", "n_lines", "tokens", "severity", "toxic", "spans"]
+    return materialize(rows.withColumns({n: F.lit(n) for n in names}), "test-odd")
+
+
+def texts_of(df, odd_only=True):
+    found = Counter((r.doc_id, r.text) for r in df.collect())
+    return Counter({k: n for k, n in found.items() if not odd_only or k[0] is None or k[0] > 900_000})
+
+
+def test_toxicity_stage_keeps_odd_rows(spark, documents, odd):
+    out = corpus_pipeline.toxic_out(spark, odd, SF)
+    assert out.columns == documents.columns and texts_of(out) == Counter((r[0], r[1]) for r in ODD)
+
+
+def test_line_stage_on_odd_rows(spark, documents, odd):
+    out = corpus_pipeline.lines_once(spark, odd, SF)
+    assert out.columns == documents.columns
+    want = Counter((d, "" if d == 900_005 else t or "") for d, t, *_ in ODD)
+    assert texts_of(out) == want
+
+
+def test_near_dedup_stage_on_odd_rows(spark, documents, odd):
+    out = corpus_pipeline.near_copies_out(spark, odd, SF)
+    assert out.columns == documents.columns and texts_of(out) == Counter((r[0], r[1]) for r in ODD if r[0] != 900_005)
+
+
+def test_mixing_stage_on_odd_rows(spark, documents, odd):
+    out = materialize(corpus_pipeline.mixed(spark, odd, SF), "test-mixed")
+    assert out.columns == documents.columns
+    before, after = texts_of(odd, odd_only=False), texts_of(out, odd_only=False)
+    wrong = [(d, t and t[:40], n, before[d, t]) for (d, t), n in after.items() if not (t and t.split() and n <= 3 * before[d, t])]
+    assert not wrong
+    assert {r.source for r in out.collect()} >= {None, "odd"}
+
+
+def test_packing_stage_on_odd_rows(spark, odd):
+    encoder = packing.Encoder(packing.default_tokenizer())
+    want, got = Counter(), Counter()
+    for r in odd.collect():
+        want[r.doc_id] += len(encoder.encode(r.text or "")) // 4 + 1
+    for r in corpus_pipeline.packed(spark, odd, SF).collect():
+        got[r.doc_id] += r.length
+    assert got == want
+
+
+def test_stages_of_an_empty_table(spark, documents):
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, documents.limit(0), SF)
+        assert out.count() == 0 and (out.columns == documents.columns or name == "packing"), name
