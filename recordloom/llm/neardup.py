@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recordloom.llm.shingles import mixed, shingle_sets
-from recordloom.llm.work import materialize, small_batches
+from recordloom.llm.work import materialize, small_batches, spread_join
 
 U = np.uint64
 BANDS, ROWS = 40, 6
@@ -147,12 +147,12 @@ def _verifier(size: int, percent: int):
 
 
 def _confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that are links."""
+    """The pairs (a, b) that are links; pairs is a written table, and a may be in very many of them."""
     side = lambda s: nodes.select(F.col("id").alias(s), F.col("n").alias(f"n_{s}"), F.col("registers").alias(f"registers_{s}"))
-    sized = pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
+    sized = spread_join(pairs, side("a"), "a", "b").join(side("b"), "b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
     near = materialize(sized.mapInArrow(_estimator(percent), "a long, b long"), "near-pairs")
     text = lambda s: texts.select(F.col("id").alias(s), F.col("text").alias(f"text_{s}"))
-    full = near.join(text("b"), "b").join(text("a"), "a").select("a", "b", "text_a", "text_b")
+    full = spread_join(near.join(text("b"), "b"), text("a"), "a", "b", counted=near).select("a", "b", "text_a", "text_b")
     return materialize(full.mapInArrow(_verifier(size, percent), "a long, b long").distinct(), "links")
 
 
@@ -162,7 +162,8 @@ def components(edges: DataFrame, label: str = "component") -> DataFrame:
     Each round points every node at its smallest neighbour; of two that point at each other, the smaller is a root.
     Nodes then hop to the target of their target until all stand at their root, and edges become those between roots.
     So a round leaves at most half of the nodes and costs the logarithm of its longest path. The smallest id of a
-    component is always a root. Tables are written, and only their emptiness comes to the driver.
+    component is always a root. Nodes that point at one of very many are spread. Tables are written, and only their
+    emptiness and numbers of rows come to the driver.
     """
     edges = materialize(edges.select("a", "b").where("a <> b").distinct(), "edges")
     labels = None
@@ -171,11 +172,11 @@ def components(edges: DataFrame, label: str = "component") -> DataFrame:
         nearest = materialize(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("to")), "hops")
         back = nearest.select(F.col("id").alias("to"), F.col("to").alias("back"))
         root = (F.col("back") == F.col("id")) & (F.col("id") < F.col("to"))
-        hop = materialize(nearest.join(back, "to").select("id", F.when(root, F.col("id")).otherwise(F.col("to")).alias("to")), "hops")
+        hop = materialize(spread_join(nearest, back, "to", "id").select("id", F.when(root, F.col("id")).otherwise(F.col("to")).alias("to")), "hops")
         moved = True
         while moved:
             up = hop.select(F.col("id").alias("to"), F.col("to").alias("top"))
-            higher = materialize(hop.join(up, "to").select("id", F.col("top").alias("to"), (F.col("top") != F.col("to")).alias("moved")), "hops")
+            higher = materialize(spread_join(hop, up, "to", "id").select("id", F.col("top").alias("to"), (F.col("top") != F.col("to")).alias("moved")), "hops")
             moved = not higher.where("moved").isEmpty()
             hop = higher.select("id", "to")
         if labels is None:
@@ -268,7 +269,7 @@ def near_duplicates(
     nodes, hits = candidates(signed)
     equal = nodes.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
     reps = nodes.where("id = first").select("id", "n", "registers")
-    stars = hits.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
+    stars = materialize(hits.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "stars")
     links = _confirmed(stars, reps, texts, shingle, percent)
     parts = components(links.union(equal), "part")
     more = open_links(hits, parts, reps, texts, shingle, percent)
@@ -290,7 +291,7 @@ def candidates(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     usable = signed.where("n > 0 and id is not null")
     classes = materialize(usable.groupBy("digest").agg(F.min("id").alias("first")), "classes")
-    nodes = materialize(usable.join(classes, "digest").select("id", "digest", "n", "registers", "first").dropDuplicates(["id", "digest"]), "nodes")
+    nodes = materialize(spread_join(usable, classes, "digest", "id").select("id", "digest", "n", "registers", "first").dropDuplicates(["id", "digest"]), "nodes")
     bands = nodes.where("id = first").select("id", "registers").mapInArrow(_band_keys, "key long, id long, band int")
     shared = bands.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("members")).where("members > 1")
     hits = materialize(bands.join(materialize(shared, "shared-keys"), "key"), "hits")  # from a table: a large bucket can be split

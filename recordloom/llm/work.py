@@ -8,7 +8,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+#: Slots of keys that may be spread, the most ways a key's rows are spread to, and the rows of a slot that always stay together.
+SLOTS, WAYS, TOGETHER = 1 << 16, 256, 256
 #: Rows of one Arrow batch between the JVM and Python: bounds a worker's memory for long texts.
 ARROW_ROWS = 1000
 
@@ -49,6 +52,26 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread_join(rows: DataFrame, keyed: DataFrame, on: str, by: str, counted: DataFrame | None = None) -> DataFrame:
+    """Inner join with keyed, which has few rows for each value of `on`, where a value may be very frequent in rows.
+
+    Rows of a frequent value are dealt by `by` to WAYS ways at most, and keyed's are repeated for each way. A broadcast
+    table says how many ways; it has a row for each slot (a hash of `on`) with more than its share, 4096 rows at most.
+    counted is a written table that has the values of rows as often as they do; rows itself by default.
+    """
+    counted = rows if counted is None else counted
+    share = max(TOGETHER, counted.count() // 4096)
+    slot = F.pmod(F.xxhash64(on), F.lit(SLOTS))
+    hot = counted.groupBy(slot.alias("slot")).agg(F.count("*").alias("most")).where(F.col("most") > share)
+    hot = materialize(hot.select("slot", F.least(F.ceil(F.col("most") / share), F.lit(WAYS)).cast("int").alias("ways")), "hot-slots")
+    if hot.isEmpty():
+        return rows.join(keyed, on)
+    ways = F.coalesce("ways", F.lit(1))
+    left = rows.withColumn("slot", slot).join(F.broadcast(hot), "slot", "left").withColumn("way", F.pmod(F.xxhash64(by), ways).cast("int"))
+    right = keyed.withColumn("slot", slot).join(F.broadcast(hot), "slot", "left").withColumn("way", F.explode(F.sequence(F.lit(0), ways - 1)))
+    return left.drop("slot", "ways").join(right.drop("slot", "ways"), [on, "way"]).drop("way")
+
+
 def drop_tables(spark: SparkSession) -> None:
     """Deletes every table that materialize() left in the shared folder."""
     jvm = spark.sparkContext._jvm

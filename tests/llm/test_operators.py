@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from recordloom.llm import licenses, lines, mixing, neardup, neighbours, packing, quality, repeats, toxicity, warc
+from recordloom.llm import licenses, lines, mixing, neardup, neighbours, packing, quality, repeats, toxicity, warc, work
 
 BLANK = " \t\n\x0b\x0c\r"
 DOCS = "doc_id long, text string, source string, id long, n long, key string, row string, __text string"
@@ -77,6 +77,7 @@ def near_rows():
 @pytest.mark.parametrize("listed", [256, 4])
 def test_near_duplicates_equal_brute_force(spark, monkeypatch, listed):
     monkeypatch.setattr(neardup, "LISTED", listed)  # 4: buckets are split into cells
+    monkeypatch.setattr(work, "TOGETHER", listed)  # 4: rows of frequent pivots are spread
     rows = near_rows()
     got = neardup.near_duplicates(docs(spark, *rows), shingle=4).collect()
     assert len(got) == len(rows)

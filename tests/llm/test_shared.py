@@ -37,3 +37,17 @@ def test_tables_live_in_the_shared_folder(spark, tmp_path, monkeypatch):
     assert [p.name[:13] for p in tmp_path.iterdir()] == ["recordloom-x-"]
     work.drop_tables(spark)
     assert not [p for p in tmp_path.iterdir() if p.is_dir()]
+
+
+@pytest.mark.parametrize("together", [5, 1000])
+def test_frequent_values_are_spread_without_loss(spark, monkeypatch, together):
+    monkeypatch.setattr(work, "TOGETHER", together)
+    monkeypatch.setattr(work, "WAYS", 7)
+    rows = [(1, i) for i in range(100)] + [(2, i) for i in range(6)] + [(3, 1), (4, None), (None, 2), (1, 5), (1, 5)]
+    keyed = [(1, "a"), (2, "b"), (2, "c"), (3, None), (5, "d"), (None, "e")]
+    left = work.materialize(spark.createDataFrame(rows, "k long, n long"), "rows")
+    got = work.spread_join(left, spark.createDataFrame(keyed, "k long, v string"), "k", "n")
+    want = [(k, n, v) for k, n in rows for other, v in keyed if k is not None and k == other]
+    order = lambda x: tuple(str(c) for c in x)
+    assert sorted(map(tuple, got.collect()), key=order) == sorted(want, key=order) and got.columns == ["k", "n", "v"]
+    assert work.spread_join(left.where("k = 9"), spark.createDataFrame(keyed, "k long, v string"), "k", "n").count() == 0
