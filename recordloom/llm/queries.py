@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.llm import licenses, lines, mixing, neardup, neighbours, packing, quality, repeats, toxicity, warc
+from recordloom.llm import licenses, lines, mixing, neardup, neighbours, packing, quality, repeats, runs, toxicity, warc
 from recordloom.llm.work import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,6 +65,41 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"))
 
 
+def _planted(doc_id: Column, text: Column) -> Column:
+    """The text; for ids whose crc32 ends in 0, its words from word a on repeat with period p."""
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def repeated(words: Column) -> Column:
+        n = F.size(words)
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        places = F.sequence(F.lit(0).cast("long"), n.cast("long") - 1)
+        return F.when(n > 0, F.array_join(F.transform(places, lambda i: F.get(words, F.when(i < a, i).otherwise(a + (i - a) % p).cast("int"))), " "))
+
+    words = F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    # as an element of an array, the words are a lambda's variable and so are extracted once
+    return F.when(h % 10 == 0, F.get(F.transform(F.array(words), repeated), 0)).otherwise(text)
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    found = runs.periodic_runs(docs.select("doc_id", _planted(F.col("doc_id"), F.col("text")).alias("text")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"], (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    found = found.withColumns({"best": best, "n_runs": F.size("runs").cast("long")})
+    return found.select(
+        "doc_id",
+        "n_runs",
+        (-F.col("best.start")).alias("start"),
+        F.col("best.length").alias("length"),
+        (-F.col("best.period")).alias("period"),
+        F.floor(1000 * F.col("best.length") / -F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.when(F.col("n_runs") > 0, F.concat(listed, F.lit("\n"))).otherwise(""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_quality_rules": op2_quality_rules,
@@ -76,8 +111,46 @@ QUERIES: dict[str, Query] = {
     "op8_license_scan": op8_license_scan,
     "op9_neighbours": op9_neighbours,
     "op10_packing": op10_packing,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 
+OP11_SQL = r"""
+WITH RECURSIVE steps AS (
+  SELECT byte, byte AS c, 0 AS n FROM (SELECT unnest(range(256)) AS byte)
+  UNION ALL SELECT byte, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, n + 1 FROM steps WHERE n < 8),
+crc AS (SELECT list(c ORDER BY byte) AS t FROM steps WHERE n = 8),
+hashed AS (
+  SELECT doc_id, text, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ord(x)::BIGINT)),
+                       lambda c, b: xor(c // 256, t[(xor(c, b) % 256) + 1])), 4294967295) AS h
+  FROM documents, crc),
+worded AS (SELECT doc_id, h, regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') AS w FROM hashed),
+shaped AS (
+  SELECT doc_id, w, len(w) AS n, h % 10 = 0 AND len(w) > 0 AS planted, (h // 10) % greatest(len(w), 1) AS a, h // 10 AS g FROM worded),
+docs AS (
+  SELECT doc_id, n, CASE WHEN planted THEN list_transform(range(n), lambda i: w[CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END + 1])
+                    ELSE w END AS w FROM shaped),
+grams AS (SELECT doc_id, pos, w[pos + 1:pos + 6] AS gram FROM (SELECT doc_id, w, unnest(range(greatest(n - 5, 0))) AS pos FROM docs)),
+again AS (SELECT * FROM grams QUALIFY count(*) OVER (PARTITION BY doc_id, gram) > 1),
+pairs AS (SELECT x.doc_id, x.pos, y.pos - x.pos AS period FROM again x JOIN again y ON x.doc_id = y.doc_id AND x.gram = y.gram AND x.pos < y.pos),
+islands AS (
+  SELECT doc_id, period, min(pos) AS start, count(*) + 5 + period AS length
+  FROM (SELECT *, pos - row_number() OVER (PARTITION BY doc_id, period ORDER BY pos) AS island FROM pairs) GROUP BY doc_id, period, island),
+found AS (
+  SELECT doc_id, start, length, min(period) AS period FROM islands WHERE length >= 12 AND length >= 2 * period GROUP BY doc_id, start, length),
+told AS (
+  SELECT doc_id, count(*) AS n_runs, max((length, -start, -period)) AS best,
+         string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS listed FROM found GROUP BY doc_id),
+dropped AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS pos FROM found),
+kept AS (
+  SELECT p.doc_id, string_agg(p.word, ' ' ORDER BY p.pos) AS collapsed
+  FROM (SELECT doc_id, unnest(w) AS word, unnest(range(n)) AS pos FROM docs) p
+  LEFT JOIN dropped d ON d.doc_id = p.doc_id AND d.pos = p.pos WHERE d.pos IS NULL GROUP BY p.doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, (-best[2])::BIGINT AS start, best[1]::BIGINT AS length, (-best[3])::BIGINT AS period,
+       (1000 * best[1] // -best[3])::BIGINT AS exponent_milli, sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(collapsed, '')) AS collapsed_sha256
+FROM docs d LEFT JOIN told t ON t.doc_id = d.doc_id LEFT JOIN kept k ON k.doc_id = d.doc_id
+"""
+
 OP3_SQL = r"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
@@ -255,4 +328,5 @@ ORACLE_SQL: dict[str, str] = {
     "op3_line_dedup": OP3_SQL,
     "op9_neighbours": OP9_SQL,
     "op6_mix_sources": OP6_SQL,
+    "op11_periodic_runs": OP11_SQL,
 }
