@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.llm import licenses, lines, mixing, neardup, neighbours, packing, quality, repeats, runs, toxicity, warc
-from recordloom.llm.work import new_path
+from recordloom.llm import contamination, licenses, lines, mixing, neardup, neighbours, packing, prefixes, quality, repeats, runs, toxicity, warc
+from recordloom.llm.work import materialize, new_path, spread_join
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -100,6 +100,37 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    hit = contamination.hit_words(F.col("spans"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        hit.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (hit > 0).alias("contaminated"),
+    )
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = materialize(prefixes.numbered_turns(_read(spark, sf_dir, "conversations")), "numbered")
+    convs = materialize(turns.groupBy("conv_id").agg(F.count("*").alias("n")), "conversations")
+    # conversation c begins with the first h turns of conversation c - c % 20 in place of its own
+    h = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 4
+    base = convs.select(F.col("conv_id").alias("base"), F.col("n").alias("base_n"))
+    taken = convs.withColumn("base", F.col("conv_id") - F.col("conv_id") % 20).join(base, "base", "left")
+    taken = materialize(taken.select("conv_id", "base", F.least(h, F.coalesce("base_n", F.lit(0))).alias("taken")), "rebuilt")
+    own = spread_join(turns.where(F.col("nth") >= h), taken.select("conv_id", "taken"), "conv_id", "nth", counted=turns)
+    own = own.select("conv_id", (F.col("taken") + F.col("nth") - h + 1).alias("depth"), "digest", "n_words")
+    heads = turns.where((F.col("conv_id") % 20 == 0) & (F.col("nth") < 3)).withColumnRenamed("conv_id", "base")
+    heads = heads.join(taken, "base").where("nth < taken").select("conv_id", (F.col("nth") + 1).alias("depth"), "digest", "n_words")
+    nodes, ends = prefixes.prefix_trie(materialize(own.unionByName(heads), "rebuilt-turns"), convs.select("conv_id"))
+    key = ["depth", "fp", "split"]
+    told = nodes.join(prefixes.ends_digests(ends), key, "left")
+    return told.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", F.coalesce("ends_sha256", F.sha2(F.lit(""), 256)).alias("ends_sha256"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_quality_rules": op2_quality_rules,
@@ -112,6 +143,8 @@ QUERIES: dict[str, Query] = {
     "op9_neighbours": op9_neighbours,
     "op10_packing": op10_packing,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_contamination": op12_contamination,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 OP11_SQL = r"""
@@ -296,6 +329,65 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """
 
+OP12_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+items AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+wanted AS (
+  SELECT DISTINCT item_id, w[pos + 1:pos + 10] AS win
+  FROM (SELECT item_id, w, unnest(range(greatest(len(w) - 9, 1))) AS pos FROM items WHERE len(w) > 0)),
+lengths AS (SELECT DISTINCT len(win) AS m FROM wanted),
+placed AS (
+  SELECT doc_id, pos, m, w[pos + 1:pos + m] AS win
+  FROM (SELECT doc_id, w, m, unnest(range(len(w) - m + 1)) AS pos FROM docs, lengths WHERE len(w) >= m)),
+found AS (SELECT p.doc_id, p.pos, p.m, k.item_id FROM placed p JOIN wanted k ON p.win = k.win),
+hit AS (SELECT doc_id, count(DISTINCT word) AS n FROM (SELECT doc_id, unnest(range(pos, pos + m)) AS word FROM found) GROUP BY doc_id),
+named AS (
+  SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS listed
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM found WHERE item_id IS NOT NULL) GROUP BY doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(h.n, 0)::BIGINT AS n_hit, coalesce(i.n, 0)::BIGINT AS n_items,
+       sha256(coalesce(i.listed, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
+FROM docs d LEFT JOIN hit h ON h.doc_id = d.doc_id LEFT JOIN named i ON i.doc_id = d.doc_id
+"""
+
+OP13_SQL = r"""
+WITH RECURSIVE steps AS (
+  SELECT byte, byte AS c, 0 AS n FROM (SELECT unnest(range(256)) AS byte)
+  UNION ALL SELECT byte, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, n + 1 FROM steps WHERE n < 8),
+crc AS (SELECT list(c ORDER BY byte) AS t FROM steps WHERE n = 8),
+told AS (
+  SELECT conv_id, list({role: coalesce(role, ''), text: coalesce(text, '')} ORDER BY turn NULLS FIRST, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS turns
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+hashed AS (
+  SELECT conv_id, turns, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ord(x)::BIGINT)),
+                                         lambda c, b: xor(c // 256, t[(xor(c, b) % 256) + 1])), 4294967295) % 4 AS h
+  FROM told, crc),
+rebuilt AS (
+  SELECT c.conv_id, coalesce(b.turns[1:c.h], []) || c.turns[c.h + 1:] AS turns
+  FROM hashed c LEFT JOIN told b ON b.conv_id = c.conv_id - c.conv_id % 20),
+prefixed AS (
+  SELECT conv_id, len(turns) AS n, d, turns[1:d] AS prefix
+  FROM (SELECT conv_id, turns, unnest(range(len(turns) + 1)) AS d FROM rebuilt)),
+nodes AS (
+  SELECT prefix, d, min(conv_id) AS conv_id, count(*) AS n_convs,
+         CASE WHEN d > 0 THEN len(regexp_extract_all(prefix[d].text, '[^\x20\x09-\x0D]+')) ELSE 0 END AS n_words,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE n = d), '')) AS ends_sha256
+  FROM prefixed GROUP BY prefix, d),
+children AS (SELECT p.prefix, count(*) AS n FROM nodes c JOIN nodes p ON c.d = p.d + 1 AND c.prefix[1:p.d] = p.prefix GROUP BY p.prefix),
+subtrees AS (
+  SELECT v.prefix, count(*) FILTER (WHERE c.n IS NULL) AS n_leaves, sum((u.n_convs - 1) * u.n_words) AS saved_tokens
+  FROM (SELECT *, unnest(range(d + 1)) AS above FROM nodes) u
+  JOIN nodes v ON v.d = u.above AND v.prefix = u.prefix[1:u.above]
+  LEFT JOIN children c ON c.prefix = u.prefix GROUP BY v.prefix)
+SELECT v.conv_id, v.d::BIGINT AS depth, p.conv_id AS parent_conv_id, v.n_convs::BIGINT AS n_convs, coalesce(c.n, 0)::BIGINT AS n_children,
+       s.n_leaves::BIGINT AS n_leaves, s.saved_tokens::BIGINT AS saved_tokens, v.ends_sha256
+FROM nodes v LEFT JOIN nodes p ON p.d = v.d - 1 AND p.prefix = v.prefix[1:v.d - 1]
+LEFT JOIN children c ON c.prefix = v.prefix JOIN subtrees s ON s.prefix = v.prefix
+"""
+
 
 def _op8_sql() -> str:
     """The SQL with the fixed tables of licences and spellings written into it."""
@@ -329,4 +421,6 @@ ORACLE_SQL: dict[str, str] = {
     "op9_neighbours": OP9_SQL,
     "op6_mix_sources": OP6_SQL,
     "op11_periodic_runs": OP11_SQL,
+    "op12_contamination": OP12_SQL,
+    "op13_prefix_trie": OP13_SQL,
 }
