@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.llm.shingles import mixed, shingle_sets
+from recordloom.llm.shingles import linked, mixed, shingle_sets
 from recordloom.llm.work import materialize, small_batches, spread_join
 
 U = np.uint64
@@ -130,17 +130,17 @@ def _estimator(percent: int):
 
 
 def _verifier(size: int, percent: int):
-    """Keeps pairs with 100 * intersection >= percent * union on the full sets."""
+    """Keeps pairs with 100 * intersection >= percent * union on the full sets: first of hashes, then of the words themselves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep, last, held = [], None, None
-            both = zip(batch.column("text_a").to_pylist(), shingle_sets(batch.column("text_b"), size))
-            for text, other in both:
+            both = zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), shingle_sets(batch.column("text_b"), size))
+            for text, text_b, other in both:
                 if last != text:
                     last, held = text, next(shingle_sets(pa.array([text]), size))
                 common = len(np.intersect1d(held, other, assume_unique=True))
-                keep.append(100 * common >= percent * (len(held) + len(other) - common))
+                keep.append(100 * common >= percent * (len(held) + len(other) - common) and linked(text, text_b, size, percent))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
@@ -237,7 +237,7 @@ def _cell_links(size: int, percent: int):
                     continue
                 a, b = set_of(i), set_of(j)
                 common = len(np.intersect1d(a, b, assume_unique=True))
-                if 100 * common >= percent * (len(a) + len(b) - common):
+                if 100 * common >= percent * (len(a) + len(b) - common) and linked(texts[i].as_py(), texts[j].as_py(), size, percent):
                     root[find(parts[j])] = find(parts[i])
                     links.append((ids[i], ids[j]))
         return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})

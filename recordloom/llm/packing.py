@@ -26,6 +26,10 @@ from recordloom.llm.work import materialize, small_batches
 #: Pre-tokenization pattern of byte-level BPE. Fixed value of the tokenizer's format.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+#: White space of that pattern; longer runs than the tokenizer's regular expression should see are cut out before it.
+#: Fixed value: the characters with the Unicode property White_Space.
+BLANKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{4096,}")
+
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
     "window long, step_group long"
@@ -82,7 +86,18 @@ class Encoder:
         self._split = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")").split
 
     def _ids(self, text: str) -> bytes:
-        return array("I", self._plain.encode_ordinary(text)).tobytes()
+        """A long run of white space is a piece by itself, less its last character if more text follows.
+
+        The pattern would try every end of the run in turn, on a stack that a million characters overflow.
+        """
+        ids, at = array("I"), 0
+        for run in BLANKS.finditer(text):
+            end = run.end() if run.end() == len(text) else run.end() - 1
+            ids.extend(self._plain.encode_ordinary(text[at : run.start()]))
+            ids.extend(self._plain._encode_single_piece(text[run.start() : end]))
+            at = end
+        ids.extend(self._plain.encode_ordinary(text[at:]))
+        return ids.tobytes()
 
     def encode(self, text: str) -> bytes:
         if any(t in text for t in self._added):

@@ -96,6 +96,42 @@ def test_verifier_tells_texts_of_one_id_and_length_apart():
     assert got == [2, 3]
 
 
+def thue_morse(n):
+    """A word of 2^n letters, and it with its letters exchanged: equal under polynomial hashes modulo 2^64."""
+    word = [bin(i).count("1") % 2 for i in range(1 << n)]
+    return "".join("ab"[x] for x in word), "".join("ba"[x] for x in word)
+
+
+def test_words_made_to_collide_stay_apart(spark):
+    one, other = thue_morse(10)
+    got = neardup.near_duplicates(docs(spark, (1, one), (2, other), (3, one)), shingle=4).collect()
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 2, 3: 1}
+
+
+def test_links_are_told_by_words():
+    from recordloom.llm.shingles import linked
+
+    rng = random.Random(21)
+    for _ in range(200):
+        size = rng.choice([1, 2, 4, 5])
+        a = [rng.choice("abcABC") for _ in range(rng.randrange(12))]
+        b = list(a) if rng.random() < 0.5 else [rng.choice("abc") for _ in range(rng.randrange(12))]
+        if b and rng.random() < 0.5:
+            b[rng.randrange(len(b))] = "x"
+        want = groups([(1, " ".join(a)), (2, "\n".join(b))], size, 60)
+        assert linked(" ".join(a), "\n".join(b), size, 60) == (want[2] == 1)
+    many = " ".join(f"w{i}" for i in range(200_000))  # words too many for packed keys
+    assert linked(many, many + " x", 5, 99) and not linked(many, many[: len(many) // 2], 5, 60)
+
+
+def test_near_duplicates_of_long_texts(spark):
+    rng = random.Random(22)
+    long = [f"w{rng.randrange(5000)}" for _ in range(300_000)]
+    rows = [(1, " ".join(long)), (2, " ".join(long[:-1000])), (3, "x" * 2_000_000), (4, "x" * 2_000_000 + "y"), (5, " \n" * 1_000_000), (6, "a " * 500_000), (7, "A\n" * 700_000)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs(spark, *rows), shingle=4).collect()}
+    assert [c for _, c in (got[i] for i in range(1, 8))] == [1, 1, 3, 4, 5, 6, 6] and got[3][0] == 1 and got[5][0] == 0 and got[6][0] == 1
+
+
 def test_components_of_long_paths_take_few_rounds(spark, monkeypatch):
     rng, written, n = random.Random(9), [], 1000
     names = list(range(n))
@@ -607,6 +643,15 @@ def test_ids_equal_the_tokenizer(spark):
         assert np.frombuffer(encoder.encode(t), "<u4").tolist() == reference.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+@pytest.mark.parametrize("text", ["x" + " " * 1_200_000 + "y", " " * 2_000_000, "a\n" + "\n" * 1_100_000 + " b c", "\u2003 \t" * 400_000, "x" * 1_500_000, "é" + "\x85" * 5000 + "1"])
+def test_ids_of_long_runs_equal_the_tokenizer(text):
+    from tokenizers import Tokenizer
+
+    path = packing.default_tokenizer()
+    want = Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(packing.Encoder(path).encode(text), np.uint32).tolist() == want
+
+
 def test_packing_emits_added_tokens(spark):
     import zlib
 
