@@ -11,8 +11,8 @@ from recordloom.config import DEFAULT, METRICS
 from recordloom.functions import scalars as S
 from recordloom.operators import agreement as A
 from recordloom.operators import events as E
+from recordloom.operators import logistic as L
 from recordloom.operators import mixed as X
-from recordloom.operators import regression as R
 from recordloom.operators import resampling as B
 from recordloom.operators import variance as V
 from recordloom.plans.registry import BOTH, COHORT, MONITOR, NURSE, STAYS, eta2_sql, metrics, offset, query
@@ -730,14 +730,16 @@ def _specifications(star: Star) -> DataFrame:
     """Rows of the four models (specification): {contaminated, clean} exposure x {all stays, completed 24h}.
 
     Contaminated counts are the monitor stream's, clean ones the nurse stream's, both in the window; stays have both
-    and a clock hour. The low flag is a count up to the 10th percentile of its own subset.
+    and a clock hour. The low flag is a count up to the 10th percentile of its own subset. z, comorbid_z and chapters_z
+    are z-scores over all these stays.
     """
     hours = star.clock().groupBy("stay_key").agg(F.hour(F.min("ts")).alias("hour"), F.avg("value").alias("mean_value"))
     count = lambda events, name: E.in_window(events).groupBy("stay_key").agg(F.count("*").alias(name))
-    c = hours.where("hour is not null").join(star.stays(), "stay_key").join(count(star.monitor(), "contaminated"), "stay_key").join(count(star.nurse(), "clean"), "stay_key")
-    stats = c.agg(F.avg("mean_value").alias("mu"), F.stddev_samp("mean_value").alias("sd"))
-    dressed = c.crossJoin(F.broadcast(stats)).withColumns({"bin": S.bin_2h(F.col("hour")), "z": (F.col("mean_value") - F.col("mu")) / F.col("sd")})
-    keep = ["stay_key", "hospital", "unittype", "bin", "z"]
+    c = hours.where("hour is not null").join(star.stays(), "stay_key").join(star.people(), "stay_key").join(count(star.monitor(), "contaminated"), "stay_key").join(count(star.nurse(), "clean"), "stay_key")
+    scores = {"z": "mean_value", "comorbid_z": "comorbid", "chapters_z": "chapters"}
+    stats = c.agg(*(f(x).alias(f"{z}_{n}") for z, x in scores.items() for f, n in ((F.avg, "mu"), (F.stddev_samp, "sd"))))
+    dressed = c.crossJoin(F.broadcast(stats)).withColumns({"bin": S.bin_2h(F.col("hour"))} | {z: (F.col(x) - F.col(f"{z}_mu")) / F.col(f"{z}_sd") for z, x in scores.items()})
+    keep = ["stay_key", "hospital", "unittype", "gender", "year_group", "bin", *scores]
     long = dressed.unpivot([*keep, "completed"], ["contaminated", "clean"], "exposure", "records")
     subsets = F.when(F.col("completed"), F.array(F.lit("all stays"), F.lit("completed 24h"))).otherwise(F.array(F.lit("all stays")))
     each = long.withColumn("restriction", F.explode(subsets)).select(*keep, F.concat_ws(" / ", "exposure", "restriction").alias("specification"), "records")
@@ -745,14 +747,26 @@ def _specifications(star: Star) -> DataFrame:
     return each.join(F.broadcast(cuts), "specification").withColumn("low", F.col("records") <= F.col("cut"))
 
 
+_ODDS = "round(exp(b), 6) AS odds_ratio, round(exp(b - 1.959963984540054 * se), 6) AS lo, round(exp(b + 1.959963984540054 * se), 6) AS hi"
+
+
+def _bins(odds: DataFrame) -> DataFrame:
+    """The odds ratios of the bins, named as such."""
+    return odds.where("factor = 'bin'").select("model", F.col("level").alias("bin"), "n", "odds_ratio", "lo", "hi", "p", "converged")
+
+
 @query()
 def logit_hourly(star: Star) -> DataFrame:
-    return R.odds_ratios(_specifications(star), "low", "bin", "00-02", ["z"], model="specification")
+    """Odds of a low count by hour, given age, gender, comorbidities, chapters, year group and unit type."""
+    factors = {"bin": "00-02", "gender": None, "year_group": None, "unittype": None}
+    return _bins(L.odds_ratios(_specifications(star), "low", factors, ("z", "comorbid_z", "chapters_z"), model="specification"))
 
 
 @query()
 def logit_cluster(star: Star) -> DataFrame:
-    return R.odds_ratios(_specifications(star), "low", "bin", "00-02", ["z"], cluster="hospital", model="specification")
+    """Odds of a low count by hour, given age, gender and unit type, with errors robust to hospitals."""
+    factors = {"bin": "00-02", "gender": None, "unittype": None}
+    return _bins(L.odds_ratios(_specifications(star), "low", factors, ("z",), cluster="hospital", model="specification"))
 
 
 @query()
@@ -763,16 +777,73 @@ def logit_by_unit(star: Star) -> DataFrame:
     """
     a = _specifications(star).where("specification = 'clean / completed 24h'")
     ok = a.groupBy("unittype").agg(F.count("*").alias("m"), F.sum(F.col("low").cast("int")).alias("lows"), F.countDistinct("bin").alias("bins")).where("m >= 10 and lows >= 2 and bins >= 3")
-    return R.odds_ratios(a.join(ok.select("unittype"), "unittype", "left_semi"), "low", "bin", "00-02", ["z"], model="unittype")
+    return _bins(L.odds_ratios(a.join(ok.select("unittype"), "unittype", "left_semi"), "low", {"bin": "00-02", "gender": None}, ("z", "comorbid_z"), model="unittype"))
+
+
+def _solved(matrix: str, k: str) -> str:
+    """Gauss-Jordan elimination of the first k columns, as nested lambdas over a list of rows."""
+    pivot = "p[1][1]::INT"
+    other = f"list_transform(row, lambda v, j: v - row[{pivot}] / a[{pivot}][{pivot}] * a[{pivot}][j])"
+    own = f"list_transform(row, lambda v: v / a[{pivot}][{pivot}])"
+    return f"list_reduce(list_prepend({matrix}, list_transform(range(1, {k} + 1), lambda p: [[p::DOUBLE]])), lambda a, p: list_transform(a, lambda row, i: CASE WHEN i = {pivot} THEN {own} ELSE {other} END))"
+
+
+def _logit_sql(cluster: bool) -> str:
+    """Newton's method in a recursive query, with dense normal equations."""
+    pieces = "SELECT c.id, c.x, c.y, 1 / (1 + exp(-list_dot_product(c.x, f.beta))) AS p, f.step, f.beta FROM fit f, design c"
+    sums = f"SELECT step, beta, i, j, sum(x[i] * p * (1 - p) * x[j]) AS h, sum(x[i] * (y - p)) AS g FROM ({pieces}), (SELECT unnest(range(1, k + 1)) AS i FROM size), (SELECT unnest(range(1, k + 1)) AS j FROM size)"
+    rows = lambda own: f"SELECT step, beta, i, list(h ORDER BY j) || {own} AS line FROM ({{}}) GROUP BY step, beta, i"
+    unit = "list_transform(range(1, len(beta) + 1), lambda c: CASE WHEN c = i THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)"
+    newton = rows("[any_value(g)]").format(sums + " WHERE step < 12 GROUP BY step, beta, i, j")
+    last = rows(unit).format(sums + " WHERE step = 12 GROUP BY step, beta, i, j")
+    variance = "inverse[i][len(beta) + i]"
+    if cluster:
+        scores = f"SELECT hospital, i, sum(x[i] * (y - p)) AS s FROM ({pieces} WHERE step = 12) JOIN (SELECT id, hospital FROM low) USING (id), (SELECT unnest(range(1, k + 1)) AS i FROM size) GROUP BY hospital, i"
+        pulls = f"SELECT t.i, sum(pull ** 2) AS v FROM terms t, LATERAL (SELECT hospital, sum(inverse[t.i][k + c.i] * s) AS pull FROM ({scores}) c, final, size GROUP BY hospital) GROUP BY t.i"
+        variance = f"(SELECT v FROM ({pulls}) q WHERE q.i = t.i) * (SELECT count(DISTINCT hospital) / (count(DISTINCT hospital) - 1.0) * (count(*) - 1.0) / (count(*) - any_value(k)) FROM low, size)"
+    return f"""WITH RECURSIVE {STAYS}, {NURSE}, counts AS (SELECT stay_key, count(*) AS n, min(offset_min) AS first FROM nurse GROUP BY 1),
+told AS (SELECT stay_key AS id, hospital, n, printf('%02d-%02d', first % 24 // 2 * 2, first % 24 // 2 * 2 + 2) AS bin, CASE WHEN stay_key % 2 = 0 THEN 'F' ELSE 'M' END AS gender,
+  unittype, 'group ' || (stay_key // 7 % 4) AS year_group, los FROM counts JOIN stays USING (stay_key)),
+low AS (SELECT *, (n <= (SELECT quantile_cont(n, 0.1) FROM told))::INT::DOUBLE AS y, (los - (SELECT avg(los) FROM told)) / (SELECT stddev_samp(los) FROM told) AS z FROM told),
+named AS (SELECT DISTINCT 0 AS f, bin AS level FROM low UNION SELECT DISTINCT 1, gender FROM low UNION SELECT DISTINCT 2, unittype FROM low UNION SELECT DISTINCT 3, year_group FROM low),
+terms AS (SELECT (row_number() OVER (ORDER BY f, level) + 2)::INT AS i, f, level FROM (SELECT *, CASE WHEN f = 0 THEN '18-20' ELSE min(level) OVER (PARTITION BY f) END AS base FROM named) WHERE level <> base),
+size AS (SELECT (count(*) + 2)::INT AS k FROM terms),
+design AS (SELECT id, any_value(y) AS y, [1.0::DOUBLE, any_value(z)] || list(CASE WHEN level = CASE f WHEN 0 THEN bin WHEN 1 THEN gender WHEN 2 THEN unittype ELSE year_group END THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END ORDER BY i) AS x FROM low, terms GROUP BY id),
+fit AS (SELECT 0 AS step, list_transform(range(k), lambda i: 0.0::DOUBLE) AS beta FROM size
+  UNION ALL SELECT step + 1, list_transform(beta, lambda b, i: b + solved[i][len(beta) + 1]) FROM (
+    SELECT step, beta, {_solved("list(line ORDER BY i)", "len(beta)")} AS solved FROM ({newton}) GROUP BY step, beta)),
+final AS (SELECT beta, {_solved("list(line ORDER BY i)", "len(beta)")} AS inverse FROM ({last}) GROUP BY step, beta),
+found AS (SELECT f, level, beta[i] AS b, sqrt({variance}) AS se FROM terms t, final)
+SELECT CASE f WHEN 0 THEN 'bin' WHEN 1 THEN 'gender' WHEN 2 THEN 'unittype' ELSE 'year_group' END AS factor, level, (SELECT count(*) FROM low)::BIGINT AS n, {_ODDS} FROM found"""
+
+
+def _covariates(star: Star, **options) -> DataFrame:
+    """Odds of a low nurse count by the hour of the first record, given age, gender, unit type and year group."""
+    counts = E.in_window(star.nurse()).groupBy("stay_key").agg(F.count("*").alias("n"), F.min("offset_min").alias("first"))
+    c = counts.join(star.stays(), "stay_key").join(star.people(), "stay_key").withColumn("bin", S.bin_2h(F.col("first") % 24))
+    stats = c.agg(F.avg("los").alias("mu"), F.stddev_samp("los").alias("sd"))
+    cut = A.quantile(c, "n", [0.1]).select("cut")
+    low = c.crossJoin(F.broadcast(stats)).crossJoin(F.broadcast(cut)).withColumns({"low": F.col("n") <= F.col("cut"), "z": (F.col("los") - F.col("mu")) / F.col("sd")})
+    found = L.odds_ratios(low, "low", {"bin": "18-20", "gender": None, "unittype": None, "year_group": None}, ("z",), **options)
+    return _rounded(found.where("level is not null").select("factor", "level", "n", "odds_ratio", "lo", "hi"), "odds_ratio", "lo", "hi")
+
+
+@query(_logit_sql(False))
+def logit_covariates(star: Star) -> DataFrame:
+    """Four factors and a number, every factor's odds ratios."""
+    return _covariates(star)
+
+
+@query(_logit_sql(True))
+def logit_covariates_cluster(star: Star) -> DataFrame:
+    """The same with errors robust to hospitals."""
+    return _covariates(star, cluster="hospital")
 
 
 _SEGMENT = """WITH rows AS (SELECT c_mktsegment AS bin, c_nationkey AS cluster, (c_acctbal < 1000)::INT::DOUBLE AS y FROM customer),
 fit AS (SELECT bin, count(*)::DOUBLE AS n, avg(y) AS p FROM rows GROUP BY 1),
 ref AS (SELECT n AS n0, p AS p0 FROM fit WHERE bin = 'AUTOMOBILE'),
 each AS (SELECT bin, ln(p / (1 - p)) - ln(p0 / (1 - p0)) AS b, n * p * (1 - p) AS h, n0 * p0 * (1 - p0) AS h0 FROM fit, ref WHERE bin <> 'AUTOMOBILE')"""
-_ODDS = "round(exp(b), 6) AS odds_ratio, round(exp(b - 1.959963984540054 * se), 6) AS lo, round(exp(b + 1.959963984540054 * se), 6) AS hi"
-
-
 def _segments(star: Star) -> DataFrame:
     return star.table("customer").select(F.col("c_mktsegment").alias("bin"), F.col("c_nationkey").alias("nation"), (F.col("c_acctbal") < 1000).alias("low"))
 
@@ -780,8 +851,8 @@ def _segments(star: Star) -> DataFrame:
 @query(f"{_SEGMENT} SELECT bin, (SELECT count(*) FROM rows)::BIGINT AS n, {_ODDS} FROM (SELECT *, sqrt(1 / h + 1 / h0) AS se FROM each)")
 def logit_segments(star: Star) -> DataFrame:
     """A logistic model of one category, whose coefficients and Wald errors have a closed form in SQL."""
-    found = R.odds_ratios(_segments(star), "low", "bin", "AUTOMOBILE", [])
-    return _rounded(found.select("bin", "n", "odds_ratio", "lo", "hi"), "odds_ratio", "lo", "hi")
+    found = L.odds_ratios(_segments(star), "low", {"bin": "AUTOMOBILE"})
+    return _rounded(found.select(F.col("level").alias("bin"), "n", "odds_ratio", "lo", "hi"), "odds_ratio", "lo", "hi")
 
 
 @query(f"""{_SEGMENT}, scores AS (SELECT r.cluster, r.bin, sum(r.y - f.p) AS s FROM rows r JOIN fit f ON r.bin = f.bin GROUP BY 1, 2),
@@ -792,8 +863,8 @@ SELECT bin, any_value(n)::BIGINT AS n, {_ODDS.replace("exp(b", "exp(any_value(b)
   SELECT bin, b, n, sqrt(sum(pull * pull) OVER (PARTITION BY bin) * g / (g - 1) * (n - 1) / (n - k)) AS se FROM pulls, small) GROUP BY bin""")
 def logit_segments_cluster(star: Star) -> DataFrame:
     """The same with errors robust to clusters."""
-    found = R.odds_ratios(_segments(star), "low", "bin", "AUTOMOBILE", [], cluster="nation")
-    return _rounded(found.select("bin", "n", "odds_ratio", "lo", "hi"), "odds_ratio", "lo", "hi")
+    found = L.odds_ratios(_segments(star), "low", {"bin": "AUTOMOBILE"}, cluster="nation")
+    return _rounded(found.select(F.col("level").alias("bin"), "n", "odds_ratio", "lo", "hi"), "odds_ratio", "lo", "hi")
 
 
 _PEAK = """WITH a AS (SELECT user_id, hour(min(ts)) AS h, count(*) AS n FROM events GROUP BY 1), b AS (SELECT r_name AS database, h // 2 AS k, n <= (SELECT quantile_cont(n, 0.5) FROM a) AS low FROM a

@@ -91,6 +91,18 @@ class Star:
             (F.col("c_acctbal") >= 0).alias("completed"),
         )
 
+    def people(self) -> DataFrame:
+        """Covariates of a stay: gender, year group, and two numbers that stand for comorbidities and chapters."""
+        key = F.col("c_custkey")
+        orders = self._read("orders").groupBy(F.col("o_custkey").alias("stay_key"))
+        numbers = orders.agg(F.avg("o_totalprice").alias("comorbid"), F.avg((F.col("o_orderstatus") == "O").cast("double")).alias("chapters"))
+        who = self._read("customer").select(
+            key.alias("stay_key"),
+            F.when(key % 2 == 0, "F").otherwise("M").alias("gender"),
+            F.concat(F.lit("group "), F.floor(key / 7) % 4).alias("year_group"),
+        )
+        return who.join(numbers, "stay_key", "left")
+
     def _offset(self, date: str):
         return F.datediff(F.col(date), F.lit("1995-01-01")).alias("offset_min")
 
