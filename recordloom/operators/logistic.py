@@ -17,7 +17,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from recordloom.sources.scratch import materialize
@@ -56,25 +56,26 @@ def _coded(levels: DataFrame, references: list[str | None], numbers: int) -> Dat
     return inner.select("model", "factor", "level", "base", "at").unionByName(joined.where("level = base").select("model", "factor", "level", "base", F.lit(None).cast("int").alias("at")))
 
 
-def _predicted(coded: DataFrame, state: DataFrame, factors: int, numbers: int) -> tuple[DataFrame, list[tuple[Column, Column]]]:
-    """coded with eta, p and the residual r, and the (coefficient, value) entries of a row, by ascending coefficient."""
-    beta = F.col("beta")
-    parts = [F.get(beta, 0), *(F.col(f"x{j}") * F.get(beta, j + 1) for j in range(numbers)), *(F.coalesce(F.get(beta, F.col(f"c{i}")), F.lit(0.0)) for i in range(factors))]
-    with_eta = coded.join(state.select("model", "beta"), "model").withColumn("eta", reduce(lambda a, b: a + b, parts)).drop("beta")
-    with_p = with_eta.withColumn("p", 1 / (1 + F.exp(-F.col("eta"))))
-    entries = [(F.lit(0), F.lit(1.0)), *((F.lit(j + 1), F.col(f"x{j}")) for j in range(numbers)), *((F.col(f"c{i}"), F.lit(1.0)) for i in range(factors))]
-    return with_p.withColumn("r", F.col("y") - F.col("n") * F.col("p")), entries
-
-
-def _sums(predicted: DataFrame, entries: list[tuple[Column, Column]]) -> DataFrame:
-    """(model, i, j, v): X'WX for i <= j, X'r at j = -1, the log-likelihood at i = j = -1."""
-    w = F.col("n") * F.col("p") * (1 - F.col("p"))
-    entry = lambda i, j, v: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), v.cast("double").alias("v"))
-    pairs = [entry(i, j, w * a * b) for at, (i, a) in enumerate(entries) for j, b in entries[at:]]
-    slopes = [entry(i, F.lit(-1), F.col("r") * a) for i, a in entries]
-    eta = F.col("eta")
-    loglik = F.col("y") * eta - F.col("n") * (F.greatest(eta, F.lit(0.0)) + F.log1p(F.exp(-F.abs(eta))))
-    each = predicted.select("model", F.inline(F.array(*pairs, *slopes, entry(F.lit(-1), F.lit(-1), loglik)))).where("i is not null and j is not null")
+def _predicted(coded: DataFrame, state: DataFrame, factors: int, numbers: int) -> DataFrame:
+    """coded with the linear predictor eta, p and the residual r under each model's coefficients."""
+    parts = ["get(beta, 0)", *(f"x{j} * get(beta, {j + 1})" for j in range(numbers)), *(f"coalesce(get(beta, c{i}), 0D)" for i in range(factors))]
+    with_eta = coded.join(state.select("model", "beta"), "model").selectExpr(*coded.columns, f"{' + '.join(parts)} as eta")
+    return with_eta.selectExpr("*", "1 / (1 + exp(-eta)) as p").selectExpr("*", "y - n * p as r")
+
+
+def _entries(factors: int, numbers: int) -> list[tuple[str, str]]:
+    """(coefficient, value) of what is not zero in a row, by ascending coefficient."""
+    return [("0", "1D"), *((f"{j + 1}", f"x{j}") for j in range(numbers)), *((f"c{i}", "1D") for i in range(factors))]
+
+
+def _sums(predicted: DataFrame, entries: list[tuple[str, str]], slopes: bool = True) -> DataFrame:
+    """(model, i, j, v): X'WX for i <= j and, with slopes, X'r at j = -1 and the log-likelihood at i = j = -1."""
+    found = [(i, j, f"n * p * (1 - p) * {a} * {b}") for at, (i, a) in enumerate(entries) for j, b in entries[at:]]
+    if slopes:
+        found += [(i, "-1", f"r * {a}") for i, a in entries]
+        found.append(("-1", "-1", "y * eta - n * (greatest(eta, 0D) + log1p(exp(-abs(eta))))"))
+    told = ", ".join(f"struct(int({i}) as i, int({j}) as j, double({v}) as v)" for i, j, v in found)
+    each = predicted.selectExpr("model", f"inline(array({told}))").where("i is not null and j is not null")
     return each.groupBy("model", "i", "j").agg(F.sum("v").alias("v"))
 
 
@@ -127,13 +128,13 @@ def _finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([r["model"]] * k), pa.array(range(k), pa.int32()), pa.array(r["beta"], pa.float64()), pa.array(se), pa.array(p, pa.float64()), pa.array([r["done"]] * k)], schema=kinds)
 
 
-def _meat(predicted: DataFrame, entries: list[tuple[Column, Column]]) -> DataFrame:
+def _meat(predicted: DataFrame, entries: list[tuple[str, str]]) -> DataFrame:
     """(model, meat, clusters): sums over clusters of products of their score sums. A cluster has k sums at most."""
-    score = F.array(*(F.struct(i.cast("int").alias("i"), (F.col("r") * a).cast("double").alias("v")) for i, a in entries))
-    scores = predicted.select("model", "cluster", F.inline(score)).where("i is not null").groupBy("model", "cluster", "i").agg(F.sum("v").alias("v"))
+    score = ", ".join(f"struct(int({i}) as i, double(r * {a}) as v)" for i, a in entries)
+    scores = predicted.selectExpr("model", "cluster", f"inline(array({score}))").where("i is not null").groupBy("model", "cluster", "i").agg(F.sum("v").alias("v"))
     own = scores.groupBy("model", "cluster").agg(F.collect_list(F.struct("i", "v")).alias("s"))
-    products = F.flatten(F.transform("s", lambda a: F.transform("s", lambda b: F.struct(a["i"].alias("i"), b["i"].alias("j"), (a["v"] * b["v"]).alias("v")))))
-    sums = own.select("model", F.inline(products)).groupBy("model", "i", "j").agg(F.sum("v").alias("v"))
+    products = "flatten(transform(s, a -> transform(s, b -> struct(a.i as i, b.i as j, a.v * b.v as v))))"
+    sums = own.selectExpr("model", f"inline({products})").groupBy("model", "i", "j").agg(F.sum("v").alias("v"))
     return _by_model(sums, "meat").join(own.groupBy("model").agg(F.count("*").alias("clusters")), "model")
 
 
@@ -167,20 +168,25 @@ def coefficients(df: DataFrame, flag: str, factors: dict[str, str | None], numbe
 
     width = coded.select("model").distinct().join(codes.groupBy("model").agg(F.max("at").alias("most")), "model", "left")
     active = width.select("model", F.array_repeat(F.lit(0.0), F.coalesce("most", F.lit(c)) + 1).alias("beta"), F.lit(None).cast("double").alias("loglik"), F.lit(False).alias("done"))
-    finished = []
+    entries, finished = _entries(f, c), []
     for _ in range(steps):
-        sums = _sums(*_predicted(coded, active, f, c))
-        after = materialize(_by_model(sums, "sums").join(active, "model").mapInArrow(_newton(tolerance), _STATE), "step")
+        left_over = Observation()
+        sums = _by_model(_sums(_predicted(coded, active, f, c), entries), "sums")
+        moved = sums.join(active, "model").mapInArrow(_newton(tolerance), _STATE)
+        after = materialize(moved.observe(left_over, F.count(F.when(~F.col("done"), 1)).alias("models")), "step")
         finished.append(after.where("done"))
         active = after.where("not done")
-        if active.isEmpty():
+        if not left_over.get["models"]:
             break
-    state = materialize(reduce(DataFrame.unionByName, [*finished, active]), "fitted")
-
-    predicted, entries = _predicted(coded, state, f, c)
-    whole = _by_model(_sums(predicted, entries).where("j >= 0"), "sums").join(state, "model").join(left.groupBy("model").agg(F.count("*").alias("n")), "model")
-    robust = _meat(predicted, entries) if cluster else whole.select("model", F.lit(None).cast("array<struct<i:int,j:int,v:double>>").alias("meat"), F.lit(None).cast("long").alias("clusters"))
-    found = materialize(whole.join(robust, "model").mapInArrow(_finished, _FOUND), "coefficients")
+    state = reduce(DataFrame.unionByName, [*finished, active])
+
+    predicted = _predicted(coded, state, f, c)
+    whole = _by_model(_sums(predicted, entries, slopes=False), "sums").join(state, "model").join(totals, "model")
+    if cluster:
+        whole = whole.join(_meat(predicted, entries), "model")
+    else:
+        whole = whole.withColumns({"meat": F.lit(None).cast("array<struct<i:int,j:int,v:double>>"), "clusters": F.lit(None).cast("long")})
+    found = materialize(whole.mapInArrow(_finished, _FOUND), "coefficients")
 
     name = F.element_at(F.array(*map(F.lit, names)), F.col("factor") + 1)
     wanted = F.element_at(F.array(*(F.lit(r).cast("string") for r in references)), F.col("factor") + 1)

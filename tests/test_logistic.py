@@ -102,3 +102,23 @@ def test_scratch_tables_belong_to_their_application(spark, tmp_path, monkeypatch
     assert len(list(tmp_path.iterdir())) == 2
     scratch.drop_tables(spark)
     assert [p.name for p in tmp_path.iterdir() if p.is_dir()] == ["recordloom-other-x-1"]
+
+
+def test_logit_equals_newton_by_hand(spark):
+    rng = np.random.default_rng(5)
+    n = 600
+    b, z, h = rng.integers(0, 3, n), rng.normal(size=n), rng.integers(0, 12, n)
+    y = (rng.random(n) < 1 / (1 + np.exp(-(-0.5 + 0.8 * (b == 1) - 0.4 * (b == 2) + 0.3 * z)))).astype(float)
+    df = spark.createDataFrame([(f"b{i}", float(v), f"h{k}", bool(t)) for i, v, k, t in zip(b, z, h, y)], "bin string, z double, h string, low boolean")
+    x = np.column_stack([np.ones(n), b == 1, b == 2, z]).astype(float)
+    for cluster in (None, "h"):
+        beta, se = dense(x, y, h if cluster else None)
+        got = told(L.coefficients(df, "low", {"bin": "b0"}, ("z",), cluster=cluster))
+        for i, key in enumerate([("bin", "b1"), ("bin", "b2"), ("z", None)], 1):
+            assert got[("all", *key)] == (pytest.approx(beta[i], abs=1e-8), pytest.approx(se[i], abs=1e-6))
+
+
+def test_a_factor_may_have_very_many_levels(spark):
+    rows = spark.range(4800).select(F.format_string("b%04d", F.col("id") % 1200).alias("bin"), (F.col("id") < 2400).alias("low"))
+    got = L.odds_ratios(rows, "low", {"bin": "b0000"}).collect()
+    assert len(got) == 1199 and all(r.odds_ratio == pytest.approx(1.0) and r.converged for r in got)

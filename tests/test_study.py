@@ -8,7 +8,6 @@ from recordloom.functions import scalars as S
 from recordloom.operators import agreement as A
 from recordloom.operators import events as E
 from recordloom.operators import mixed as X
-from recordloom.operators import regression as R
 from recordloom.operators import resampling as B
 from recordloom.operators import variance as V
 
@@ -160,44 +159,6 @@ def test_unknown_tails_raise():
         S.tail_value(None, None, "both")
 
 
-def test_logit_equals_newton_by_hand(spark):
-    rng = np.random.default_rng(5)
-    n = 600
-    b, z, h = rng.integers(0, 3, n), rng.normal(size=n), rng.integers(0, 12, n)
-    y = (rng.random(n) < 1 / (1 + np.exp(-(-0.5 + 0.8 * (b == 1) - 0.4 * (b == 2) + 0.3 * z)))).astype(float)
-    df = spark.createDataFrame([(f"b{i}", float(v), f"h{k}", bool(t)) for i, v, k, t in zip(b, z, h, y)], "bin string, z double, h string, low boolean")
-    x = np.column_stack([np.ones(n), b == 1, b == 2, z]).astype(float)
-    beta = np.zeros(4)
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-x @ beta))
-        hess = x.T @ (x * (p * (1 - p))[:, None])
-        beta += np.linalg.solve(hess, x.T @ (y - p))
-    dressed, names = R.design(df.withColumn("y", F.col("low").cast("double")), "bin", "b0", ["z"])
-    plain = R.fit(dressed, names)
-    assert [r["beta"] for r in plain] == pytest.approx(beta.tolist(), abs=1e-8)
-    assert [r["se"] for r in plain] == pytest.approx(np.sqrt(np.diag(np.linalg.inv(hess))).tolist(), abs=1e-6)
-    s = np.array([(x * (y - p)[:, None])[h == k].sum(axis=0) for k in range(12)])
-    cov = np.linalg.inv(hess) @ (s.T @ s) @ np.linalg.inv(hess) * (12 / 11) * ((n - 1) / (n - 4))
-    robust = R.fit(dressed, names, cluster="h")
-    assert [r["se"] for r in robust] == pytest.approx(np.sqrt(np.diag(cov)).tolist(), abs=1e-6)
-
-
-def test_logit_fits_every_model_and_level(spark, monkeypatch):
-    rng = np.random.default_rng(9)
-    rows = [(f"m{i % 5}", f"b{rng.integers(0, 2)}", bool(rng.random() < 0.2 + 0.1 * (i % 5))) for i in range(500)]
-    df = spark.createDataFrame(rows, "m string, bin string, low boolean")
-    dressed, names = R.design(df.withColumn("y", F.col("low").cast("double")), "bin", "b0", [])
-    monkeypatch.setattr(R, "MODELS", 2)
-    got = {(r["model"], r["term"]): r["beta"] for r in R.fit(dressed, names, model="m")}
-    logit = lambda m, b: (lambda p: np.log(p / (1 - p)))(np.mean([y for k, c, y in rows if (k, c) == (m, b)]))
-    want = {}
-    for m in (f"m{i}" for i in range(5)):
-        want |= {(m, "intercept"): logit(m, "b0"), (m, "b1"): logit(m, "b1") - logit(m, "b0")}
-    assert got == pytest.approx(want, abs=1e-6)
-    many = spark.range(1200).select(F.format_string("b%04d", "id").alias("bin"))
-    assert len(R.design(many, "bin", "b0000", [])[1]) == 1200
-
-
 def test_hourly_models_have_four_specifications(spark):
     from recordloom.plans import study
     from recordloom.plans.catalog import QUERIES
