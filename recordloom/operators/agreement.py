@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recordloom.operators.ranges import sums_before
+
 
 def quantile(df: DataFrame, column: str, shares: list[float], by: tuple[str, ...] = ()) -> DataFrame:
     """Exact, linearly interpolated quantiles: (by..., share, cut).
@@ -18,10 +20,10 @@ def quantile(df: DataFrame, column: str, shares: list[float], by: tuple[str, ...
 
 
 def rank_table(df: DataFrame, column: str) -> DataFrame:
-    """(value, rank) with ties averaged, from counts of distinct values: the sort is over distinct values only."""
+    """(value, rank) with ties averaged, from counts of distinct values: only these are sorted, in ranges."""
     counted = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("__c"))
-    upto = F.sum("__c").over(Window.orderBy(column))
-    return counted.select(column, (upto - (F.col("__c") - 1) / F.lit(2.0)).alias("rank"))
+    placed = sums_before(counted, [], [F.col(column)], {"__before": F.col("__c")})
+    return placed.select(column, (F.col("__before") + (F.col("__c") + 1) / F.lit(2.0)).alias("rank"))
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -95,19 +97,21 @@ def threshold_agreement(flags: DataFrame, group: str) -> DataFrame:
 def contributions(shares: DataFrame, group: str, pct: int) -> DataFrame:
     """Groups by what they add to the flagged rows of one percentile, with the running share; ties by name."""
     chosen = shares.where((F.col("pct") == pct) & (F.col("flagged") > 0))
-    order = Window.orderBy(F.desc("flagged"), group)  # one row per group
-    total = F.sum("flagged").over(Window.partitionBy())
-    return chosen.select(group, "n", "flagged", (F.sum("flagged").over(order.rowsBetween(Window.unboundedPreceding, 0)) / total).alias("cumulative"), F.row_number().over(order).alias("rank"))
+    placed = sums_before(chosen.select(group, "n", "flagged"), [], [F.desc("flagged"), F.col(group)], {"__before": F.col("flagged"), "__row": F.lit(1)})
+    total = F.broadcast(chosen.agg(F.sum("flagged").alias("__total")))  # one row
+    return placed.crossJoin(total).select(group, "n", "flagged", ((F.col("__before") + F.col("flagged")) / F.col("__total")).alias("cumulative"), (F.col("__row") + 1).cast("int").alias("rank"))
 
 
 def empirical_percentiles(values: DataFrame, distribution: DataFrame, keys: tuple[str, ...], value: str, name: str = "percentile") -> DataFrame:
     """For each row of values the share of the distribution (same keys) that is strictly below it.
 
-    A merge instead of a product: both sides are counted by value, and running counts meet in one sort per key.
+    A merge instead of a product: both sides are counted by value, and running counts meet in one order of ranges, in which
+    what is asked for comes before what is equal.
     """
     counted = distribution.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__c")).withColumn("__q", F.lit(0))
     asked = values.select(*keys, value).where(F.col(value).isNotNull()).distinct().select(*keys, value, F.lit(0).cast("long").alias("__c"), F.lit(1).alias("__q"))
     both = counted.unionByName(asked)
-    below = F.sum("__c").over(Window.partitionBy(*keys).orderBy(value)) - F.sum("__c").over(Window.partitionBy(*keys, value))
-    ranked = both.withColumn("__below", below / F.sum("__c").over(Window.partitionBy(*keys))).where("__q = 1")
-    return values.join(ranked.select(*keys, value, F.col("__below").alias(name)), [*keys, value], "left")
+    placed = sums_before(both, list(keys), [F.col(value), F.desc("__q")], {"__below": F.col("__c")}).where("__q = 1")
+    totals = counted.groupBy(*keys).agg(F.sum("__c").alias("__total"))
+    ranked = placed.join(totals, list(keys)).select(*keys, value, (F.col("__below") / F.col("__total")).alias(name))
+    return values.join(ranked, [*keys, value], "left")

@@ -8,20 +8,15 @@ from pyspark.sql import functions as F
 from recordloom.functions import scalars as S
 from recordloom.operators import agreement as A
 from recordloom.operators import events as E
+from recordloom.operators.ranges import numbered, sums_before
 from recordloom.plans.registry import MONITOR, NURSE, STAYS, metrics, query
-from recordloom.sources import sinks, tables
+from recordloom.sources import scratch, sinks, tables
 from recordloom.sources.tables import Star
 
 
 def _folder(star: Star, name: str) -> str:
-    """A new path in the shared folder; a local session may do without one."""
-    import tempfile
-    import uuid
-
-    root = star.spark.conf.get("spark.checkpoint.dir", None)
-    if root is None and not star.spark.sparkContext.master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
-    return f"{root.rstrip('/') if root else 'file://' + tempfile.mkdtemp()}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder."""
+    return scratch.new_path(star.spark, name)
 
 
 # -- scans and sinks
@@ -539,14 +534,15 @@ def topk_per_group(star: Star) -> DataFrame:
 @query("SELECT n_name, n, round(sum(n) OVER (ORDER BY n DESC, n_name ROWS UNBOUNDED PRECEDING) / (sum(n) OVER ())::DOUBLE, 8) AS cumulative FROM (SELECT n_name, count(*)::BIGINT AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1)")
 def cumulative_share(star: Star) -> DataFrame:
     n = star.table("customer").join(star.table("nation"), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.count("*").alias("n"))
-    order = Window.orderBy(F.desc("n"), "n_name").rowsBetween(Window.unboundedPreceding, 0)  # one row per nation
-    return n.withColumn("cumulative", F.round(F.sum("n").over(order) / F.sum("n").over(Window.partitionBy()), 8))
+    placed = sums_before(n, [], [F.desc("n"), F.col("n_name")], {"before": F.col("n")})
+    total = F.broadcast(n.agg(F.sum("n").alias("total")))  # one row
+    return placed.crossJoin(total).select("n_name", "n", F.round((F.col("before") + F.col("n")) / F.col("total"), 8).alias("cumulative"))
 
 
 @query("SELECT n_name, n, row_number() OVER (ORDER BY n DESC, n_name)::INT AS place FROM (SELECT n_name, count(*)::BIGINT AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1) ORDER BY n DESC, n_name")
 def sort_multi(star: Star) -> DataFrame:
     n = star.table("customer").join(star.table("nation"), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.count("*").alias("n"))
-    return n.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "n_name"))).orderBy(F.desc("n"), F.asc("n_name"))
+    return numbered(n, [F.desc("n"), F.col("n_name")], "place").withColumn("place", (F.col("place") + 1).cast("int")).orderBy(F.desc("n"), F.asc("n_name"))
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")

@@ -155,12 +155,27 @@ def eta2_unit_within(star: Star) -> DataFrame:
 
 
 _BOOT = ["n_records", "median_interval_min"]
+#: The metrics that the reference resamples.
+_BOOT8 = [m for m in M9 if m != "n_gaps_gt4h"]
+
 
+def _boot_sql(metrics_: list[str], replicates: int, density: bool) -> str:
+    def given(m: str) -> str:
+        """Of each replicate: eta2 over hospitals of what a straight line on log density leaves."""
+        return f"""SELECT replicate, CASE WHEN any_value(n) >= 10 AND any_value(tyy - 2 * slope * txy + slope ** 2 * txx) > 1e-12 * any_value(tyy)
+              THEN sum(wn * (hy - y / n - slope * (hx - x / n)) ** 2) / any_value(tyy - 2 * slope * txy + slope ** 2 * txx) END AS given FROM (
+              SELECT *, CASE WHEN n >= 10 AND txx > 0 THEN txy / txx ELSE 0 END AS slope FROM (SELECT *, xx - x * x / n AS txx, xy - x * y / n AS txy, yy - y * y / n AS tyy FROM (
+                SELECT replicate, n * weight AS wn, sx / n AS hx, sy / n AS hy, sum(n * weight) OVER w AS n, sum(sx * weight) OVER w AS x, sum(sy * weight) OVER w AS y,
+                       sum(sxx * weight) OVER w AS xx, sum(sxy * weight) OVER w AS xy, sum(syy * weight) OVER w AS yy
+                FROM (SELECT hospital, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx, sum(x * y) AS sxy, sum(y * y) AS syy
+                      FROM (SELECT hospital, ln(n_records) AS x, {m}::DOUBLE AS y FROM c WHERE {m} IS NOT NULL) GROUP BY hospital) JOIN weights USING (hospital)
+                WINDOW w AS (PARTITION BY replicate)))) GROUP BY replicate"""
 
-def _boot_sql() -> str:
     def part(m: str) -> str:
+        more = ", round(quantile_cont(given, 0.025), 6) AS given_density_lo, round(quantile_cont(given, 0.975), 6) AS given_density_hi" if density else ""
+        joined = f"JOIN ({given(m)}) USING (replicate)" if density else ""
         return f"""SELECT '{m}' AS metric, count(*)::BIGINT AS replicates, round(quantile_cont(h, 0.025), 6) AS hospital_lo, round(quantile_cont(h, 0.975), 6) AS hospital_hi,
-          round(quantile_cont(u - h, 0.025), 6) AS within_lo, round(quantile_cont(u - h, 0.975), 6) AS within_hi FROM (
+          round(quantile_cont(u - h, 0.025), 6) AS within_lo, round(quantile_cont(u - h, 0.975), 6) AS within_hi{more} FROM (
           SELECT replicate, sum(hn * (hmean - grand) ** 2) / any_value(sst) AS h, any_value(su) / any_value(sst) AS u FROM (
             SELECT replicate, hospital, any_value(hn) AS hn, any_value(hmean) AS hmean, any_value(grand) AS grand, any_value(sst) AS sst, any_value(su) AS su FROM (
               SELECT *, sum(m2 + n * (mean - grand) ** 2) OVER (PARTITION BY replicate) AS sst, sum(n * (mean - grand) ** 2) OVER (PARTITION BY replicate) AS su FROM (
@@ -171,42 +186,81 @@ def _boot_sql() -> str:
                   (SELECT hospital, unit_id, count({m}) AS n, avg({m}::DOUBLE) AS mean, var_pop({m}::DOUBLE) * count({m}) AS m2 FROM c WHERE {m} IS NOT NULL GROUP BY 1, 2)
                   JOIN weights USING (hospital))))
             GROUP BY 1, 2)
-          GROUP BY replicate)"""
+          GROUP BY replicate) {joined}"""
 
     return f"""{COHORT}, names AS (SELECT hospital, row_number() OVER (ORDER BY hospital) - 1 AS i FROM (SELECT DISTINCT hospital FROM c)),
     weights AS (SELECT replicate, hospital, count(*) AS weight FROM (
       SELECT r AS replicate, (('0x' || substr(md5(r || ':' || d), 1, 8))::BIGINT % (SELECT count(*) FROM names)) AS i
-      FROM range(200) AS a(r), range((SELECT count(*) FROM names)) AS b(d)) JOIN names USING (i) GROUP BY 1, 2)
-    """ + _union([part(m) for m in _BOOT])
+      FROM range({replicates}) AS a(r), range((SELECT count(*) FROM names)) AS b(d)) JOIN names USING (i) GROUP BY 1, 2)
+    """ + _union([part(m) for m in metrics_])
 
 
-@query(_boot_sql())
+@query(_boot_sql(_BOOT, 200, False))
 def bootstrap_hospital(star: Star) -> DataFrame:
     found = B.bootstrap_hospital(nurse_cohort(star), _BOOT, 200)
     return _rounded(found, "hospital_lo", "hospital_hi", "within_lo", "within_hi")
 
 
-#: The metrics that the reference resamples.
-_BOOT8 = [m for m in M9 if m != "n_gaps_gt4h"]
+@query(_boot_sql(_BOOT8, DEFAULT.bootstraps, True))
+def bootstrap_decomposition(star: Star) -> DataFrame:
+    """The whole hospital bootstrap: three components of all resampled metrics."""
+    found = B.bootstrap_hospital(nurse_cohort(star), _BOOT8, DEFAULT.bootstraps, F.log("n_records"))
+    return _rounded(found, *(f"{part}_{end}" for part in ("hospital", "within", "given_density") for end in ("lo", "hi")))
 
 
-@query()
-def bootstrap_decomposition(star: Star) -> DataFrame:
-    """The whole hospital bootstrap: three components of all resampled metrics. bootstrap_hospital has SQL for a part of it."""
-    return B.bootstrap_hospital(nurse_cohort(star), _BOOT8, DEFAULT.bootstraps, F.log("n_records"))
+def _drawn_sql(seed: int, *parts: str, out_of: str) -> str:
+    """A number below out_of from hashes of all parts, in unsigned 64-bit arithmetic."""
 
+    def mixed(x: str) -> str:
+        shifted = lambda by, c: f"lambda v: (xor(v, v >> {by}) * {c}::UBIGINT) % 4294967296"
+        return f"list_transform(list_transform(list_transform([{x}], {shifted(16, 2246822507)}), {shifted(13, 3266489909)}), lambda v: xor(v, v >> 16))[1]"
 
-@query()
+    h = mixed(f"{seed}::UBIGINT")
+    for part in parts:
+        h = mixed(f"xor({h}, ({part})::UBIGINT)")
+    return f"(({h} * ({out_of})::UBIGINT) >> 32)::BIGINT"
+
+
+def _stay_boot_sql(metrics_: list[str], replicates: int, seed: int) -> str:
+    def part(m: str) -> str:
+        return f"""SELECT '{m}' AS metric, count(*)::BIGINT AS replicates, round(quantile_cont(eta2, 0.025), 6) AS lo, round(quantile_cont(eta2, 0.975), 6) AS hi FROM (
+          SELECT CASE WHEN sum(n) >= 10 AND sum(m2 + n * (mean - grand) ** 2) > 0 THEN sum(n * (mean - grand) ** 2) / sum(m2 + n * (mean - grand) ** 2) END AS eta2 FROM (
+            SELECT *, sum(n * mean) OVER (PARTITION BY replicate) / sum(n) OVER (PARTITION BY replicate) AS grand FROM (
+              SELECT replicate, unittype, count(*) AS n, avg({m}::DOUBLE) AS mean, var_pop({m}::DOUBLE) * count(*) AS m2 FROM chosen WHERE {m} IS NOT NULL GROUP BY 1, 2)) GROUP BY replicate)"""
+
+    size = f"least({B.BLOCK}, (SELECT count(*) FROM c) - block * {B.BLOCK})"
+    return f"""{COHORT}, placed AS (SELECT *, row_number() OVER (ORDER BY stay_key) - 1 AS place FROM c),
+    falls AS (SELECT r AS replicate, {_drawn_sql(seed, "r", "d", out_of="(SELECT count(*) FROM c)")} // {B.BLOCK} AS block, count(*) AS drawn
+      FROM range({replicates}) AS a(r), range((SELECT count(*) FROM c)) AS b(d) GROUP BY 1, 2),
+    chosen AS (SELECT replicate, p.* FROM (
+      SELECT replicate, block * {B.BLOCK} + {_drawn_sql(seed + 1, "block", "replicate", "t", out_of=size)} AS place FROM (SELECT *, unnest(range(drawn)) AS t FROM falls)) JOIN placed p USING (place))
+    """ + _union([part(m) for m in metrics_])
+
+
+@query(_stay_boot_sql(_BOOT8, DEFAULT.bootstraps, DEFAULT.seed))
 def bootstrap_stay(star: Star) -> DataFrame:
-    return B.bootstrap_stays(nurse_cohort(star), _BOOT8, "unittype", DEFAULT.bootstraps, DEFAULT.seed)
+    """Between-unit eta2 of all resampled metrics, with exactly as many draws as stays in each replicate."""
+    return _rounded(B.bootstrap_stays(nurse_cohort(star), _BOOT8, "unittype", DEFAULT.bootstraps, DEFAULT.seed), "lo", "hi")
 
 
-@query()
+def _pctile_boot_sql(replicates: int, seed: int) -> str:
+    return f"""{COHORT}, long AS ({_union([f"SELECT unit_id AS unit, '{m}' AS metric, {m}::DOUBLE AS value FROM c WHERE {m} IS NOT NULL" for m in _BOOT8])}),
+    sizes AS (SELECT unit, metric, count(*) AS n, quantile_cont(value, 0.5) AS median FROM long GROUP BY 1, 2),
+    middles AS (SELECT n, r, list_sort(list(place)) AS places FROM (
+      SELECT n, r, {_drawn_sql(seed, "r", "t", out_of="n")} AS place FROM (SELECT n, r, unnest(range(n)) AS t FROM (SELECT DISTINCT n FROM sizes WHERE n > 10), range({replicates}) AS a(r))) GROUP BY 1, 2),
+    sorted AS (SELECT unit, metric, list_sort(list(value)) AS v FROM long GROUP BY 1, 2),
+    medians AS (SELECT s.unit, s.metric, r, (v[places[(n - 1) // 2 + 1] + 1] + v[places[n // 2 + 1] + 1]) / 2 AS value FROM sizes s JOIN middles USING (n) JOIN sorted o ON o.unit = s.unit AND o.metric = s.metric),
+    ranks AS (SELECT m.unit, m.metric, r, any_value(value) AS value, avg((d.median < value)::INT) AS rank FROM medians m JOIN sizes d ON d.metric = m.metric GROUP BY 1, 2, 3),
+    bounds AS (SELECT unit, metric, round(quantile_cont(rank, 0.025), 6) AS lo, round(quantile_cont(rank, 0.975), 6) AS hi FROM ranks GROUP BY 1, 2)
+    SELECT s.unit, s.metric, s.n::BIGINT AS n, lo, hi FROM sizes s LEFT JOIN bounds b ON b.unit = s.unit AND b.metric = s.metric"""
+
+
+@query(_pctile_boot_sql(DEFAULT.pctile_bootstraps, DEFAULT.seed))
 def bootstrap_pctile(star: Star) -> DataFrame:
-    c = nurse_cohort(star)
-    values = V.long_metrics(c, _BOOT, ["unit_id"]).select(F.col("unit_id").alias("unit"), "metric", F.col("y").alias("value"))
+    """Intervals of the percentile rank of each unit's median, for all resampled metrics."""
+    values = V.long_metrics(nurse_cohort(star), _BOOT8, ["unit_id"]).select(F.col("unit_id").alias("unit"), "metric", F.col("y").alias("value"))
     medians = values.groupBy("unit", "metric").agg(F.percentile("value", F.lit(0.5)).alias("value"))
-    return B.bootstrap_percentile(values, medians.select("metric", "value"), DEFAULT.pctile_bootstraps, DEFAULT.seed)
+    return _rounded(B.bootstrap_percentile(values, medians.select("metric", "value"), DEFAULT.pctile_bootstraps, DEFAULT.seed), "lo", "hi")
 
 
 @query()
