@@ -11,12 +11,23 @@ from recordloom.operators.ranges import sums_before
 def quantile(df: DataFrame, column: str, shares: list[float], by: tuple[str, ...] = ()) -> DataFrame:
     """Exact, linearly interpolated quantiles: (by..., share, cut).
 
-    Values are counted first, so the state of the final aggregate is one entry per distinct value.
+    Values are counted, the counts of distinct values summed in ranges of values, and the two order statistics next to a
+    quantile looked up by their places. So no task holds a group's values, and a group may have any share of all rows. A
+    group without values has no row; a null group is one.
     """
-    counted = df.where(F.col(column).isNotNull()).groupBy(*by, F.col(column).alias("__v")).agg(F.count("*").alias("__f"))
-    found = counted.groupBy(*by).agg(F.percentile("__v", F.array(*[F.lit(s) for s in shares]), F.col("__f")).alias("__q"))
-    pairs = F.arrays_zip(F.array(*[F.lit(s) for s in shares]).alias("share"), F.col("__q").alias("cut"))
-    return found.select(*by, F.explode(pairs).alias("p")).select(*by, F.col("p.share").alias("share"), F.col("p.cut").alias("cut"))
+    keys = [f"__k{i}" for i in range(len(by))]
+    counted = df.where(F.col(column).isNotNull()).groupBy(*(F.col(b).alias(k) for b, k in zip(by, keys)), F.col(column).alias("__v")).agg(F.count("*").alias("__f"))
+    placed = sums_before(counted, keys, [F.col("__v")], {"__before": F.col("__f")})
+    wanted = F.array(*(F.struct(F.lit(float(s)).alias("share"), ((F.col("__n") - 1) * s).alias("__at")) for s in shares))
+    totals = placed.groupBy(*keys).agg(F.sum("__f").alias("__n")).where("__n > 0").select(*(F.col(k).alias(f"{k}_of") for k in keys), F.inline(wanted))
+    same = [F.col(k).eqNullSafe(F.col(f"{k}_of")) for k in keys]
+    low, high = F.floor("__at"), F.ceil("__at")
+    inside = [F.col("__before") <= high, F.col("__before") + F.col("__f") > low]
+    near = placed.join(totals, [*same, *inside]) if keys else placed.crossJoin(F.broadcast(totals)).where(inside[0] & inside[1])  # a row for each share
+    holds = lambda at: F.max(F.when((F.col("__before") <= at) & (F.col("__before") + F.col("__f") > at), F.col("__v")))
+    found = near.groupBy(*keys, "share", "__at").agg(holds(low).alias("__low"), holds(high).alias("__high"))
+    cut = F.col("__low") + (F.col("__high") - F.col("__low")) * (F.col("__at") - low)
+    return found.select(*(F.col(k).alias(b) for k, b in zip(keys, by)), "share", F.when(F.col("__low") == F.col("__high"), F.col("__low").cast("double")).otherwise(cut).alias("cut"))
 
 
 def rank_table(df: DataFrame, column: str) -> DataFrame:

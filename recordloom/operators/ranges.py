@@ -28,8 +28,8 @@ def sums_before(df: DataFrame, keys: list[str], order: list[Column], sums: dict[
     if keys:
         earlier = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
         brought = totals.select("__part", *keys, *(F.coalesce(F.sum(f"__t{v}").over(earlier), F.lit(0)).alias(f"__b{v}") for v in values))
-        renamed = brought.select(F.col("__part").alias("__p"), *(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), *(f"__b{v}" for v in values))
-        same = [F.col("__part") == F.col("__p"), *(F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys))]
+        renamed = brought.select(F.col("__part").alias("__p"), *(F.col(k).alias(f"__key{i}") for i, k in enumerate(keys)), *(f"__b{v}" for v in values))
+        same = [F.col("__part") == F.col("__p"), *(F.col(k).eqNullSafe(F.col(f"__key{i}")) for i, k in enumerate(keys))]
         joined = local.join(renamed, same)
     else:
         rows, so_far, brought = sorted(totals.collect(), key=lambda r: r["__part"]), [None] * len(values), []

@@ -78,10 +78,20 @@ def csv_cache(star: Star) -> DataFrame:
 @query("SELECT 'Regions' AS line UNION ALL SELECT '' UNION ALL SELECT 'r_regionkey' || chr(9) || 'r_name' UNION ALL SELECT r_regionkey || chr(9) || r_name FROM region")
 def text_report(star: Star) -> DataFrame:
     path = _folder(star, "report")
-    sinks.write_report(star.table("region"), path, "Regions")
+    sinks.write_report(star.table("region"), path, "Regions", [F.col("r_regionkey")])
     return star.spark.read.text(path).select(F.col("value").alias("line"))
 
 
+@query("""SELECT (row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) + 2)::BIGINT AS place, o_orderkey || chr(9) || o_orderstatus AS line FROM orders
+UNION ALL SELECT 0, 'Orders by price' UNION ALL SELECT 1, '' UNION ALL SELECT 2, 'o_orderkey' || chr(9) || 'o_orderstatus'""")
+def text_report_ordered(star: Star) -> DataFrame:
+    """A report of a large table in a global order, many files wide, read back line by line in the order of its files."""
+    path = _folder(star, "report")
+    orders = star.table("orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    sinks.write_report(orders, path, "Orders by price", [F.desc("o_totalprice"), F.col("o_orderkey")], ["o_orderkey", "o_orderstatus"])
+    return sinks.read_report(star.spark, path).select("place", F.col("value").alias("line"))
+
+
 @query("SELECT o_orderkey, o_orderstatus AS status, NULL::VARCHAR AS ward FROM orders")
 def optional_column(star: Star) -> DataFrame:
     """A column the table has, and one that it hasn't."""
@@ -399,7 +409,7 @@ def agg_mean(star: Star) -> DataFrame:
 
 @query("SELECT user_id, round(quantile_cont(value, 0.5), 8) AS median FROM events GROUP BY 1")
 def agg_median(star: Star) -> DataFrame:
-    return star.table("events").groupBy("user_id").agg(F.round(F.median("value"), 8).alias("median"))
+    return A.quantile(star.table("events"), "value", [0.5], ("user_id",)).select("user_id", F.round("cut", 8).alias("median"))
 
 
 @query("SELECT event_type, round(quantile_cont(value, 0.1), 8) AS p10, round(quantile_cont(value, 0.9), 8) AS p90 FROM events GROUP BY 1")
@@ -411,7 +421,8 @@ def agg_quantile(star: Star) -> DataFrame:
 
 @query("SELECT user_id, round(quantile_cont(value, 0.75) - quantile_cont(value, 0.25), 8) AS iqr FROM events GROUP BY 1")
 def agg_iqr(star: Star) -> DataFrame:
-    return star.table("events").groupBy("user_id").agg(F.round(F.percentile("value", F.lit(0.75)) - F.percentile("value", F.lit(0.25)), 8).alias("iqr"))
+    cuts = A.quantile(star.table("events"), "value", [0.25, 0.75], ("user_id",))
+    return cuts.groupBy("user_id").agg(F.round(F.max("cut") - F.min("cut"), 8).alias("iqr"))
 
 
 @query(f"WITH {NURSE}, {metrics('nurse', 'nm')} SELECT stay_key, n_gaps_gt30m, n_gaps_gt2h, n_gaps_gt4h FROM nm")

@@ -111,3 +111,42 @@ def test_percentile_bootstrap_equals_rows(spark):
             medians = [np.median(np.sort(v)[B.drawn(17, b, np.arange(len(v)), out_of=len(v))]) for b in range(40)]
             rank = [np.mean([d < m for d in dist]) for m in medians]
             assert got[u] == (len(v), pytest.approx(np.percentile(rank, 2.5)), pytest.approx(np.percentile(rank, 97.5)))
+
+
+@pytest.mark.parametrize("by", [(), ("k",), ("k", "g")])
+def test_quantiles_equal_sorted_lists(spark, many_ranges, by):
+    rng = random.Random(4 + len(by))
+    rows = [(rng.choice(["hot"] * 5 + ["a", None]), rng.randrange(2), rng.choice([None, 1.5, 2.0, 7.25, rng.random()])) for _ in range(500)] + [("nothing", 1, None), ("one", 1, 4.0)]
+    df = spark.createDataFrame(rows, "k string, g int, v double")
+    own = defaultdict(list)
+    for k, g, v in rows:
+        if v is not None:
+            own[tuple({"k": k, "g": g}[b] for b in by)].append(v)
+    shares = [0.0, 0.1, 0.5, 1 / 3, 1.0]
+    got = {(tuple(r[b] for b in by), r["share"]): r["cut"] for r in A.quantile(df, "v", shares, by).collect()}
+    assert got == {(k, s): pytest.approx(np.quantile(v, s), abs=1e-12) for k, v in own.items() for s in shares}
+    assert A.quantile(df.limit(0), "v", [0.5], by).count() == 0
+
+
+def test_quantiles_of_a_group_of_many_distinct_values(spark):
+    df = spark.range(0, 2_000_000, 1, 8).select((F.col("id") * 7 % 2_000_003).cast("double").alias("v"))
+    want = np.quantile(np.arange(2_000_000) * 7 % 2_000_003, [0.1, 0.5])
+    found = A.quantile(df, "v", [0.1, 0.5])
+    assert sorted(r.cut for r in found.collect()) == pytest.approx(sorted(want))
+    assert "percentile" not in plan(found).lower()
+
+
+def test_reports_keep_their_order_over_many_files(spark, many_ranges, tmp_path):
+    from recordloom.sources import sinks
+
+    df = spark.range(500).select("id", F.when(F.col("id") % 3 > 0, F.col("id") % 10).alias("v"))
+    sinks.write_report(df, f"file://{tmp_path}/r", "Title", [F.desc("id")])
+    files = sorted(p for p in (tmp_path / "r").iterdir() if p.name.startswith("part-"))
+    assert len(files) > 2
+    lines = "".join(p.read_text() for p in files).split("\n")[:-1]
+    want = ["Title", "", "id\tv"] + [f"{i}\t{i % 10 if i % 3 else ''}" for i in range(499, -1, -1)]
+    assert lines == want
+    assert [r.value for r in sinks.read_report(spark, f"file://{tmp_path}/r").orderBy("place").collect()] == want
+    sinks.write_csv(df, f"file://{tmp_path}/c", [F.col("id")])
+    again = spark.read.option("header", True).schema("id long, v long").csv(f"file://{tmp_path}/c")
+    assert again.count() == 500 and again.where("v is null").count() == 167
