@@ -13,9 +13,10 @@ from recordloom.operators import agreement as A
 from recordloom.operators import events as E
 from recordloom.operators import logistic as L
 from recordloom.operators import mixed as X
+from recordloom.operators import replication
 from recordloom.operators import resampling as B
 from recordloom.operators import variance as V
-from recordloom.plans.registry import BOTH, COHORT, MONITOR, NURSE, STAYS, eta2_sql, metrics, offset, query
+from recordloom.plans.registry import BOTH, COHORT, MONITOR, NURSE, STAYS, cohort, eta2_sql, metrics, offset, query
 from recordloom.sources.tables import Star
 
 M9 = list(METRICS)
@@ -596,6 +597,42 @@ def cross_variable_summary(star: Star) -> DataFrame:
     return out
 
 
+_VARIABLES = {"hr": 0, "map": 1, "resp": 2}
+_CROSS_CELL = 4
+
+
+def _cross_sql() -> str:
+    def part(v: str, i: int) -> str:
+        stream = lambda name: f"{name} AS (SELECT x.* EXCLUDE (variable) FROM {name}_all x WHERE variable = '{v}')"
+        own, nurse, monitor = "c WHERE database = 'ASIA'", "c WHERE database <> 'ASIA'", "d WHERE database <> 'ASIA'"
+        pools = [f"{m}_{s}" for m in ("n_records", "median_interval_min") for s in ("nurse", "monitor")]
+        pool_of = {s: f"(SELECT *, database = 'ASIA' AS side FROM (SELECT * FROM {own} UNION ALL SELECT * FROM {nurse if s == 'nurse' else monitor})) q" for s in ("nurse", "monitor")}
+        database = ", ".join(f"round({eta2_sql(p.rsplit('_', 1)[0], 'side', pool_of[p.rsplit('_', 1)[1]])}, 6) AS database_{p}" for p in pools)
+        hospital = ", ".join(f"round({eta2_sql(m, 'hospital', 'e')}, 6) AS hospital_{m}, round({eta2_sql(m, 'unit_id', 'e')} - {eta2_sql(m, 'hospital', 'e')}, 6) AS unit_{m}" for m in ("n_records", "median_interval_min", "frac_time_in_gaps"))
+        medians = lambda t: f"(SELECT quantile_cont(n_records, 0.5) AS v FROM {t} GROUP BY unit_id HAVING count(*) >= {_CROSS_CELL})"
+        position = ", ".join(f"(SELECT round({f}(p), 6) FROM (SELECT (SELECT avg((o.v < m.v)::INT) FROM {medians(t)} o) AS p FROM {medians(own)} m)) AS position_{f}_{s}" for s, t in (("nurse", nurse), ("monitor", monitor)) for f in ("min", "max"))
+        return f"""(WITH {stream('nurse')}, {stream('monitor')}, {metrics('nurse', 'nm')}, {cohort('nm', 'c')}, {metrics('monitor', 'mm')}, {cohort('mm', 'd')},
+        p AS (SELECT d.n_records AS a, c.n_records AS b FROM c JOIN d ON c.stay_key = d.stay_key WHERE c.database <> 'ASIA'),
+        f AS (SELECT a <= (SELECT quantile_cont(a, 0.1) FROM p) AS fa, b <= (SELECT quantile_cont(b, 0.1) FROM p) AS fb FROM p),
+        e AS (SELECT * FROM {nurse} AND hospital IN (SELECT hospital FROM {nurse} GROUP BY 1 HAVING count(*) >= {MIN_CELL}))
+        SELECT '{v}' AS variable, (SELECT count(*) FROM p)::BIGINT AS n_both, {_SPEARMAN} AS spearman,
+          (SELECT round(sum((fa AND fb)::INT) / greatest(sum(fa::INT), 1)::DOUBLE, 6) FROM f) AS agreement, (SELECT round(sum((fa AND fb)::INT) / greatest(sum((fa OR fb)::INT), 1)::DOUBLE, 6) FROM f) AS jaccard,
+          {database}, {hospital}, {position})"""
+
+    named = lambda key: "CASE " + key + " % 3 " + " ".join(f"WHEN {i} THEN '{v}'" for v, i in _VARIABLES.items()) + " END AS variable"
+    return f"""WITH {STAYS},
+    nurse_all AS (SELECT * FROM (SELECT o_custkey AS stay_key, {named('o_orderkey')}, {offset('o_orderdate')} AS offset_min FROM orders) WHERE offset_min >= 0 AND offset_min < 1440),
+    monitor_all AS (SELECT * FROM (SELECT o_custkey AS stay_key, {named('l_partkey')}, {offset('l_shipdate')} AS offset_min FROM lineitem JOIN orders ON l_orderkey = o_orderkey) WHERE offset_min >= 0 AND offset_min < 1440)
+    """ + _union([f"SELECT * FROM {part(v, i)}" for v, i in _VARIABLES.items()])
+
+
+@query(_cross_sql())
+def cross_variable_table(star: Star) -> DataFrame:
+    """The whole replication: agreement, database, hospital and unit components and positions, a row for each of three variables."""
+    found = replication.cross_variable_table(star.nurse_variables(_VARIABLES), star.monitor_variables(_VARIABLES), star.stays(), "ASIA", least_hospital=MIN_CELL, least_cell=_CROSS_CELL)
+    return _rounded(found, *(c for c in found.columns if c not in ("variable", "n_both")))
+
+
 # -- reconstruction and reconciliation
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Columns the study reads, by table.
@@ -64,6 +64,11 @@ def optional(df: DataFrame, name: str, kind: str = "string"):
     return F.col(name) if name in df.columns else F.lit(None).cast(kind)
 
 
+def _variable(key: str, variables: dict[str, int]) -> Column:
+    names = F.create_map(*(F.lit(x) for v, i in variables.items() for x in (i, v)))
+    return names[(F.col(key) % len(variables)).cast("int")].alias("variable")
+
+
 class Star:
     """The star schema in the study's roles; a day stands for a minute.
 
@@ -113,5 +118,14 @@ class Star:
         lines = self._read("lineitem").join(self._read("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
         return lines.select(F.col("o_custkey").alias("stay_key"), self._offset("l_shipdate"))
 
+    def nurse_variables(self, variables: dict[str, int]) -> DataFrame:
+        """Nurse events of several variables, told apart by the order's key modulo their number."""
+        return self._read("orders").select(_variable("o_orderkey", variables), F.col("o_custkey").alias("stay_key"), self._offset("o_orderdate"))
+
+    def monitor_variables(self, variables: dict[str, int]) -> DataFrame:
+        """Monitor events of several variables, told apart by the part's key modulo their number."""
+        lines = self._read("lineitem").join(self._read("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+        return lines.select(_variable("l_partkey", variables), F.col("o_custkey").alias("stay_key"), self._offset("l_shipdate"))
+
     def clock(self) -> DataFrame:
         return self._read("events").select(F.col("user_id").alias("stay_key"), "ts", F.col("event_type").alias("item"), "value")
