@@ -201,22 +201,25 @@ def test_mixed_criterion_equals_dense(spark):
         q = (y - mu) @ vi @ (y - mu)
         return 119 * np.log(q) + np.linalg.slogdet(v)[1] + np.log(one_ @ vi @ one_)
 
-    where = np.arange(18) // 3
-    for lh, lu in ((0.5, 0.2), (2.0, 0.01), (0.05, 1.0)):
-        got = X._criterion(np.log([lh, lu]), n.astype(float), mean, ssw, where, 6)[0]
-        assert got == pytest.approx(dense(lh, lu), abs=1e-8)
+    points = [(0.5, 0.2), (2.0, 0.01), (0.05, 1.0)]
+    cells = spark.createDataFrame([("m", f"h{i // 3}", float(n[i]), float(mean[i])) for i in range(18)], "metric string, hospital string, n double, mean double")
+    got = X.criteria(cells, {"m": (120.0, ssw)}, {"m": np.log(points)})["m"]
+    assert got == pytest.approx([dense(lh, lu) for lh, lu in points], abs=1e-7)
     df = spark.createDataFrame([(f"h{a}", f"u{b}", float(v)) for a, b, v in zip(hospital, unit, y)], "hospital string, unit_id string, m double")
     r = one(X.mixed_vpc(df, ["m"]))
     assert r.converged and 0 <= r.vpc_unit <= 1 and 0 <= r.vpc_hospital <= 1
-
-
-def test_mixed_refuses_more_units_than_its_bound(spark, monkeypatch):
-    df = spark.createDataFrame([("h", f"u{i}", float(i)) for i in range(4)], "hospital string, unit_id string, m double")
-    monkeypatch.setattr(X, "UNITS", 4)
-    assert one(X.mixed_vpc(df, ["m"])).units == 4
-    monkeypatch.setattr(X, "UNITS", 3)
-    with pytest.raises(ValueError):
-        X.mixed_vpc(df, ["m"])
+    ratios = np.array([r.vpc_hospital, r.vpc_unit]) / (1 - r.vpc_hospital - r.vpc_unit)
+    here = dense(*ratios)  # the criterion doesn't depend on the scale of y
+    assert all(here <= dense(*(ratios * np.exp(step))) for step in ([0.01, 0], [-0.01, 0], [0, 0.01], [0, -0.01], [3, 3], [-3, 3], [3, -3], [-3, -3]))
+
+
+def test_mixed_has_no_bound_on_units_and_null_shares_without_variance(spark):
+    df = spark.createDataFrame([("h", f"u{i}", float(i), 1.0, None) for i in range(4)], "hospital string, unit_id string, m double, k double, e double")
+    got = {r.metric: r for r in X.mixed_vpc(df, ["m", "k", "e"]).collect()}
+    assert got["m"].units == 4 and got["e"].n == 0 and all(r.vpc_unit is None and not r.converged for r in got.values())
+    many = spark.range(6000).select(F.concat(F.lit("h"), F.col("id") % 40).alias("hospital"), F.concat(F.lit("u"), F.col("id") % 2000).alias("unit_id"), (F.col("id") % 40 + F.hash("id") % 30).cast("double").alias("m"))
+    r = one(X.mixed_vpc(many, ["m"]))
+    assert (r.n, r.hospitals, r.units) == (6000, 40, 2000) and r.converged and r.vpc_hospital > 0.2
 
 
 def test_severity_cleanup_of_a_whole_table_equals_sql(spark):
