@@ -20,7 +20,7 @@ METRICS = (
 
 @dataclass(frozen=True)
 class Config:
-    """Defaults: a 24 h window in minutes, three records, gaps over 30, 120 and 240 minutes."""
+    """Defaults: a 24 h window in minutes, three records, gaps over 30, 120 and 240 minutes; buckets of event stores."""
 
     window_min: int = 1440
     min_records: int = 3
@@ -31,6 +31,7 @@ class Config:
     bootstraps: int = 500
     pctile_bootstraps: int = 200
     seed: int = 17
+    buckets: int = 16
 
 
 DEFAULT = Config()

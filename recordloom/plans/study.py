@@ -17,6 +17,7 @@ from recordloom.operators import replication
 from recordloom.operators import resampling as B
 from recordloom.operators import variance as V
 from recordloom.plans.registry import BOTH, COHORT, MONITOR, NURSE, STAYS, cohort, eta2_sql, metrics, offset, query
+from recordloom.sources import store
 from recordloom.sources.tables import Star
 
 M9 = list(METRICS)
@@ -90,11 +91,29 @@ def unpivot_events(star: Star) -> DataFrame:
     return E.unpivoted(wide, {"quantity": (5, 30), "discount": (0.02, 0.08)}, ("l_orderkey", "l_linenumber"))
 
 
-@query(f"WITH {NURSE}, {metrics('nurse', 'nm')} SELECT stay_key, n_records::BIGINT AS n_records, round(t_first_h, 6) AS t_first_h, {', '.join(M9[2:])} FROM nm")
+_STAY_METRICS = f"WITH {NURSE}, {metrics('nurse', 'nm')} SELECT stay_key, n_records::BIGINT AS n_records, round(t_first_h, 6) AS t_first_h, {', '.join(M9[2:])} FROM nm"
+
+
+@query(_STAY_METRICS)
 def stay_metrics(star: Star) -> DataFrame:
     return _rounded(nurse_metrics(star), "t_first_h")
 
 
+@query(_STAY_METRICS)
+def stay_metrics_store(star: Star) -> DataFrame:
+    """Stay metrics from an event store: the lag and the aggregation read its buckets as they lie."""
+    stored = store.events(star.spark, store.write_events(E.in_window(star.nurse()), DEFAULT.buckets))
+    return _rounded(E.stay_metrics(stored), "t_first_h")
+
+
+@query(f"WITH {NURSE}, {MONITOR} SELECT a.stay_key, a.n AS nurse_n, b.n AS monitor_n FROM (SELECT stay_key, count(*)::BIGINT AS n FROM nurse GROUP BY 1) a JOIN (SELECT stay_key, count(*)::BIGINT AS n FROM monitor GROUP BY 1) b ON a.stay_key = b.stay_key")
+def join_streams_store(star: Star) -> DataFrame:
+    """Both streams from stores of as many buckets: counted and joined by stay without an exchange."""
+    stored = [store.events(star.spark, store.write_events(E.in_window(e), DEFAULT.buckets)) for e in (star.nurse(), star.monitor())]
+    nurse, monitor = (e.groupBy("stay_key").agg(F.count("*").alias(n)) for e, n in zip(stored, ("nurse_n", "monitor_n")))
+    return nurse.join(monitor.hint("merge"), "stay_key")
+
+
 # -- variance
 
 

@@ -55,3 +55,23 @@ def test_entry_contract(spark):
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).columns == ["metric", "eta2", "n"]
+
+
+def test_store_needs_no_exchange(spark):
+    from recordloom.operators import events as E
+    from recordloom.sources import store
+
+    rows = [(i % 7, i * 37 % 1440) for i in range(300)]
+    df = spark.createDataFrame(rows + [(None, 3)], "stay_key long, offset_min int")
+    names = [store.write_events(df, 3) for _ in range(2)]
+    a, b = (store.events(spark, n) for n in names)
+    plan = lambda x: x._jdf.queryExecution().executedPlan().toString()
+    metrics = E.stay_metrics(a)
+    joined = a.groupBy("stay_key").count().join(b.groupBy("stay_key").count().withColumnRenamed("count", "m").hint("merge"), "stay_key")
+    assert "Exchange" not in plan(metrics) and "Exchange" not in plan(joined) and "Exchange" in plan(E.stay_metrics(df))
+    key = lambda r: str(r[0])
+    assert sorted(map(tuple, metrics.collect()), key=key) == sorted(map(tuple, E.stay_metrics(df).collect()), key=key)
+    assert {tuple(r) for r in joined.collect()} == {(k, sum(x[0] == k for x in rows), sum(x[0] == k for x in rows)) for k in range(7)}
+    for n in names:
+        store.drop_events(spark, n)
+        assert not spark.catalog.tableExists(n)
