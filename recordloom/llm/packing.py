@@ -28,7 +28,8 @@ PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!
 
 #: White space of that pattern; longer runs than the tokenizer's regular expression should see are cut out before it.
 #: Fixed value: the characters with the Unicode property White_Space.
-BLANKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{4096,}")
+LONG_RUN = 4096
+BLANKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % LONG_RUN)
 
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
@@ -90,6 +91,8 @@ class Encoder:
 
         The pattern would try every end of the run in turn, on a stack that a million characters overflow.
         """
+        if len(text) < LONG_RUN:
+            return array("I", self._plain.encode_ordinary(text)).tobytes()
         ids, at = array("I"), 0
         for run in BLANKS.finditer(text):
             end = run.end() if run.end() == len(text) else run.end() - 1
