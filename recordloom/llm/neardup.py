@@ -5,10 +5,11 @@ leading zeros and the MANTISSA bits after the first one. An empty bucket borrows
 one in an order of its own, so that two texts' registers agree with the probability of their Jaccard similarity,
 whatever the sizes. BANDS x ROWS registers are banded: texts that agree in all registers of a band are candidates.
 
-Texts with equal sets are one node. Round 1 compares each member of a band's bucket with the bucket's smallest id;
-confirmed links give components. Round 2 compares members that are still in different components, so copies are
-never expanded into pairs, and every pair of candidates is either linked, tested, or in one component. A pair is
-tested by the Jaccard estimate from its registers, corrected for registers that agree by chance, then on the full sets.
+Texts with equal sets are one node. A bucket's pivot is its smallest id. Round 1 compares each node with the smallest of
+its pivots; confirmed links give components. Round 2 compares members of buckets with pivots that are in other
+components, round 3 members that still are in different components. So copies are never expanded into pairs, nor into
+a pair for each band, and every pair of candidates is either linked, tested, or in one component. A pair is tested by
+the Jaccard estimate from its registers, corrected for registers that agree by chance, then on the full sets.
 """
 
 from __future__ import annotations
@@ -269,21 +270,45 @@ def near_duplicates(
     nodes, hits = candidates(signed)
     equal = nodes.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
     reps = nodes.where("id = first").select("id", "n", "registers")
-    stars = materialize(hits.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "stars")
+    stars = materialize(hits.where("id <> pivot").groupBy(F.col("id").alias("b")).agg(F.min("pivot").alias("a")).select("a", "b"), "stars")
     links = _confirmed(stars, reps, texts, shingle, percent)
     parts = components(links.union(equal), "part")
+    others = open_stars(hits, parts, stars)
+    if not others.isEmpty():
+        parts = merged(parts, _confirmed(others, reps, texts, shingle, percent))
     more = open_links(hits, parts, reps, texts, shingle, percent)
     if more is not None:
-        named = lambda s: parts.select(F.col("id").alias(s), F.col("part").alias(f"part_{s}"))
-        ends = more.join(named("a"), "a", "left").join(named("b"), "b", "left")
-        joined = components(ends.select(F.coalesce("part_a", "a").alias("a"), F.coalesce("part_b", "b").alias("b")), "whole")
-        every = parts.union(more.select("a", "a").union(more.select("b", "b")).distinct().join(parts.select(F.col("id").alias("a")), "a", "left_anti"))
-        parts = every.join(joined.withColumnRenamed("id", "part"), "part", "left").select("id", F.coalesce("whole", "part").alias("part"))
+        parts = merged(parts, more)
     result = signed.select("id", "n").join(parts, "id", "left").withColumn("component_id", F.coalesce("part", "id"))
     kept = F.col("id").isNull() | (F.col("component_id") == F.col("id"))
     return result.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
 
 
+def merged(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (id, part) after more links (a, b), whose ends may be in no component yet."""
+    named = lambda s: parts.select(F.col("id").alias(s), F.col("part").alias(f"part_{s}"))
+    ends = links.join(named("a"), "a", "left").join(named("b"), "b", "left")
+    joined = components(ends.select(F.coalesce("part_a", "a").alias("a"), F.coalesce("part_b", "b").alias("b")), "whole")
+    every = parts.union(links.select("a", "a").union(links.select("b", "b")).distinct().join(parts.select(F.col("id").alias("a")), "a", "left_anti"))
+    found = every.join(joined.withColumnRenamed("id", "part"), "part", "left").select("id", F.coalesce("whole", "part").alias("part"))
+    return materialize(found, "parts")
+
+
+def _open_hits(hits: DataFrame, parts: DataFrame) -> DataFrame:
+    """hits with part, of the buckets whose members are in different components."""
+    placed = hits.join(parts, "id", "left").withColumn("part", F.coalesce("part", "id"))
+    mixed_ = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
+    return placed.join(materialize(mixed_, "open-keys"), "key")
+
+
+def open_stars(hits: DataFrame, parts: DataFrame, known: DataFrame) -> DataFrame:
+    """Pairs (a: pivot, b) of a bucket's pivot with members in other components, less the known ones."""
+    open_ = materialize(_open_hits(hits, parts).select("key", "id", "pivot", "part"), "open-stars")
+    tops = open_.where("id = pivot").select("key", F.col("part").alias("top"))
+    pairs = open_.join(tops, "key").where("part <> top").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
+    return materialize(pairs.join(known, ["a", "b"], "left_anti"), "other-stars")
+
+
 def candidates(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes (id, digest, n, registers, first: smallest id with an equal set), and hits (key, id, pivot, members) of shared buckets.
 
@@ -304,9 +329,7 @@ def open_links(hits: DataFrame, parts: DataFrame, reps: DataFrame, texts: DataFr
     A bucket's members outside its largest component are compared with that component and with each other, chunk by
     chunk, so that a bucket of any size is spread over tasks of at most two chunks. Buckets of two are known.
     """
-    placed = hits.join(parts, "id", "left").select("key", "band", "id", "members", F.coalesce("part", "id").alias("part"))
-    mixed_ = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
-    open_ = materialize(placed.join(materialize(mixed_, "open-keys"), "key").where("members > 2"), "open-hits")
+    open_ = materialize(_open_hits(hits, parts).where("members > 2").select("key", "band", "id", "members", "part"), "open-hits")
     if open_.isEmpty():
         return None
     sizes = open_.groupBy("key", "part").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "part")).alias("top"), F.sum("m").alias("all"))
