@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from recordloom.llm.lines import LOWER, UPPER
 
-# Copyright lines and spellings that count as equal in licence texts.
-COPYRIGHT_LINE = r"(?im)^[ \t#/*;-]*(copyright[ \t]+(\(c\)|©|[0-9]{4})|\(c\)[ \t]*[0-9]{4}|©)[^\n]*$"
+# Copyright lines (and that all rights are reserved) and spellings that count as equal in licence texts.
+COPYRIGHT_LINE = r"(?im)^[ \t#/*;-]*(copyright[ \t]+(\(c\)|©|[0-9]{4})|\(c\)[ \t]*[0-9]{4}|©|all rights reserved)[^\n]*$"
 OTHER_ASCII = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SPELLINGS = {
     "acknowledgement": "acknowledgment",
@@ -98,11 +98,11 @@ def canonical(text: Column) -> Column:
     """The normalised text: words of a-z, 0-9 and non-ASCII characters with single spaces between."""
     plain = F.regexp_replace(text, COPYRIGHT_LINE, " ")
     spaced = F.concat(F.lit(" "), F.regexp_replace(F.translate(plain, UPPER, LOWER), OTHER_ASCII, " "), F.lit(" "))
-    told = spaced
+    told = F.replace(spaced, F.lit(" "), F.lit("  "))  # each word has blanks of its own, as neighbours may both be replaced
     for said, meant in SPELLINGS.items():
         told = F.replace(told, F.lit(f" {said} "), F.lit(f" {meant} "))
     variants = r" (" + "|".join(SPELLINGS) + r") "
-    return F.trim(F.when(spaced.rlike(variants), told).otherwise(spaced))
+    return F.trim(F.when(spaced.rlike(variants), F.replace(told, F.lit("  "), F.lit(" "))).otherwise(spaced))
 
 
 def digest(text: Column) -> Column:

@@ -392,10 +392,9 @@ LEFT JOIN children c ON c.prefix = v.prefix JOIN subtrees s ON s.prefix = v.pref
 def _op8_sql() -> str:
     """The SQL with the fixed tables of licences and spellings written into it."""
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
-    told = "' ' || spaced || ' '"
-    for said, meant in licenses.SPELLINGS.items():
-        told = f"replace({told}, ' {said} ', ' {meant} ')"
-    head = r"^[ \t#/*;-]*(copyright[ \t]+(\(c\)|©|[0-9]{4})|\(c\)[ \t]*[0-9]{4}|©)[^\n]*$"
+    meant = ", ".join(f"{quoted(k)}: {quoted(v)}" for k, v in sorted(licenses.SPELLINGS.items()))
+    told = f"array_to_string(list_transform(string_split(spaced, ' '), lambda w: coalesce(MAP {{{meant}}}[w], w)), ' ')"
+    head = r"(?im)^[ \t#/*;-]*(copyright[ \t]+(\(c\)|©|[0-9]{4})|\(c\)[ \t]*[0-9]{4}|©|all rights reserved)[^\n]*$"
     known = ", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in sorted(licenses.LICENSES.items()))
     return rf"""
 WITH texts AS (
@@ -403,7 +402,7 @@ WITH texts AS (
   UNION ALL SELECT NULL, license, text FROM (VALUES {known}) AS t(license, text)),
 plain AS (
   SELECT doc_id, license, trim(regexp_replace(
-    translate(regexp_replace(text, {quoted(head)}, ' ', 'gim'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    translate(regexp_replace(text, {quoted(head)}, ' ', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
     '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g')) AS spaced FROM texts),
 told AS (SELECT doc_id, license, sha256(trim({told})) AS digest FROM plain),
 known AS (SELECT digest, min(license) AS license FROM told WHERE license IS NOT NULL GROUP BY digest)

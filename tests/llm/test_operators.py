@@ -565,6 +565,18 @@ def test_license_variants(spark):
     assert licenses.scan_licenses(docs(spark)).count() == 0
 
 
+def test_spellings_are_replaced_word_by_word(spark):
+    got = {r.doc_id: r.digest for r in licenses.scan_licenses(docs(spark, (1, "licence licence favour licence"), (2, "License, license favor LICENSE"), (3, "sublicence licence"))).collect()}
+    assert got[1] == got[2] != got[3]
+    assert not set(licenses.SPELLINGS) & set(licenses.SPELLINGS.values())
+
+
+def test_lines_that_reserve_rights_are_no_part_of_a_licence(spark):
+    bsd = licenses.LICENSES["BSD-3-Clause"]
+    rows = [(1, "Copyright (c) 2020, Someone\nAll rights reserved.\n\n" + bsd), (2, "# All Rights Reserved\n" + bsd), (3, bsd + " all rights reserved")]
+    assert {r.doc_id: r.license for r in licenses.scan_licenses(docs(spark, *rows)).collect()} == {1: "BSD-3-Clause", 2: "BSD-3-Clause", 3: None}
+
+
 # -- neighbours
 
 
