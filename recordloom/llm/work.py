@@ -63,7 +63,9 @@ def spread_join(rows: DataFrame, keyed: DataFrame, on: str, by: str, counted: Da
     share = max(TOGETHER, counted.count() // 4096)
     slot = F.pmod(F.xxhash64(on), F.lit(SLOTS))
     hot = counted.groupBy(slot.alias("slot")).agg(F.count("*").alias("most")).where(F.col("most") > share)
-    hot = materialize(hot.select("slot", F.least(F.ceil(F.col("most") / share), F.lit(WAYS)).cast("int").alias("ways")), "hot-slots")
+    hot = hot.select("slot", F.least(F.ceil(F.col("most") / share), F.lit(WAYS)).cast("int").alias("ways"))
+    none = rows.sparkSession.range(1).select(F.lit(-1).cast("long").alias("slot"), F.lit(1).alias("ways"))  # no value's: the plan is the same without frequent values
+    hot = materialize(hot.select(F.col("slot").cast("long").alias("slot"), "ways").unionByName(none), "hot-slots")
     ways = F.coalesce("ways", F.lit(1))
     left = rows.withColumn("slot", slot).join(F.broadcast(hot), "slot", "left").withColumn("way", F.pmod(F.xxhash64(by), ways).cast("int"))
     right = keyed.withColumn("slot", slot).join(F.broadcast(hot), "slot", "left").withColumn("way", F.explode(F.sequence(F.lit(0), ways - 1)))
