@@ -5,8 +5,8 @@ leading zeros and the MANTISSA bits after the first one. An empty bucket borrows
 one in an order of its own, so that two texts' registers agree with the probability of their Jaccard similarity,
 whatever the sizes. BANDS x ROWS registers are banded: texts that agree in all registers of a band are candidates.
 
-Texts with equal sets are one node. A bucket's pivot is its smallest id. Round 1 compares each node with the smallest of
-its pivots; confirmed links give components. Round 2 compares members of buckets with pivots that are in other
+Texts with equal sets are one node. A bucket's pivot is its smallest id. Round 1 compares each node with the pivot
+that it shares most bands with; confirmed links give components. Round 2 compares members of buckets with pivots that are in other
 components, round 3 members that still are in different components. So copies are never expanded into pairs, nor into
 a pair for each band, and every pair of candidates is either linked, tested, or in one component. A pair is tested by
 the Jaccard estimate from its registers, corrected for registers that agree by chance, then on the full sets.
@@ -270,7 +270,9 @@ def near_duplicates(
     nodes, hits = candidates(signed)
     equal = nodes.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
     reps = nodes.where("id = first").select("id", "n", "registers")
-    stars = materialize(hits.where("id <> pivot").groupBy(F.col("id").alias("b")).agg(F.min("pivot").alias("a")).select("a", "b"), "stars")
+    shared = hits.where("id <> pivot").groupBy("id", "pivot").agg(F.count("*").alias("bands"))  # more bands, more alike
+    likest = shared.groupBy(F.col("id").alias("b")).agg(F.max(F.struct("bands", (-F.col("pivot")).alias("a"))).alias("top"))
+    stars = materialize(likest.select((-F.col("top.a")).alias("a"), "b"), "stars")
     links = _confirmed(stars, reps, texts, shingle, percent)
     parts = components(links.union(equal), "part")
     others = open_stars(hits, parts, stars)
